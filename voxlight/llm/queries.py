@@ -5,21 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, sharding
+from . import exact, language, sharding, toxicity
 from .common import table
 
 
+def op2_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs, language.train_on(docs))
+    return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.ring_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_nearest_centroid": op2_nearest_centroid,
     "op3_ring_shards": op3_ring_shards,
+    "op5_ngram_toxicity": op5_ngram_toxicity,
     "op8_content_sort": op8_content_sort,
 }
 
