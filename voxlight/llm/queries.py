@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, packing, pieces, sharding, toxicity
+from . import chat, exact, language, packing, pieces, sharding, toxicity, vectors
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_chat_parts": op4_chat_parts,
     "op5_ngram_toxicity": op5_ngram_toxicity,
     "op6_pack": op6_pack,
+    "op7_grid_order_join": op7_grid_order_join,
     "op8_content_sort": op8_content_sort,
     "op10_pieces": op10_pieces,
 }
