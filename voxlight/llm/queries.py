@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, packing, pieces, sharding, toxicity, vectors
+from . import chat, exact, jaccard, language, packing, pieces, sharding, toxicity, vectors
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.predict(docs, language.train_on(docs))
@@ -57,6 +61,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lsh_forest": op1_lsh_forest,
     "op2_nearest_centroid": op2_nearest_centroid,
     "op3_ring_shards": op3_ring_shards,
     "op4_chat_parts": op4_chat_parts,
