@@ -149,3 +149,14 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(predicted, "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+
+
+def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, that the model does not reject. Texts go through once and are not shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array(~shared.value.predict(batch.column(text_col))[2]))
+
+    return df.mapInArrow(kept, df.schema)
