@@ -1,11 +1,11 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes features.
 
 A feature is a hashed character n-gram; its value in a text is the number of the text's
-distinct words that hold it. Naive Bayes log-count ratios come from every labelled
-training row, summed per partition; a ratio that chance explains (within Z standard
-errors of 0) counts as 0. A logistic regression over features scaled by these ratios is
-then fitted on a bounded sample of the same rows. As the model is linear, the
-score of a text is a sum over its distinct words, each looked at once in a batch.
+distinct words that hold it. The model is fitted on a bounded sample of labelled rows:
+naive Bayes log-count ratios are summed per partition, and a ratio that chance explains
+(within Z standard errors of 0) counts as 0; a logistic regression follows over the
+features scaled by these ratios. As the model is linear, the score of a text is a sum
+over its distinct words, each looked at once in a batch.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .features import Words, ngrams, spread
 
 SIZES = (3, 4, 5)
 DIMS = 1 << 17
-#: The regression is fitted on this many labelled rows at most, those with the smallest hashes.
-FIT_ROWS = 6000
+#: The model is fitted on about this many labelled rows at most, dealt by a hash of the id.
+FIT_ROWS = 20_000
 THRESHOLD = 0.3
 Z = 3.0
 #: Rows of an Arrow batch that are worked on at once.
@@ -89,7 +90,7 @@ def ratios(labelled: DataFrame) -> np.ndarray:
 def fit(labelled: DataFrame, rounds: int = 300, l2: float = 1e-4) -> Model:
     """labelled: (id, text, label), label 0 or 1. Without both labels the score is the share of label 1, or 0.
 
-    The regression minimises log loss over at most FIT_ROWS rows by accelerated gradient steps.
+    All rows of `labelled` are used, so it should hold a bounded sample.
     """
     shares = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(shares) < 2:
@@ -108,8 +109,7 @@ def fit(labelled: DataFrame, rounds: int = 300, l2: float = 1e-4) -> Model:
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, t)) for x, t in ((feature, pa.int32()), (value, pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column("label"), *lists], names=["label", "feature", "value"])
 
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text", F.col("label").cast("int").alias("label"))
-    got = sample.mapInArrow(sampled, "label int, feature array<int>, value array<float>").toArrow()
+    got = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(sampled, "label int, feature array<int>, value array<float>").toArrow()
     y = got.column("label").to_numpy().astype(float)
     if not len(y):
         return Model(r, -30.0)
@@ -156,12 +156,26 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
+def keep_clean(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose text scores below the threshold. Texts go through once and are not shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array(shared.value.score(batch.column(text_col)) < threshold))
+
+    return df.mapInArrow(kept, df.schema)
+
+
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train_on(documents: DataFrame, labels: DataFrame) -> Model:
     """The model of `documents` learned from `labels`, held-out rows left aside; null labels and texts teach nothing."""
-    marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rows = documents.where(~held_out("doc_id") & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text")
-    return fit(rows.join(marks, F.col("id") == F.col("doc_id")).select("id", "text", "label"))
+    marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    every = max(1, -(-marks.count() // FIT_ROWS))
+    # A hash keeps FIT_ROWS ids of a few bytes each, so this side may be broadcast and no text is shuffled.
+    sample = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return fit(materialize(rows.select(F.col("doc_id").alias("id"), "text", "label"), "labelled"))
