@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, jaccard, language, packing, pieces, sharding, toxicity, vectors
+from . import chat, exact, jaccard, katz, language, packing, pieces, sharding, toxicity, vectors
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort(table(spark, sf_dir, "documents"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"), ~katz.held_out("doc_id"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(tokenizer("piece_bpe_32k.model")), keep_ids=False)
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op7_grid_order_join": op7_grid_order_join,
     "op8_content_sort": op8_content_sort,
+    "op9_katz": op9_katz,
     "op10_pieces": op10_pieces,
 }
 
