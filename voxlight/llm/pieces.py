@@ -110,11 +110,12 @@ class Vocabulary:
         return self.best(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encoder(self) -> Encoder:
-        whole = lambda texts: [[i for unit in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + t.replace(" ", SPACE)) for i in self.best(unit)] if t else [] for t in texts]
         if not self.separable:
-            return Encoder(lambda units: [self.best(u) for u in units], lambda texts: [self.encode(t) for t in texts], SPACE, SPACE, "(?s).")
+            return Encoder(self.best, self.encode, SPACE, "(?s).")
+        unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        whole = lambda t: [i for u in unit.findall(SPACE + t.replace(" ", SPACE)) for i in self.best(u)] if t else []
         # Runs of spaces are one unit with what follows, and a mark in the text itself is a space too.
-        return Encoder(lambda units: [self.best(u) for u in units], whole, SPACE, SPACE, f"^ |  | $|{SPACE}")
+        return Encoder(self.best, whole, SPACE, f"^ |  | $|{SPACE}")
 
     def surfaces(self) -> tuple[np.ndarray, np.ndarray]:
         """(starts, bytes) of what each id stands for."""

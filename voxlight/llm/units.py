@@ -11,50 +11,38 @@ import pyarrow.compute as pc
 from .features import spread
 
 #: Units whose ids a worker remembers between batches; it starts afresh when they are full.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class Encoder:
     """Encodes batches of texts by way of their units.
 
-    units(text before, unit is first) is what `encode` gets: a list of strings to a list
-    of id lists. `whole` encodes texts that cannot be cut, those that `unsafe` (a regular
-    expression) finds.
+    `encode` gives the ids of a unit, which begins with `lead`; texts that the regular
+    expression `unsafe` finds cannot be cut and are encoded by `whole`.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], whole: Callable[[list[str]], list[list[int]]], lead: str, first: str, unsafe: str):
-        self.encode, self.whole, self.lead, self.first, self.unsafe = encode, whole, lead, first, unsafe
+    def __init__(self, encode: Callable[[str], list[int]], whole: Callable[[str], list[int]], lead: str, unsafe: str):
+        self.encode, self.whole, self.lead, self.unsafe = encode, whole, lead, unsafe
         self.memory: dict[str, bytes] = {}
 
     def ids_of(self, units: list[str]) -> list[bytes]:
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
         memory = self.memory
-        missing = [u for u in units if u not in memory]
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            memory.update(zip(part, (np.array(x, dtype=np.uint32).tobytes() for x in self.encode(part)), strict=True))
+        for u in units:
+            if u not in memory:
+                memory[u] = np.array(self.encode(self.lead + u), dtype=np.uint32).tobytes()
         return [memory[u] for u in units]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ids): the ids of text i are ids[starts[i]:starts[i + 1]]; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False))
-        empty = pc.equal(pc.binary_length(texts), 0)
-        lists = pc.split_pattern(pc.if_else(empty, None, texts), " ")
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lists = pc.split_pattern(texts, " ")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
         ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        heads = np.cumsum(sizes) - sizes
-        heads = heads[sizes > 0]
-        if self.first != self.lead:  # a text's first unit has another lead
-            firsts, where = np.unique(ids[heads], return_inverse=True)
-            ids[heads] = len(vocabulary) + where
-            units = [self.lead + u for u in vocabulary] + [self.first + vocabulary[i] for i in firsts]
-        else:
-            units = [self.lead + u for u in vocabulary]
-        encoded = self.ids_of(units)
+        encoded = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(encoded), dtype=np.uint32)
         starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4)])
         counts = starts[ids + 1] - starts[ids]
@@ -62,9 +50,10 @@ class Encoder:
         lengths = np.bincount(row, weights=counts, minlength=len(texts)).astype(np.int64)
         _, at = spread(starts, ids)
         out = flat[at]
+        odd = np.union1d(odd, np.flatnonzero(pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
         ends = np.concatenate([[0], np.cumsum(lengths)])
         if len(odd):
-            again = dict(zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist()), strict=True))
+            again = {i: self.whole(texts[i].as_py()) for i in odd.tolist()}
             parts = [np.array(again[i], dtype=np.uint32) if i in again else out[ends[i] : ends[i + 1]] for i in range(len(texts))]
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             out = np.concatenate([np.zeros(0, np.uint32), *parts])
