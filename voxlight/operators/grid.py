@@ -53,7 +53,7 @@ def pad(grid: DataFrame, axes: Axes, t_theta: int | None = None, t_phi: int | No
     for index, n, t in (("i_theta", axes.n_theta, t_theta), ("i_phi", axes.n_phi, t_phi)):
         t = round(n // 6 / 2) if t is None else t
         places = F.filter(F.array(F.col(index) + t, F.when(F.col(index) >= n - t, F.col(index) + t - n), F.when(F.col(index) < t, F.col(index) + t + n)), lambda p: p.isNotNull())
-        out = out.withColumn(index, F.explode(places).cast("int"))
+        out = out.withColumn(index, F.explode(F.transform(places, lambda p: p.cast("int"))))
     return out
 
 

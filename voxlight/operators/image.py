@@ -78,16 +78,16 @@ def threshold(img: DataFrame, method: str = "mean", by: str = "image_id", column
         return img.groupBy(by).agg(F.avg(column).alias("threshold"))
     h = histogram(img, by, column)
     up, whole = Window.partitionBy(by).orderBy("bin"), Window.partitionBy(by)
-    h = h.withColumns({"w": F.sum("n").over(up), "m": F.sum(F.col("n") * F.col("bin")).over(up), "q": F.sum(F.col("n") * F.col("n")).over(up), "W": F.sum("n").over(whole), "M": F.sum(F.col("n") * F.col("bin")).over(whole), "Q": F.sum(F.col("n") * F.col("n")).over(whole)})
-    rest = F.col("W") - F.col("w")
-    low, high = F.col("m") / F.col("w"), (F.col("M") - F.col("m")) / F.when(rest > 0, rest)
+    h = h.withColumns({"w": F.sum("n").over(up), "m": F.sum(F.col("n") * F.col("bin")).over(up), "q": F.sum(F.col("n") * F.col("n")).over(up), "w_all": F.sum("n").over(whole), "m_all": F.sum(F.col("n") * F.col("bin")).over(whole), "q_all": F.sum(F.col("n") * F.col("n")).over(whole)})
+    rest = F.col("w_all") - F.col("w")
+    low, high = F.col("m") / F.col("w"), (F.col("m_all") - F.col("m")) / F.when(rest > 0, rest)
     if method == "otsu":
         score = F.col("w").cast("double") * rest * (low - high) * (low - high)
     elif method == "isodata":
         score = -F.abs((low + high) / 2 - F.col("bin"))
     elif method == "yen":
-        p, all_n = F.col("w") / F.col("W"), F.col("W").cast("double")
-        q1, q2 = F.col("q") / (all_n * all_n), (F.col("Q") - F.col("q")) / (all_n * all_n)
+        p, all_n = F.col("w") / F.col("w_all"), F.col("w_all").cast("double")
+        q1, q2 = F.col("q") / (all_n * all_n), (F.col("q_all") - F.col("q")) / (all_n * all_n)
         score = F.ln(p * p * (1 - p) * (1 - p) / (q1 * F.when(q2 > 0, q2)))
     elif method == "triangle":
         peak = F.max_by("bin", F.struct("n", -F.col("bin"))).over(whole)

@@ -233,18 +233,6 @@ def a10(t: Inputs):
 
 
 
-@query("a8_absorption_map")
-def a8(t: Inputs):
-    """Mean transmission of one leg for every direction of a 36 x 18 grid, over an even sample of one voxel in 20."""
-    from ..operators import grid
-
-    axes = grid.Axes(36, 18)
-    legs = grid.grid_legs(t.spark, axes).withColumn("leg", F.lit(1))
-    n = max(1, sampling.select_label(t.voxels).count() // 20)
-    rates = absorb.transmission(absorb.trace(legs.drop("i_theta", "i_phi"), sampling.even(t.voxels, n), t.volume, t.voxels), t.coefficients)
-    return absorb.absorption_factor(rates).join(legs.select("refl_id", "i_theta", "i_phi"), "refl_id").select("i_theta", "i_phi", R6("factor").alias("factor"), "n_samples")
-
-
 @query(
     "a9_straight_through",
     sql("SELECT refl_id, round(factor, 6) AS factor, n_samples FROM factors", legs="SELECT refl_id, 1 AS leg, v0, v1, v2 FROM reflections UNION ALL SELECT refl_id, 2 AS leg, -v0, -v1, -v2 FROM reflections"),
