@@ -189,8 +189,7 @@ def compare(threshold: Fraction):
                 # Pairs of one bucket and block pair: each link counts where its members first share a prefix, in one task alone.
                 keys = np.stack(part["keys"].to_numpy())
                 first = (keys[i] == keys[j]).argmax(axis=1)
-                two = len(np.unique(block)) > 1
-                mine = (first == tree) & ((block[i] != block[j]) | (not two))
+                mine = (first == tree) & ((block[i] != block[j]) == part["cross"].iloc[0])
                 i, j = i[mine], j[mine]
             if not len(i):
                 continue
@@ -234,13 +233,13 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     together = max(partitions(spark), groups.count() // TOGETHER)
     no = F.lit(-1)
-    alone = small.select(F.pmod(F.xxhash64("component"), F.lit(together)).alias("task"), no.alias("tree"), F.col("component").alias("part"), F.lit(0).alias("block"), F.col("node").alias("home"))
+    alone = small.select(F.pmod(F.xxhash64("component"), F.lit(together)).alias("task"), no.alias("tree"), F.col("component").alias("part"), F.lit(0).alias("block"), F.lit(False).alias("cross"), F.col("node").alias("home"))
     blocks = F.ceil(F.col("n") / (GROUP // 2)).cast("int")
     own = F.pmod(F.xxhash64("home"), blocks).cast("int")
     dealt = members.join(large.select(F.col("node").alias("home")), "home").withColumns({"blocks": blocks, "block": own})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.xxhash64("tree", "key", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(part.alias("task"), F.col("tree").cast("int").alias("tree"), part.alias("part"), "block", "home")
+    dealt = dealt.select(part.alias("task"), F.col("tree").cast("int").alias("tree"), part.alias("part"), "block", (F.col("block") != F.col("other")).alias("cross"), "home")
 
     sets = shingle_sets(rows, bitmap_of(groups, "node"), width)
     named = groups.select(F.col("node").alias("id")).join(classes.select(F.col("home").alias("id"), "d1", "d2", "copies", "keys"), "id")
