@@ -43,7 +43,7 @@ def forest(a, b, n: int):
     import numpy as np
 
     label = np.arange(n)
-    a, b = np.asarray(a), np.asarray(b)
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
