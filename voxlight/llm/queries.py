@@ -78,6 +78,43 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_lsh_forest": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)
+        ), reach AS (
+            SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = r
+        ), components AS (
+            SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT w.doc_id, CASE WHEN len(w) = 0 THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY w) END AS class_id,
+               coalesce(k, 0) AS n_links, component_id, component_id = w.doc_id AS kept
+        FROM w JOIN components USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS k FROM links GROUP BY a) USING (doc_id)
+    """,
+    "op7_grid_order_join": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+        ), usable AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+            WHERE list_inner_product(a.x, b.x) / sqrt(list_inner_product(a.x, a.x)) / sqrt(list_inner_product(b.x, b.x)) >= 0.98e0
+        ), reach AS (
+            SELECT vec_id, vec_id AS r FROM v UNION SELECT vec_id, b FROM reach JOIN links ON a = r
+        ), components AS (
+            SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id
+        )
+        SELECT v.vec_id, coalesce(k, 0) AS n_links, component_id, component_id = v.vec_id AS kept
+        FROM v JOIN components USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM links GROUP BY a) USING (vec_id)
+    """,
     "op4_chat_parts": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
