@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +106,65 @@ def threshold(img: DataFrame, method: str = "mean", by: str = "image_id", column
     return scored.groupBy(by).agg(F.max_by("bin", F.struct("score", -F.col("bin"))).cast("double").alias("threshold"))
 
 
+def threshold_iterative(img: DataFrame, method: str, by: str = "image_id", column: str = "u8") -> DataFrame:
+    """(image, threshold) by 'li' (least cross entropy, found by repeated means) or 'minimum' (the valley once smoothing leaves two peaks).
+
+    Works on histograms, at most 256 rows an image; null where no threshold is found.
+    """
+    if method not in ("li", "minimum"):
+        raise ValueError(f"no threshold method {method!r}")
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(BINS)
+        counts[pdf["bin"]] = pdf["n"]
+        t = least_cross_entropy(counts) if method == "li" else valley(counts)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "threshold": [t]})
+
+    kind = dict(img.dtypes)[by]
+    return histogram(img, by, column).groupBy(by).applyInPandas(found, f"{by} {kind}, threshold double")
+
+
+def least_cross_entropy(counts: np.ndarray, rounds: int = 1000) -> float | None:
+    """The fixed point t = (m1 - m0) / (ln m1 - ln m0) of the means below and above t; bins count from 1 so that logarithms exist."""
+    level = np.arange(1, len(counts) + 1, dtype=float)
+    t = float((counts * level).sum() / counts.sum())
+    for _ in range(rounds):
+        low = level <= t
+        if not counts[low].sum() or not counts[~low].sum():
+            return None
+        m0, m1 = (float((counts[s] * level[s]).sum() / counts[s].sum()) for s in (low, ~low))
+        new = (m1 - m0) / (np.log(m1) - np.log(m0))
+        if abs(new - t) < 1e-6:
+            return new - 1
+        t = new
+    return t - 1
+
+
+def valley(counts: np.ndarray, rounds: int = 10000) -> float | None:
+    """The lowest bin between two peaks, after as many three-bin means as leave two."""
+    h = counts.astype(float)
+    for _ in range(rounds):
+        slope = np.sign(np.diff(h))
+        turns = np.flatnonzero(slope)
+        before = np.concatenate([[1.0], slope[turns][:-1]])
+        peaks = turns[(slope[turns] < 0) & (before > 0)]
+        if len(peaks) < 2:
+            return None
+        if len(peaks) == 2:
+            return float(peaks[0] + h[peaks[0] : peaks[1] + 1].argmin())
+        h = np.convolve(np.concatenate([h[:1], h, h[-1:]]), np.ones(3) / 3, mode="valid")
+    return None
+
+
+def local_mean(img: DataFrame, k: int, by: str = "image_id") -> DataFrame:
+    """`local`: the mean of the k x k pixels around each one, those inside the image; a row's sums first, then a column's. Where an image has holes, rows without a pixel at the same place are left out."""
+    h = k // 2
+    row = Window.partitionBy(by, "y").orderBy("x").rangeBetween(-h, h)
+    column = Window.partitionBy(by, "x").orderBy("y").rangeBetween(-h, h)
+    sums = img.withColumns({"s": F.sum("value").over(row), "c": F.count("value").over(row)})
+    return sums.withColumn("local", F.sum("s").over(column) / F.sum("c").over(column)).drop("s", "c")
+
+
 def register_shift(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
     """The shift (dy, dx) up to `reach` that lays most set pixels of b on those of a, the smallest of equals. (y, x) tables."""
     spots = b.select(F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("dy"), "y", "x").select("dy", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("dx"), "y", "x")
