@@ -112,17 +112,25 @@ def fit(labelled: DataFrame) -> Model:
             rows = tfidf(term_counts(batch.column("text")), idf).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "vector"])
 
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // FIT_ROWS)))) == 0).select("text", "lang").mapInArrow(vectors, "lang string, vector binary").toArrow()
-    langs = np.array(sample.column("lang").to_pylist())
-    rows = np.frombuffer(b"".join(sample.column("vector").to_pylist()), dtype=np.float32).reshape(-1, DIMS)
-    languages = sorted(set(langs))
+    def clustered(batches):
+        got: dict[str, list[np.ndarray]] = {}
+        for batch in batches:
+            for lang, vector in zip(batch.column("lang").to_pylist(), batch.column("vector"), strict=True):
+                got.setdefault(lang, []).append(np.frombuffer(vector.as_buffer(), dtype=np.float32))
+        for lang in sorted(got):
+            rows = np.stack(got.pop(lang))
+            centres = k_means(rows, CENTROIDS)
+            best = float(np.quantile((rows @ centres.T).max(axis=1), QUANTILE))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(centres)), pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary()), pa.array([best] * len(centres))], names=["lang", "vector", "best"])
+
+    # A bounded sample of vectors of DIMS numbers, so one task may hold it.
+    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // FIT_ROWS)))) == 0).select("text", "lang").mapInArrow(vectors, "lang string, vector binary")
+    found = sample.repartition(1).mapInArrow(clustered, "lang string, vector binary, best double").toPandas()
+    languages = sorted(set(found["lang"]))
     if not languages:
         return Model([], idf, np.zeros((0, DIMS)), np.zeros(0, int), 0.0)
-    centres = [k_means(rows[langs == x], CENTROIDS) for x in languages]
-    owner = np.repeat(np.arange(len(languages)), [len(c) for c in centres])
-    centroids = np.concatenate(centres)
-    best = (rows @ centroids.T).max(axis=1)
-    return Model(languages, idf, centroids, owner, float(np.quantile(best, QUANTILE) * REJECT))
+    centroids = np.stack([np.frombuffer(v, dtype=np.float32) for v in found["vector"]])
+    return Model(languages, idf, centroids, np.array([languages.index(x) for x in found["lang"]]), float(found["best"].min() * REJECT))
 
 
 def held_out(id_col: str) -> Column:

@@ -28,7 +28,7 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.3
 Z = 3.0
 #: Rows of an Arrow batch that are worked on at once.
-SLICE = 1024
+SLICE = 512
 
 
 @dataclass
@@ -109,16 +109,23 @@ def fit(labelled: DataFrame, rounds: int = 300, l2: float = 1e-4) -> Model:
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, t)) for x, t in ((feature, pa.int32()), (value, pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column("label"), *lists], names=["label", "feature", "value"])
 
-    got = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(sampled, "label int, feature array<int>, value array<float>").toArrow()
-    y = got.column("label").to_numpy().astype(float)
-    if not len(y):
-        return Model(r, -30.0)
-    lists = [got.column(c).combine_chunks() for c in ("feature", "value")]
-    sizes = np.diff(lists[0].offsets.to_numpy())
-    feature = lists[0].flatten().to_numpy()
-    x = lists[1].flatten().to_numpy() * r[feature]
-    w, bias = logistic(np.repeat(np.arange(len(y)), sizes), feature, x, y, rounds, l2)
-    return Model(w * r, bias)
+    def fitted(batches):
+        got = pa.Table.from_batches(list(batches), schema=pa.schema([("label", pa.int32()), ("feature", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))]))
+        if not got.num_rows:
+            return
+        y = got.column("label").to_numpy().astype(float)
+        lists = [got.column(c).combine_chunks() for c in ("feature", "value")]
+        feature, value = (x.flatten().to_numpy() for x in lists)
+        w, bias = logistic(np.repeat(np.arange(len(y)), np.diff(lists[0].offsets.to_numpy())), feature, value * shared.value[feature], y, rounds, l2)
+        used = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, DIMS)), pa.array(np.append(w[used], bias))], names=["feature", "weight"])
+
+    # A bounded sample in sparse form, so one task may hold it.
+    sparse = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(sampled, "label int, feature array<int>, value array<float>")
+    found = sparse.repartition(1).mapInArrow(fitted, "feature long, weight double").toPandas()
+    w = np.zeros(DIMS + 1)
+    w[found["feature"]] = found["weight"]
+    return Model(w[:DIMS] * r, float(w[DIMS]) if len(found) else -30.0)
 
 
 def logistic(row: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
