@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -20,6 +20,8 @@ from .components import components, forest
 COSINE = 0.98
 #: Leading directions of the grid, vectors in an interval, and vectors below which no more halving is done.
 DIRECTIONS, INTERVAL, LEAF = 8, 512, 64
+#: Quantiles that a strip of the sequence may be cut at.
+QUANTILES = 64
 #: Slack on distances for rounding, so that the exact comparison alone decides.
 ROUNDING = 1e-9
 
@@ -101,11 +103,17 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     kind = dict(rows.dtypes)["label"]
     placed = classes.mapInPandas(project, f"label {kind}, home long, copies long, v array<double>, x array<double>, p array<double>, cells array<int>")
     placed = materialize(placed, "grid")
-    # The sequence of a label is first cut by its two leading cells, then into intervals in cell order.
+    # The sequence of a label is cut by its two leading cells into strips, and a strip along the third direction
+    # into intervals by quantiles; copies of a coordinate beyond that are dealt by hash. No task sees a whole strip.
     lead = [F.coalesce(F.try_element_at("cells", F.lit(k)), F.lit(0)) for k in (1, 2)]
-    strips = placed.withColumns({"d": F.size("x"), "c1": lead[0], "c2": lead[1]})
-    order = Window.partitionBy("label", "d", "c1", "c2").orderBy("cells", "home")
-    strips = strips.withColumn("block", F.floor((F.row_number().over(order) - 1) / INTERVAL).cast("int"))
+    strips = placed.withColumns({"d": F.size("x"), "c1": lead[0], "c2": lead[1], "along": F.coalesce(F.try_element_at("p", F.lit(3)), F.lit(0.0))})
+    quantiles = [k / QUANTILES for k in range(1, QUANTILES)]
+    cuts = strips.groupBy("label", "d", "c1", "c2").agg(F.count("*").alias("n"), F.percentile_approx("along", quantiles, 1000).alias("cuts"))
+    strips = strips.join(cuts, ["label", "d", "c1", "c2"])
+    wanted = F.least(F.ceil(F.col("n") / INTERVAL), F.lit(QUANTILES))
+    spot = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("along"))) * wanted / QUANTILES)
+    more = F.ceil(F.col("n") / (INTERVAL * QUANTILES))
+    strips = strips.withColumn("block", (spot * more + F.pmod(F.xxhash64("home"), more)).cast("int"))
     members = materialize(strips.select("label", "d", "c1", "c2", "block", "home", "copies", "x", "p"), "intervals")
 
     key = ["label", "d", "c1", "c2", "block"]
