@@ -61,19 +61,25 @@ def label_steps(steps: DataFrame, voxels: DataFrame, full_iteration: bool = Fals
     return found.withColumn("run", run).withColumn("over", over).where("over is null or k < over").drop("run", "over")
 
 
-def path_lengths(labelled: DataFrame, rays: DataFrame, normalize: str = "steps") -> DataFrame:
+def path_lengths(labelled: DataFrame, samples: DataFrame, volume: DataFrame, normalize: str = "steps") -> DataFrame:
     """Length in each class of each ray: its share of steps times the straight distance from first to last voxel.
 
     normalize 'steps' divides by the steps less one, so that the classes add up to one
     voxel more than the distance; 'sum' divides by the steps in classes, so that they add
-    up to the distance. A ray of one step has no length.
+    up to the distance. A ray of one step has no length. The last step and its voxel are
+    the largest of one number (axes of up to 16,384 voxels), so the aggregate stays a hash
+    aggregate on the partitioning that the cut at the first vacuum already has; the
+    first voxel comes from the few samples.
     """
-    counts = labelled.groupBy(*RAY).agg(F.max("k").alias("last"), *(F.count_if(F.col("label") == c).alias(name) for c, name in LABELS.items()))
-    ends = counts.join(rays, list(RAY))
-    gap = [(voxel_at(a, F.col("last")) - voxel_at(a, F.lit(0))) * F.col(f"s{a}") for a in "zyx"]
-    total = F.sqrt(g.dot(gap, gap))
+    packed = F.shiftleft(F.col("k").cast("long"), 42) + F.shiftleft(F.col("vz").cast("long"), 28) + F.shiftleft(F.col("vy").cast("long"), 14) + F.col("vx")
+    counts = labelled.groupBy(*RAY).agg(F.max(packed).alias("end"), *(F.count_if(F.col("label") == c).alias(name) for c, name in LABELS.items()))
+    ends = counts.join(F.broadcast(samples), "sample_id").crossJoin(F.broadcast(volume))
+    low = (1 << 14) - 1
+    end = {"z": F.shiftright("end", 28).bitwiseAND(low), "y": F.shiftright("end", 14).bitwiseAND(low), "x": F.col("end").bitwiseAND(low)}
+    gap = [(end[a] - F.col(a)) * F.col(f"s{a}") for a in "zyx"]
+    ends = ends.withColumns({"total": F.sqrt(g.dot(gap, gap)), "last": F.shiftright("end", 42)})
     parts = F.col("last") if normalize == "steps" else F.col("li") + F.col("lo") + F.col("cr") + F.col("bu")
-    return ends.select(*RAY, *(F.when((F.col("last") > 0) & (parts > 0), total * F.col(c) / parts).otherwise(0.0).alias(c) for c in LABELS.values()))
+    return ends.select(*RAY, *(F.when((F.col("last") > 0) & (parts > 0), F.col("total") * F.col(c) / parts).otherwise(0.0).alias(c) for c in LABELS.values()))
 
 
 def path_segments(labelled: DataFrame) -> DataFrame:
@@ -102,8 +108,8 @@ def absorption_factor(rates: DataFrame) -> DataFrame:
 
 def trace(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, full_iteration: bool = False, normalize: str = "steps") -> DataFrame:
     """Path lengths of all rays, in join mode."""
-    rays = plan_rays(legs, samples, volume)
-    return path_lengths(label_steps(trace_steps(rays), voxels, full_iteration), rays, normalize)
+    labelled = label_steps(trace_steps(plan_rays(legs, samples, volume)), voxels, full_iteration)
+    return path_lengths(labelled, samples, volume, normalize)
 
 
 def boundaries(labelled: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ class Inputs:
 
     @cached_property
     def paths(self) -> DataFrame:
-        return absorb.path_lengths(self.labelled, self.rays)
+        return absorb.path_lengths(self.labelled, self.samples, self.volume)
 
     @cached_property
     def factors(self) -> DataFrame:

@@ -222,7 +222,7 @@ def a11(t: Inputs):
 
 @query("a12_proportional_lengths", sql("SELECT refl_id, sample_id, leg, " + ", ".join(f"CASE WHEN last>0 AND li+lo+cr+bu>0 THEN round(total*{c}/(li+lo+cr+bu), 9) ELSE 0e0 END AS {c}" for c in ("li", "lo", "cr", "bu")) + " FROM ends"))
 def a12(t: Inputs):
-    rows = absorb.path_lengths(t.labelled, t.rays, normalize="sum")
+    rows = absorb.path_lengths(t.labelled, t.samples, t.volume, normalize="sum")
     return rows.select(*absorb.RAY, *(F.round(c, 9).alias(c) for c in absorb.LABELS.values()))
 
 
