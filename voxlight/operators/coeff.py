@@ -38,7 +38,7 @@ def rank_columns(counts: DataFrame, target: str, fraction: float, mode: str = "a
     down = Window.orderBy(F.desc("score"))
     per = per.select("score", (F.sum("n").over(down) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     tie = F.row_number().over(Window.partitionBy("score").orderBy("z", "x"))
-    ranked = scored.withColumn("tie", tie).join(F.broadcast(per), "score")
+    ranked = scored.withColumn("tie", tie).join(per, "score")
     return ranked.where(F.col("before") + F.col("tie") <= F.floor(F.col("total") * fraction)).drop("tie", "before", "total")
 
 
@@ -84,7 +84,7 @@ def histogram(rows: DataFrame, bins: int, column: str = "coef", by: tuple[str, .
     """(by, bin, n): equal bins between the least and largest value; the last bin holds its upper end."""
     key = list(by) or [F.lit(0).alias("all")]
     ends = rows.groupBy(*key).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    both = rows.join(F.broadcast(ends), list(by)) if by else rows.crossJoin(F.broadcast(ends))
+    both = rows.join(ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))
     at = F.least(F.floor((F.col(column) - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     return both.groupBy(*by, F.coalesce(at, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
 

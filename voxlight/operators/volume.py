@@ -23,7 +23,7 @@ def rotate_slices(voxels: DataFrame, volume: DataFrame, cos: float, sin: float)
     y, x = F.col("y") - (F.col("ny") - 1) / 2, F.col("x") - (F.col("nx") - 1) / 2
     source = area.select("y", "x", F.floor(y * cos - x * sin + (F.col("ny") - 1) / 2 + 0.5).cast("int").alias("from_y"), F.floor(y * sin + x * cos + (F.col("nx") - 1) / 2 + 0.5).cast("int").alias("from_x"))
     old = voxels.select("z", F.col("y").alias("from_y"), F.col("x").alias("from_x"), "label")
-    return old.join(F.broadcast(source), ["from_y", "from_x"]).select("z", "y", "x", "label")
+    return old.join(source, ["from_y", "from_x"]).select("z", "y", "x", "label")
 
 
 def project(voxels: DataFrame, volume: DataFrame) -> DataFrame:
