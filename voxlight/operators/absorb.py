@@ -50,6 +50,8 @@ def label_steps(steps: DataFrame, voxels: DataFrame, full_iteration: bool = Fals
     """Steps with their label, cut at the first vacuum; with full_iteration only after a run of more than vacuum_run vacuum steps."""
     labels = voxels.select(F.col("z").alias("vz"), F.col("y").alias("vy"), F.col("x").alias("vx"), F.col("label").cast("int").alias("label"))
     found = steps.join(labels, ["vz", "vy", "vx"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    # Dealt by reflection once: the cut, the lengths, the exponents and the mean all keep to it.
+    found = found.repartition("refl_id")
     ray = Window.partitionBy(*RAY)
     if not full_iteration:
         stop = F.min(F.when(F.col("label") == 0, F.col("k"))).over(ray)
