@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import absorb, sampling
 
@@ -45,9 +44,6 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
-        return self.spark.sql(both(text)[0].replace(" events", " {events}").replace(" reflections", " {reflections}"), **frames)
-
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events")
