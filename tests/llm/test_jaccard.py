@@ -56,8 +56,10 @@ def test_against_brute_force(frame):
     assert result(frame(rows)) == brute(rows)
 
 
-def test_large_groups_are_dealt_in_blocks(frame, monkeypatch):
+@pytest.mark.parametrize("spread", [0, 64])
+def test_large_groups_are_dealt_in_blocks(frame, monkeypatch, spread):
     monkeypatch.setattr(jaccard, "GROUP", 4)
+    monkeypatch.setattr(jaccard, "SPREAD", spread)
     rows = near_rows()
     assert result(frame(rows)) == brute(rows)
 

@@ -7,9 +7,10 @@ at the full depth and is shortened until, over all trees, a pair at the threshol
 with the wanted probability: more similar pairs then meet almost surely.
 
 Candidates form groups. Their shingle sets are read again from the texts, for candidates
-alone, and all pairs inside a group are compared exactly; a group too large for one task is
-dealt as pairs of blocks of the trie prefixes that hold it together. What leaves a task is
-a number of links for each class and a spanning tree, never the pairs.
+alone, and all pairs inside a group are compared exactly. A group too large for one task is
+dealt as pairs of its blocks; one larger still as pairs of blocks of the trie prefixes that
+hold it together. What leaves a task is a number of links for each class and a spanning
+tree, never the pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from .features import Words
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 TREES, DEPTH, RECALL = 20, 8, 0.9995
 #: Classes that are compared in one go at most; a larger group is dealt in blocks of half as many.
-GROUP = 2048
+GROUP = 512
+#: Groups of up to so many times GROUP are dealt as blocks of their own, larger ones by their prefixes.
+SPREAD = 64
 #: Classes whose small groups go to one task together, about.
 TOGETHER = 1500
 SLICE = 512
@@ -185,12 +188,13 @@ def compare(threshold: Fraction):
         for (tree, _), part in pdf.groupby(["tree", "part"], sort=False):
             home, copies, block = part["home"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy()
             i, j = linked([np.frombuffer(s, np.uint64) for s in part["shingles"]], threshold)
+            # Of a pair of blocks only links across them count, so that each counts once.
+            mine = (block[i] != block[j]) == part["cross"].iloc[0]
             if tree >= 0:
-                # Pairs of one bucket and block pair: each link counts where its members first share a prefix, in one task alone.
+                # A link counts in the tree where its members first share a prefix.
                 keys = np.stack(part["keys"].to_numpy())
-                first = (keys[i] == keys[j]).argmax(axis=1)
-                mine = (first == tree) & ((block[i] != block[j]) == part["cross"].iloc[0])
-                i, j = i[mine], j[mine]
+                mine &= (keys[i] == keys[j]).argmax(axis=1) == tree
+            i, j = i[mine], j[mine]
             if not len(i):
                 continue
             links = np.bincount(i, weights=copies[j], minlength=len(home)) + np.bincount(j, weights=copies[i], minlength=len(home))
@@ -229,17 +233,23 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     groups = materialize(components(members.select(F.col("home").alias("a"), F.col("least").alias("b"))), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     small = groups.join(sizes.where(F.col("size") <= GROUP).select("component"), "component")
-    large = groups.join(sizes.where(F.col("size") > GROUP).select("component"), "component")
+    middle = groups.join(sizes.where((F.col("size") > GROUP) & (F.col("size") <= GROUP * SPREAD)), "component")
+    large = groups.join(sizes.where((F.col("size") > GROUP) & (F.col("size") > GROUP * SPREAD)).select("component"), "component")
 
     together = max(partitions(spark), groups.count() // TOGETHER)
     no = F.lit(-1)
     alone = small.select(F.pmod(F.xxhash64("component"), F.lit(together)).alias("task"), no.alias("tree"), F.col("component").alias("part"), F.lit(0).alias("block"), F.lit(False).alias("cross"), F.col("node").alias("home"))
-    blocks = F.ceil(F.col("n") / (GROUP // 2)).cast("int")
-    own = F.pmod(F.xxhash64("home"), blocks).cast("int")
-    dealt = members.join(large.select(F.col("node").alias("home")), "home").withColumns({"blocks": blocks, "block": own})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.xxhash64("tree", "key", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(part.alias("task"), F.col("tree").cast("int").alias("tree"), part.alias("part"), "block", (F.col("block") != F.col("other")).alias("cross"), "home")
+
+    def block_pairs(df: DataFrame, size: str, tree: Column, *of: str) -> DataFrame:
+        """Every member once for each block of its group: with it, it is one side of a pair of blocks, or both."""
+        blocks = F.ceil(F.col(size) / (GROUP // 2)).cast("int")
+        df = df.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("home"), blocks).cast("int")})
+        df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        part = F.xxhash64(*of, F.least("block", "other"), F.greatest("block", "other"))
+        return df.select(part.alias("task"), tree.cast("int").alias("tree"), part.alias("part"), "block", (F.col("block") != F.col("other")).alias("cross"), "home")
+
+    dealt = block_pairs(middle.withColumnRenamed("node", "home"), "size", no, "component")
+    dealt = dealt.union(block_pairs(members.join(large.select(F.col("node").alias("home")), "home"), "n", F.col("tree"), "tree", "key"))
 
     sets = shingle_sets(rows, bitmap_of(groups, "node"), width)
     named = groups.select(F.col("node").alias("id")).join(classes.select(F.col("home").alias("id"), "d1", "d2", "copies", "keys"), "id")
