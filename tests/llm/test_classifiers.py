@@ -47,6 +47,27 @@ def test_language_odd_rows(frame):
     assert language.predict(df, language.train_on(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_language_is_learned(spark, monkeypatch):
+    """Ten texts among 2,000 of another language, where the sample is 20 rows."""
+    monkeypatch.setattr(language, "FIT_ROWS", 20)
+    monkeypatch.setattr(language, "LEAST_ROWS", 20, raising=False)
+    rows = [(i, f"the other thing {i % 97} of this and that", "en") for i in range(2000)] + [(5000 + i, f"kaikki yöt ja päivät {i} eivät ole", "fi") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = language.fit(df)
+    assert model.languages == ["en", "fi"]
+    got = language.predict(df, model, "id").where("id >= 5000").collect()
+    assert len(got) == 10 and {r["lang_pred"] for r in got} == {"fi"}
+
+
+def test_many_languages_are_learned(spark, monkeypatch):
+    """More languages than one task clusters; each has all its rows used or a share of them."""
+    monkeypatch.setattr(language, "FIT_ROWS", 60)
+    monkeypatch.setattr(language, "LEAST_ROWS", 20, raising=False)
+    rows = [(100 * k + i, f"{chr(97 + k) * 3} {chr(98 + k) * 4}{i % 7}", f"l{k}") for k in range(12) for i in range(3 + 5 * k)]
+    model = language.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert model.languages == sorted(f"l{k}" for k in range(12))
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 1)], [(4, 1, 0), (6, 1, 1), (8, 1, None), (None, 0, 1), (6, 0, 0)]])
 def test_toxicity_odd_rows(frame, spark, labels):
     df = frame(ODD)

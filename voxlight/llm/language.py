@@ -2,7 +2,7 @@
 
 A text is a TF-IDF vector over hashed character n-grams: 1 + log count, times the inverse
 document frequency over all training rows, scaled to length 1. Spherical k-means on a
-bounded sample gives several centroids for each language. A text takes the language of
+bounded sample of each language gives several centroids for it. A text takes the language of
 the centroid with the largest cosine, and is rejected when that cosine lies below what
 nearly all training texts reach.
 """
@@ -22,8 +22,9 @@ from .features import Words, ngrams, spread
 SIZES = (1, 2, 3)
 DIMS = 2048
 CENTROIDS = 4
-#: The k-means runs on this many labelled rows at most, those with the smallest hashes.
-FIT_ROWS = 6000
+#: The k-means runs on about this many labelled rows, dealt by a hash in equal shares to the
+#: languages; a share is LEAST_ROWS at least, and a language with fewer rows gives them all.
+FIT_ROWS, LEAST_ROWS = 6000, 200
 #: A cosine below REJECT times this quantile of the sample's best cosines is a rejection.
 QUANTILE, REJECT = 0.001, 0.5
 SLICE = 256
@@ -88,7 +89,7 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """labelled: (id, text, lang), no nulls. Without rows, nothing is learned and every text is unknown."""
+    """labelled: (id, text, lang), no null texts or languages. Without rows, nothing is learned and every text is unknown."""
 
     def frequencies(batches):
         total, rows = np.zeros(DIMS), 0
@@ -123,9 +124,15 @@ def fit(labelled: DataFrame) -> Model:
             best = float(np.quantile((rows @ centres.T).max(axis=1), QUANTILE))
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(centres)), pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary()), pa.array([best] * len(centres))], names=["lang", "vector", "best"])
 
-    # A bounded sample of vectors of DIMS numbers, so one task may hold it.
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // FIT_ROWS)))) == 0).select("text", "lang").mapInArrow(vectors, "lang string, vector binary")
-    found = sample.repartition(1).mapInArrow(clustered, "lang string, vector binary, best double").toPandas()
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a number for each language
+    share = max(LEAST_ROWS, FIT_ROWS // len(counts))
+    every = labelled.sparkSession.createDataFrame([(lang, max(1, -(-rows // share))) for lang, rows in counts.items()], "lang string, every long")
+    # Equal ids (or none) still get different hashes by their texts.
+    drawn = labelled.join(F.broadcast(every), "lang").where(F.pmod(F.xxhash64("id", "text"), "every") == 0)
+    sample = drawn.select("text", "lang").mapInArrow(vectors, "lang string, vector binary")
+    # Vectors of DIMS numbers: about FIT_ROWS may meet in one task, and more languages take more tasks.
+    tasks = -(-share * len(counts) // FIT_ROWS)
+    found = (sample.repartition(tasks, "lang") if tasks > 1 else sample.repartition(1)).mapInArrow(clustered, "lang string, vector binary, best double").toPandas()
     languages = sorted(set(found["lang"]))
     if not languages:
         return Model([], idf, np.zeros((0, DIMS)), np.zeros(0, int), 0.0)
