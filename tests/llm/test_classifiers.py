@@ -1,3 +1,5 @@
+import base64
+
 import numpy as np
 import pytest
 from odd_rows import ODD
@@ -68,6 +70,24 @@ def test_many_languages_are_learned(spark, monkeypatch):
     assert model.languages == sorted(f"l{k}" for k in range(12))
 
 
+def test_strange_texts_are_rejected(spark):
+    """Gibberish and languages that were not learned go, however many labelled texts are empty; held-out texts stay."""
+    rng = np.random.default_rng(3)
+    strange = [
+        base64.b64encode(rng.bytes(600)).decode(),
+        rng.bytes(600).hex(),
+        " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(120)),
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    ]
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang")
+    empty = spark.range(100_000, 100_400).selectExpr("id as doc_id", "'' as text", "'en' as lang")
+    model = language.train_on(docs.union(empty))
+    seen = language.predict(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["rejected"] for r in seen] == [True] * len(strange)
+    assert language.predict(docs.where(language.held_out("doc_id")), model).where("rejected").count() == 0
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 1)], [(4, 1, 0), (6, 1, 1), (8, 1, None), (None, 0, 1), (6, 0, 0)]])
 def test_toxicity_odd_rows(frame, spark, labels):
     df = frame(ODD)

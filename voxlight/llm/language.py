@@ -4,7 +4,9 @@ A text is a TF-IDF vector over hashed character n-grams: 1 + log count, times th
 document frequency over all training rows, scaled to length 1. Spherical k-means on a
 bounded sample of each language gives several centroids for it. A text takes the language of
 the centroid with the largest cosine, and is rejected when that cosine lies below what
-nearly all training texts reach.
+nearly all texts of that language and with as many different n-grams reach: each half of
+the language's sample is measured by centroids of the other half, and a line is fitted to
+the cosines by the logarithm of the number of n-grams.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from pyspark.sql import functions as F
 from .features import Words, ngrams, spread
 
 SIZES = (1, 2, 3)
-DIMS = 2048
+DIMS = 16384
 CENTROIDS = 4
 #: The k-means runs on about this many labelled rows, dealt by a hash in equal shares to the
 #: languages; a share is LEAST_ROWS at least, and a language with fewer rows gives them all.
 FIT_ROWS, LEAST_ROWS = 6000, 200
-#: A cosine below REJECT times this quantile of the sample's best cosines is a rejection.
-QUANTILE, REJECT = 0.001, 0.5
-SLICE = 256
+#: A cosine more than Z standard deviations below its language's line is a rejection. PRIOR
+#: rows of deviation LOOSE count as seen, so that a language with few rows rejects little.
+Z, PRIOR, LOOSE = 8.0, 20, 0.1
+SLICE, BLOCK = 256, 32
 UNKNOWN = "und"
 
 
@@ -37,22 +40,60 @@ def slices(batches):
             yield batch.slice(at, SLICE)
 
 
-def term_counts(texts: pa.Array) -> np.ndarray:
-    """Rows by DIMS."""
-    words = Words(texts)
+@dataclass
+class Vectors:
+    """Sparse rows of DIMS numbers: `value` of `feature` in `row`, by row."""
+
+    n: int
+    row: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+
+    def sizes(self) -> np.ndarray:
+        """Features of each row."""
+        return np.bincount(self.row, minlength=self.n)
+
+    def dot(self, others: np.ndarray) -> np.ndarray:
+        """Rows by others."""
+        return np.stack([np.bincount(self.row, weights=self.value * o[self.feature], minlength=self.n) for o in others], axis=1) if len(others) else np.zeros((self.n, 0))
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        """The sum of the rows that are marked."""
+        return np.bincount(self.feature, weights=self.value * rows[self.row], minlength=DIMS)
+
+    def pick(self, rows: np.ndarray) -> Vectors:
+        """The rows that are marked."""
+        used = rows[self.row]
+        return Vectors(int(rows.sum()), (np.cumsum(rows) - 1)[self.row[used]], self.feature[used], self.value[used])
+
+
+def term_counts(texts: pa.Array) -> Vectors:
+    """Of letters only: digits, signs and decorations say nothing of a language, and would gather texts of several."""
+    words = Words(pc.replace_substring_regex(texts, r"[^\pL\pM]+", " "))
     starts, features = ngrams(words.vocabulary, SIZES, DIMS)
     row, word, times = words.distinct()
-    which, at = spread(starts, word)
-    flat = np.bincount(row[which] * DIMS + features[at], weights=times[which], minlength=len(texts) * DIMS)
-    return flat.reshape(len(texts), DIMS).astype(np.float32)
+    found = []
+    for at in range(0, len(texts), BLOCK):
+        part = slice(*np.searchsorted(row, (at, at + BLOCK)))
+        which, index = spread(starts, word[part])
+        flat = np.bincount((row[part][which] - at) * DIMS + features[index], weights=times[part][which], minlength=1)
+        key = np.flatnonzero(flat)
+        found.append((key // DIMS + at, key % DIMS, flat[key]))
+    return Vectors(len(texts), *(np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*found, strict=True) if found else [()] * 3, strict=True)))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return unit(np.log1p(counts) * idf)
+def tfidf(counts: Vectors, idf: np.ndarray) -> Vectors:
+    value = np.log1p(counts.value) * idf[counts.feature]
+    norm = np.sqrt(np.bincount(counts.row, weights=value * value, minlength=counts.n))
+    return Vectors(counts.n, counts.row, counts.feature, value / np.maximum(norm, 1e-12)[counts.row])
+
+
+def has_letters(texts: pa.Array) -> np.ndarray:
+    return pc.match_substring_regex(pc.fill_null(texts, ""), r"\pL").to_numpy(zero_copy_only=False)
 
 
 @dataclass
@@ -61,40 +102,63 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # rows of length 1
     owner: np.ndarray  # of each centroid, into languages
-    least: float
+    lines: np.ndarray  # of each language: the least cosine is lines[0] + lines[1] * size, where size, the logarithm of the number of features, counts as lines[2] at most
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(languages, best cosines, rejected)."""
-        letters = pc.match_substring_regex(pc.fill_null(texts, ""), r"\pL").to_numpy(zero_copy_only=False)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cosines = tfidf(term_counts(texts), self.idf) @ self.centroids.T
+        letters = has_letters(texts)
+        vectors = tfidf(term_counts(texts), self.idf)
+        cosines = vectors.dot(self.centroids)
         best = cosines.argmax(axis=1)
-        score = np.where(letters, np.clip(cosines[np.arange(len(best)), best].astype(float), 0, 1), 0.0)
-        return [self.languages[self.owner[b]] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score, ~letters | (score < self.least)
+        score = np.where(letters, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0.0)
+        base, slope, most = self.lines[self.owner[best]].T
+        least = base + slope * np.minimum(log_size(vectors), most)
+        return [self.languages[self.owner[b]] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score, ~letters | (score < least)
+
 
+def log_size(vectors: Vectors) -> np.ndarray:
+    return np.log(np.maximum(vectors.sizes(), 1))
 
-def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+
+def k_means(rows: Vectors, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical; starts from rows that lie far from each other."""
-    picks = [0]
-    near = rows @ rows[0]
-    for _ in range(min(k, len(rows)) - 1):
-        picks.append(int(near.argmin()))
-        near = np.maximum(near, rows @ rows[picks[-1]])
-    centres = rows[picks]
+    one = lambda r: rows.total(np.arange(rows.n) == r)
+    centres = [one(0)]
+    near = rows.dot(centres)[:, 0]
+    for _ in range(min(k, rows.n) - 1):
+        centres.append(one(int(near.argmin())))
+        near = np.maximum(near, rows.dot(centres[-1:])[:, 0])
+    centres = np.stack(centres)
     for _ in range(rounds):
-        mine = (rows @ centres.T).argmax(axis=1)
-        centres = unit(np.stack([rows[mine == c].sum(axis=0) if (mine == c).any() else centres[c] for c in range(len(centres))]))
+        mine = rows.dot(centres).argmax(axis=1)
+        centres = unit(np.stack([rows.total(mine == c) if (mine == c).any() else centres[c] for c in range(len(centres))]))
     return centres
 
 
+def least_line(rows: Vectors) -> tuple[float, float, float]:
+    """The line of Model for the rows of one language. A single row tells nothing of others, so nothing is rejected by it."""
+    if rows.n < 2:
+        return 0.0, 0.0, 0.0
+    size, half = log_size(rows), np.arange(rows.n) % 2 == 0
+    cosine = np.zeros(rows.n)
+    for part in (half, ~half):
+        cosine[part] = rows.pick(part).dot(k_means(rows.pick(~part), CENTROIDS)).max(axis=1)
+    spread_of = size - size.mean()
+    slope = max(0.0, float(spread_of @ cosine / (spread_of @ spread_of + PRIOR * LOOSE)))
+    rest = cosine - cosine.mean() - slope * spread_of
+    deviation = np.sqrt((rest @ rest + PRIOR * LOOSE**2) / rows.n)
+    return float(cosine.mean() - slope * size.mean() - Z * deviation), slope, float(size.max())
+
+
 def fit(labelled: DataFrame) -> Model:
-    """labelled: (id, text, lang), no null texts or languages. Without rows, nothing is learned and every text is unknown."""
+    """labelled: (id, text, lang), no null languages, all texts with letters. Without rows, nothing is learned and every text is unknown."""
 
     def frequencies(batches):
         total, rows = np.zeros(DIMS), 0
         for batch in slices(batches):
-            total += (term_counts(batch.column("text")) > 0).sum(axis=0)
+            total += np.bincount(term_counts(batch.column("text")).feature, minlength=DIMS)
             rows += batch.num_rows
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["rows", "df"])
@@ -102,7 +166,7 @@ def fit(labelled: DataFrame) -> Model:
     parts = labelled.select("text").mapInArrow(frequencies, "rows long, df array<double>")
     summed = parts.select("rows", F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("df"), F.sum("rows").alias("rows")).toPandas()  # DIMS rows
     if not len(summed):
-        return Model([], np.zeros(DIMS), np.zeros((0, DIMS)), np.zeros(0, int), 0.0)
+        return Model([], np.zeros(DIMS), np.zeros((0, DIMS)), np.zeros(0, int), np.zeros((0, 3)))
     df = np.zeros(DIMS)
     df[summed["pos"]] = summed["df"]
     n = int(summed["rows"].iloc[0])
@@ -110,34 +174,37 @@ def fit(labelled: DataFrame) -> Model:
 
     def vectors(batches):
         for batch in slices(batches):
-            rows = tfidf(term_counts(batch.column("text")), idf).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "vector"])
+            rows = tfidf(term_counts(batch.column("text")), idf)
+            ends = np.searchsorted(rows.row, np.arange(rows.n + 1))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, t)) for x, t in ((rows.feature, pa.int32()), (rows.value, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), *lists], names=["lang", "key", "feature", "value"])
 
     def clustered(batches):
-        got: dict[str, list[np.ndarray]] = {}
-        for batch in batches:
-            for lang, vector in zip(batch.column("lang").to_pylist(), batch.column("vector"), strict=True):
-                got.setdefault(lang, []).append(np.frombuffer(vector.as_buffer(), dtype=np.float32))
-        for lang in sorted(got):
-            rows = np.stack(got.pop(lang))
-            centres = k_means(rows, CENTROIDS)
-            best = float(np.quantile((rows @ centres.T).max(axis=1), QUANTILE))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(centres)), pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary()), pa.array([best] * len(centres))], names=["lang", "vector", "best"])
+        got = pa.Table.from_batches(list(batches), schema=pa.schema([("lang", pa.string()), ("key", pa.int64()), ("feature", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))]))
+        got = got.sort_by([("lang", "ascending"), ("key", "ascending")])  # the same centroids in whatever order rows come
+        for lang in sorted(set(got.column("lang").to_pylist())):
+            part = got.filter(pc.equal(got.column("lang"), lang))
+            lists = [part.column(c).combine_chunks() for c in ("feature", "value")]
+            feature, value = (x.flatten().to_numpy() for x in lists)
+            rows = Vectors(part.num_rows, np.repeat(np.arange(part.num_rows), pc.list_value_length(lists[0]).to_numpy()), feature, value)
+            centres, line = k_means(rows, CENTROIDS), least_line(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(centres)), pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary()), pa.array([list(line)] * len(centres), pa.list_(pa.float64()))], names=["lang", "vector", "line"])
 
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a number for each language
     share = max(LEAST_ROWS, FIT_ROWS // len(counts))
     every = labelled.sparkSession.createDataFrame([(lang, max(1, -(-rows // share))) for lang, rows in counts.items()], "lang string, every long")
     # Equal ids (or none) still get different hashes by their texts.
     drawn = labelled.join(F.broadcast(every), "lang").where(F.pmod(F.xxhash64("id", "text"), "every") == 0)
-    sample = drawn.select("text", "lang").mapInArrow(vectors, "lang string, vector binary")
-    # Vectors of DIMS numbers: about FIT_ROWS may meet in one task, and more languages take more tasks.
+    sample = drawn.select("text", "lang", F.xxhash64("id", "text").alias("key")).mapInArrow(vectors, "lang string, key long, feature array<int>, value array<float>")
+    # Vectors in sparse form: about FIT_ROWS may meet in one task, and more languages take more tasks.
     tasks = -(-share * len(counts) // FIT_ROWS)
-    found = (sample.repartition(tasks, "lang") if tasks > 1 else sample.repartition(1)).mapInArrow(clustered, "lang string, vector binary, best double").toPandas()
+    found = (sample.repartition(tasks, "lang") if tasks > 1 else sample.repartition(1)).mapInArrow(clustered, "lang string, vector binary, line array<double>").toPandas()
     languages = sorted(set(found["lang"]))
-    if not languages:
-        return Model([], idf, np.zeros((0, DIMS)), np.zeros(0, int), 0.0)
     centroids = np.stack([np.frombuffer(v, dtype=np.float32) for v in found["vector"]])
-    return Model(languages, idf, centroids, np.array([languages.index(x) for x in found["lang"]]), float(found["best"].min() * REJECT))
+    owner = np.array([languages.index(x) for x in found["lang"]])
+    lines = np.zeros((len(languages), 3))
+    lines[owner] = np.stack(found["line"])
+    return Model(languages, idf, centroids, owner, lines)
 
 
 def held_out(id_col: str) -> Column:
@@ -145,7 +212,8 @@ def held_out(id_col: str) -> Column:
 
 
 def train_on(documents: DataFrame) -> Model:
-    rows = documents.where(~held_out("doc_id") & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    """The model of all documents that are not held out and have a language and letters."""
+    rows = documents.where(~held_out("doc_id") & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     return fit(rows.select(F.col("doc_id").alias("id"), "text", "lang"))
 
 
