@@ -61,6 +61,20 @@ def test_modes_agree_and_invariants(inputs, spark):
     assert all(r["factor"] <= join[r["refl_id"]] for r in absorb.factors(t.legs, t.samples, t.volume, t.voxels, more, mode="kernel").collect())
 
 
+def test_large_volumes_and_single_legs(inputs, monkeypatch):
+    """Volumes beyond the broadcast give what join mode gives, in slices; so does kernel mode over packed slabs, also with one leg."""
+    t = inputs
+    found = lambda mode, legs=t.legs: {r["refl_id"]: (r["factor"], r["n_samples"]) for r in absorb.factors(legs, t.samples, t.volume, t.voxels, t.coefficients, mode=mode).collect()}
+    same = lambda a, b: a.keys() == b.keys() and all(abs(a[k][0] - b[k][0]) < 1e-12 and a[k][1] == b[k][1] for k in a)
+    want, one = found("join"), t.legs.where("leg = 2 or refl_id % 3 = 0")
+    monkeypatch.setattr(absorb, "SLAB", 1000, raising=False)
+    assert same(want, found("kernel")) and same(found("join", one), found("kernel", one))
+    n = t.legs.count() * 8 * 24 // 2
+    monkeypatch.setattr(absorb, "JOIN_STEPS", n // 3)
+    monkeypatch.setattr(absorb, "KERNEL_VOLUME", 10)
+    assert same(want, found("kernel")) and same(want, found("auto"))
+
+
 def test_boundaries_count_like_labels(inputs):
     counts = absorb.boundary_counts(absorb.boundaries(inputs.labelled))
     plain = inputs.labelled.groupBy(*absorb.RAY).agg(*(F.count_if(F.col("label") == c).alias(f"n_{n}") for c, n in absorb.LABELS.items()), F.count_if(F.lit(True)).alias("n"))

@@ -8,6 +8,8 @@ same formula on arrays inside tasks, for problems whose steps are too many to ex
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,8 @@ LABELS = {1: "li", 2: "lo", 3: "cr", 4: "bu"}
 RAY = ("refl_id", "sample_id", "leg")
 #: Estimated steps up to which join mode is chosen, and bytes of a volume that may be broadcast.
 JOIN_STEPS, KERNEL_VOLUME = 500_000_000, 1 << 30
+#: Cells of a volume that one task packs into bytes at once.
+SLAB = 1 << 20
 
 
 def plan_rays(legs: DataFrame, samples: DataFrame, volume: DataFrame) -> DataFrame:
@@ -134,16 +138,36 @@ def method_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("refl_id", F.col("factor").alias("a")).join(b.select("refl_id", F.col("factor").alias("b")), "refl_id").select("refl_id", ((F.col("a") - F.col("b")) / F.col("b") * 100).alias("difference"))
 
 
+def packed_cube(voxels: DataFrame, shape: tuple[int, int, int]) -> np.ndarray:
+    """The labels of the volume as one byte a cell. Tasks pack runs of SLAB cells, and these reach the driver a partition at a time; voxels outside the volume are never met and left out."""
+    nz, ny, nx = shape
+    size, cells = SLAB, nz * ny * nx
+    key = (F.col("z").cast("long") * ny + F.col("y")) * nx + F.col("x")
+    inside = (F.col("z").between(0, nz - 1)) & (F.col("y").between(0, ny - 1)) & (F.col("x").between(0, nx - 1))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        slab = int(pdf["slab"].iloc[0])
+        part = np.zeros(min(size, cells - slab * size), np.int8)
+        part[pdf["cell"].to_numpy()] = pdf["label"].to_numpy()
+        return pd.DataFrame({"slab": [slab], "cells": [part.tobytes()]})
+
+    keyed = voxels.where(inside).select(key.alias("key"), F.col("label").cast("byte").alias("label"))
+    slabs = keyed.select(F.floor(F.col("key") / size).alias("slab"), (F.col("key") % size).cast("int").alias("cell"), "label").groupBy("slab").applyInPandas(packed, "slab long, cells binary")
+    cube = np.zeros(cells, np.int8)
+    for r in slabs.toLocalIterator():
+        part = np.frombuffer(r["cells"], np.int8)
+        cube[r["slab"] * size : r["slab"] * size + len(part)] = part
+    return cube.reshape(shape)
+
+
 def kernel_factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """absorption_factor in kernel mode: the volume is broadcast as bytes, rays march in arrays and end at the first vacuum, and a task's partial sums are added up by Spark."""
+    """absorption_factor in kernel mode: the volume is broadcast as bytes, rays march in arrays and end at the first vacuum, and a task's partial sums are added up by Spark. A reflection may have one leg only."""
     spark = legs.sparkSession
     meta = volume.first()
     shape = (meta["nz"], meta["ny"], meta["nx"])
     if shape[0] * shape[1] * shape[2] > KERNEL_VOLUME:
-        raise ValueError("the volume is too large to broadcast; use join mode, or crop it to its labels")
-    grid = np.zeros(shape, np.int8)
-    at = voxels.select("z", "y", "x", "label").toArrow()
-    grid[tuple(at.column(c).to_numpy() for c in "zyx")] = at.column("label").to_numpy()
+        raise ValueError("the volume is too large to broadcast; use sliced_factors")
+    grid = packed_cube(voxels, shape)
     points = samples.select("z", "y", "x").toPandas().to_numpy(np.int64)
     mu = np.zeros(5)
     for r in coefficients.collect():
@@ -155,7 +179,11 @@ def kernel_factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxel
         for pdf in batches:
             for begin in range(0, len(pdf), 512):
                 part = pdf.iloc[begin : begin + 512]
-                e = np.stack([exponents(cube, origin, weights, sizes, np.array(part[c].tolist(), dtype=float)) for c in ("leg1", "leg2")]).sum(axis=0)
+                e = np.zeros((len(part), len(origin)))
+                for c in ("leg1", "leg2"):
+                    there = part[c].notna().to_numpy()
+                    if there.any():
+                        e[there] += exponents(cube, origin, weights, sizes, np.array(part[c][there].tolist(), dtype=float))
                 yield pd.DataFrame({"refl_id": part["refl_id"].to_numpy(), "total": np.exp(-e).sum(axis=1), "n": len(origin)})
 
     both = legs.groupBy("refl_id").agg(*(F.first(F.when(F.col("leg") == k, F.array("v0", "v1", "v2")), ignorenulls=True).alias(f"leg{k}") for k in (1, 2)))
@@ -199,11 +227,34 @@ def exponents(cube: np.ndarray, origin: np.ndarray, weights: np.ndarray, sizes:
     return (lengths @ weights).reshape(len(v), len(origin))
 
 
+def sliced_factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, coefficients: DataFrame, slices: int) -> DataFrame:
+    """absorption_factor in join mode, one slice of reflections after the other, so the steps of one slice are on disk at a time; only factors are kept, in the checkpoint folder."""
+    spark = legs.sparkSession
+    if slices > 1 and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='voxlight-')}")
+    out = None
+    for k in range(slices):
+        part = legs.where(F.pmod(F.xxhash64("refl_id"), F.lit(slices)) == k)
+        found = absorption_factor(transmission(trace(part, samples, volume, voxels), coefficients))
+        found = found.checkpoint() if slices > 1 else found
+        out = found if out is None else out.union(found)
+    return out
+
+
 def factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, coefficients: DataFrame, mode: str = "auto") -> DataFrame:
-    """Absorption factors of all reflections. Mode 'auto' estimates the steps and takes join mode up to JOIN_STEPS of them, else kernel mode."""
-    if mode == "auto":
-        size = volume.select(F.greatest("nz", "ny", "nx").alias("n")).first()["n"]
-        mode = "join" if legs.count() * samples.count() * size // 2 <= JOIN_STEPS else "kernel"
-    if mode == "kernel":
+    """Absorption factors of all reflections.
+
+    Mode 'auto' estimates the steps and takes join mode up to JOIN_STEPS of them, else
+    kernel mode. A volume of more than KERNEL_VOLUME cells is never broadcast: instead of
+    kernel mode, join mode runs in slices of about JOIN_STEPS steps.
+    """
+    if mode == "join":
+        return sliced_factors(legs, samples, volume, voxels, coefficients, 1)
+    meta = volume.first()
+    large = meta["nz"] * meta["ny"] * meta["nx"] > KERNEL_VOLUME
+    if mode == "kernel" and not large:
+        return kernel_factors(legs, samples, volume, voxels, coefficients)
+    steps = legs.count() * samples.count() * max(meta["nz"], meta["ny"], meta["nx"]) // 2
+    if steps > JOIN_STEPS and not large:
         return kernel_factors(legs, samples, volume, voxels, coefficients)
-    return absorption_factor(transmission(trace(legs, samples, volume, voxels), coefficients))
+    return sliced_factors(legs, samples, volume, voxels, coefficients, max(1, -(-steps // JOIN_STEPS)))
