@@ -21,9 +21,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where none is named."""
+    """The folder that all executors share: spark.checkpoint.dir. Where none is named, a local session gets a folder of its own and a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='voxlight-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -33,7 +35,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of materialized tables that no result will read any more; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "__dict__", {}).get("written_to"):
+            jvm = t.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def from_json_literal(text: str, ddl: str) -> Column:

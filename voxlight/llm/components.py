@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,24 +18,29 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     can split. Nulls and links of a node with itself say nothing.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = materialize(edges, "edges")
+    written = edges = materialize(edges, "edges")
     for _ in range(most_rounds):
         least = edges.groupBy("u").agg(F.min("v").alias("p"))
-        if edges.count() == least.count():
+        if not edges.groupBy("u").count().where("count > 1").limit(1).count():
             # One pointer a node: follow pointers until all end at a root.
             up = least.select(F.col("u").alias("p"), F.col("p").alias("q"))
             stepped = least.join(up, "p", "left").select("u", F.coalesce("q", "p").alias("v"), F.col("q").isNotNull().alias("moved"))
             stepped = materialize(stepped, "pointers")
-            edges = stepped.select("u", "v")
+            discard(written)
+            written, edges = stepped, stepped.select("u", "v")
             if stepped.where("moved").limit(1).count() == 0:
                 break
             continue
         handed = edges.join(least, "u").where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"))
         edges = materialize(least.select("u", F.col("p").alias("v")).union(handed).distinct(), "edges")
+        discard(written)
+        written = edges
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out.written_to = written.written_to  # discard(result) deletes what it is read from
+    return out
 
 
 def forest(a, b, n: int):

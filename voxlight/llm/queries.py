@@ -17,7 +17,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_texts(table(spark, sf_dir, "documents"))
+    return jaccard.near_texts(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
