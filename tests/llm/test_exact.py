@@ -48,10 +48,17 @@ def test_empty_and_payload(frame):
     assert kept.columns == df.columns and kept.count() == sum(r[3] for r in brute(ODD))
 
 
+def test_long_shared_heads(frame, monkeypatch):
+    """Texts that differ only beyond the sampled characters still spread over buckets."""
+    monkeypatch.setattr(exact, "HEAD", 20)
+    rows = [(i, "p" * 300 + str(i % 70)) for i in range(300)]
+    assert rows_of(exact.content_sort(frame(rows))) == brute(rows)
+
+
 def test_borders_are_short_and_ascending():
-    out = exact.splitters([("abc", 1), ("abd", 2), ("abd", 3), ("abd", 4), ("zzz", 5), ("zzzz", 6)], 6)
-    pairs = [(b["t"], b["i"]) for b in out]
-    assert pairs == sorted(set(pairs)) and ("z", exact.LEAST_ID) in pairs and ("abd", 3) in pairs
+    out = exact.splitters([("abc", 5, 1), ("abd", 2, 2), ("abd", 2, 3), ("abd", 7, 4), ("zzz", 1, 5), ("zzzz", 0, 6)], 6)
+    tuples = [(b["t"], b["h"], b["i"]) for b in out]
+    assert tuples == [("abd", exact.LEAST, exact.LEAST), ("abd", 2, 3), ("abd", 7, exact.LEAST), ("z", exact.LEAST, exact.LEAST), ("zzzz", exact.LEAST, exact.LEAST)]
 
 
 def test_against_sql(spark):

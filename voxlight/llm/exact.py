@@ -1,11 +1,13 @@
 """Exact deduplication by content sort.
 
 Texts are compared after deleting the characters [\x20\x09-\x0D]. Splitters taken from a
-bounded sample range-partition the rows by (normalised text, id): the id is part of the
-order, so a text that a third of all rows share still spreads over many buckets. Spark
-sorts each bucket externally; equal texts are then neighbours, and one full comparison
-with the row before tells where a run of equal texts begins. A run that crosses a bucket
-border is joined by comparing the last text of a bucket with the first of the next.
+bounded sample range-partition the rows by (first characters of the normalised text, hash of
+all of it, id): of sampled texts only the first HEAD characters and the hash reach the driver,
+and the id is part of the order, so a text that a third of all rows share still spreads over
+many buckets. Spark sorts each bucket externally; equal texts are then neighbours, and one
+full comparison with the row before tells where a run of equal texts begins. A run that
+crosses a bucket border is joined by comparing the last text of a bucket with the first of
+the next.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import count_not_above, from_json_literal, materialize, partitions
 
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
-#: Buckets for each shuffle partition, the most buckets, and sampled rows for each bucket: the sample holds
-#: MOST_BUCKETS * SAMPLES rows at most, whatever the size of the data.
-BUCKETS, MOST_BUCKETS, SAMPLES = 4, 8192, 8
-LEAST_ID = -(2**63)
+#: Bytes of text for a bucket, about, the most buckets, sampled rows for each, and characters of a sampled text:
+#: the sample is 2 * MOST_BUCKETS * SAMPLES rows of HEAD characters at most, whatever the size of the data.
+BUCKET_BYTES, MOST_BUCKETS, SAMPLES, HEAD = 16_000_000, 32_768, 4, 256
+LEAST = -(2**63)
 
 
 def normalised(text: Column) -> Column:
@@ -33,18 +35,18 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def splitters(sample: list[tuple[str, int]], buckets: int) -> list[dict]:
-    """Ascending (text, id) borders, as short as they can be: a text is cut where it first differs from its predecessor."""
+def splitters(sample: list[tuple[str, int, int]], buckets: int) -> list[dict]:
+    """Ascending (head, hash, id) borders, as short as they can be: each is cut where it first differs from its predecessor."""
     sample = sorted(sample)
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []
     for b in range(1, buckets):
         if not 0 < (i := b * len(sample) // buckets) < len(sample):
             continue
-        (before, _), (text, at) = sample[i - 1], sample[i]
-        border = (text, at) if text == before else (text[: len(commonprefix([before, text])) + 1], LEAST_ID)
+        (before, old, _), (head, new, at) = sample[i - 1], sample[i]
+        border = (head[: len(commonprefix([before, head])) + 1], LEAST, LEAST) if head != before else (head, new, LEAST) if new != old else (head, new, at)
         if not out or border > out[-1]:
             out.append(border)
-    return [{"t": t, "i": i} for t, i in out]
+    return [{"t": t, "h": h, "i": i} for t, h, i in out]
 
 
 def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: Sequence[str] = ()) -> DataFrame:
@@ -57,21 +59,28 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = df.sparkSession
     source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*payload).alias("row")] if payload else []))
-    order = F.coalesce(F.col("id"), F.lit(2**63 - 1))
-    buckets = min(MOST_BUCKETS, BUCKETS * partitions(spark))
-    rows = df.count()
-    every = max(1, rows // (buckets * SAMPLES))
-    sampled = source.where(F.pmod(F.xxhash64(F.col("id"), F.length("text")), F.lit(every)) == 0)
-    sample = sampled.select(normalised(F.col("text")).alias("t"), order.alias("i")).limit(2 * buckets * SAMPLES).collect()
-    borders = splitters([(r["t"], r["i"]) for r in sample], buckets)
-
-    literal = from_json_literal(json.dumps(borders), "array<struct<t:string,i:bigint>>")
-    norm, carried = F.col("norm"), [F.col("row")] if payload else []
-    source = source.select("id", "text", *carried, normalised(F.col("text")).alias("norm"), order.alias("i"))
-    bucket = count_not_above(literal, len(borders), lambda s: (s["t"] < norm) | ((s["t"] == norm) & (s["i"] <= F.col("i"))))
-    dealt = source.select("id", "i", F.length("text").alias("n"), "norm", *carried, bucket.alias("bucket"))
-
-    w = Window.partitionBy("bucket").orderBy("norm", "i")
+    source = source.withColumn("i", F.coalesce("id", F.lit(2**63 - 1)))
+    total = source.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = min(MOST_BUCKETS, max(partitions(spark), (total["bytes"] or 0) // BUCKET_BYTES))
+    every = max(1, total["rows"] // (buckets * SAMPLES))
+    norm, head, digest = F.col("norm"), F.substring("norm", 1, HEAD), F.xxhash64("norm")
+    sampled = source.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(every)) == 0).select(normalised(F.col("text")).alias("norm"), "i")
+    sample = sampled.select(head.alias("t"), digest.alias("h"), "i").limit(2 * buckets * SAMPLES).collect()
+    borders = splitters([(r["t"], r["h"], r["i"]) for r in sample], buckets)
+
+    literal = from_json_literal(json.dumps(borders), "array<struct<t:string,h:bigint,i:bigint>>")
+    carried = [F.col("row")] if payload else []
+    at = F.struct(head.alias("t"), digest.alias("h"), F.col("i").alias("i"))
+    placed = source.select("id", "text", "i", *carried, normalised(F.col("text")).alias("norm")).withColumn("at", at)
+    placed = placed.withColumn("bucket", count_not_above(literal, len(borders), lambda b: b <= F.col("at")))
+    # A payload that holds the text brings it along; the normalised text is then made again beyond the shuffle.
+    again = text_col in payload
+    placed = placed.select("id", "i", F.length("text").alias("n"), *([] if again else ["norm"]), *carried, "bucket").repartitionById(len(borders) + 1, F.col("bucket"))
+    if again:
+        placed = placed.withColumn("norm", normalised(F.col("row")[text_col]))
+    dealt = placed.withColumns({"head": head, "digest": digest})
+
+    w = Window.partitionBy("bucket").orderBy("head", "digest", "norm", "i")
     runs = dealt.withColumns({"before": F.lag("norm").over(w), "first": F.row_number().over(w) == 1, "last": F.lead(F.lit(1)).over(w).isNull()})
     runs = runs.withColumn("run", F.sum((F.col("first") | (F.col("before") != norm)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.select(
@@ -83,15 +92,16 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = runs.withColumns({"size": F.count("*").over(mine), "best": F.max(best).over(mine), "place": tie})
     runs = materialize(runs, "content-sort")
 
-    # Runs that go on in the next bucket: a row or two for each bucket, so all of this is bounded by MOST_BUCKETS.
+    # Runs that go on in the next bucket. Numbers of buckets go through one task, MOST_BUCKETS at most; the texts beside a border meet by joins.
     ends = runs.where("first or last").groupBy("bucket").agg(
         F.max(F.when(F.col("first"), F.col("edge"))).alias("head"), F.max(F.when(F.col("last"), F.col("edge"))).alias("tail"), F.max("run").alias("runs")
     )
     along = Window.orderBy("bucket")
-    ends = ends.select("bucket", "head", F.lag("tail").over(along).alias("tail"), F.lag("runs").over(along).alias("runs"), F.lag("bucket").over(along).alias("left"))
-    goes_on = F.col("tail").isNotNull() & (F.col("tail") == F.col("head"))
-    anchor = F.when(~goes_on, F.struct(F.col("bucket"), F.lit(1).cast("long").alias("run"))).when(F.col("runs") > 1, F.struct(F.col("left").alias("bucket"), F.col("runs").alias("run")))
-    chains = ends.select("bucket", F.last(anchor, ignorenulls=True).over(along).alias("to"), goes_on.alias("goes_on"))
+    beside = ends.select("bucket").withColumn("left", F.lag("bucket").over(along))
+    beside = beside.join(ends.select(F.col("bucket").alias("left"), "tail", "runs"), "left", "left").join(ends.select("bucket", "head"), "bucket")
+    beside = beside.select("bucket", "left", "runs", F.coalesce(F.col("tail") == F.col("head"), F.lit(False)).alias("goes_on"))
+    anchor = F.when(~F.col("goes_on"), F.struct(F.col("bucket"), F.lit(1).cast("long").alias("run"))).when(F.col("runs") > 1, F.struct(F.col("left").alias("bucket"), F.col("runs").alias("run")))
+    chains = beside.select("bucket", F.last(anchor, ignorenulls=True).over(along).alias("to"), "goes_on")
     joined = chains.where("goes_on").select("bucket", F.lit(1).cast("long").alias("run"), "to")
     members = joined.union(joined.select("to.bucket", "to.run", "to")).distinct()
     heads = runs.where("place = 1").select("bucket", "run", "size", "best")
