@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 
 #: A block holds this many bytes of text, or one text.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
+#: Tokens for each key range: however many there are in all, a range is asked for about as many n-grams.
+RANGE_TOKENS = 2_000_000
 #: Counts up to here take Turing's estimate where it is sound, larger ones the log-linear fit's.
 TURING = 5
 #: Counts of counts up to here shape the fit.
@@ -75,13 +77,14 @@ class Block:
     """Documents as token ids into the block's own vocabulary of word hashes; each ends with the end token."""
 
     docs: np.ndarray
+    no_id: np.ndarray
     train: np.ndarray
     sizes: np.ndarray
     tokens: np.ndarray
     vocabulary: np.ndarray
 
     @classmethod
-    def of(cls, docs: np.ndarray, train: np.ndarray, texts: pa.Array) -> Block:
+    def of(cls, docs: np.ndarray, no_id: np.ndarray, train: np.ndarray, texts: pa.Array) -> Block:
         # Lower-cased before the cast: on slices of large strings ascii_lower misreads offsets.
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
         lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -102,16 +105,16 @@ class Block:
         order = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
         rank = np.empty(len(counts), np.uint32)
         rank[order] = np.arange(len(order))
-        return cls(docs, train, (lengths + 1).astype(np.int32), rank[tokens], np.append(hashes, END)[order])
+        return cls(docs, no_id, train, (lengths + 1).astype(np.int32), rank[tokens], np.append(hashes, END)[order])
 
     def row(self, block: int) -> dict:
-        return {"kind": BLOCK, "part": 0, "block": block, "a": squeeze(self.tokens), "b": self.vocabulary.tobytes(), "c": squeeze(self.sizes), "d": self.docs.tobytes() + self.train.tobytes()}
+        return {"kind": BLOCK, "part": len(self.tokens), "block": block, "a": squeeze(self.tokens), "b": self.vocabulary.tobytes(), "c": squeeze(self.sizes), "d": self.docs.tobytes() + self.no_id.tobytes() + self.train.tobytes()}
 
     @classmethod
     def read(cls, row) -> Block:
         sizes = unsqueeze(row.c, np.int32)
-        docs = np.frombuffer(row.d[: 8 * len(sizes)], np.int64)
-        return cls(docs, np.frombuffer(row.d[8 * len(sizes) :], bool), sizes, unsqueeze(row.a, np.uint32), np.frombuffer(row.b, np.uint64))
+        docs, no_id, train = row.d[: 8 * len(sizes)], row.d[8 * len(sizes) : 9 * len(sizes)], row.d[9 * len(sizes) :]
+        return cls(np.frombuffer(docs, np.int64), np.frombuffer(no_id, bool), np.frombuffer(train, bool), sizes, unsqueeze(row.a, np.uint32), np.frombuffer(row.b, np.uint64))
 
     def ngrams(self):
         """Of unigrams and bigrams each: (sorted keys, training counts, for every token the place of its n-gram, and the distinct n-grams' own parts)."""
@@ -169,7 +172,8 @@ def blocks_of(rows: DataFrame) -> DataFrame:
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                block = Block.of(pc.fill_null(part.column("id"), 0).to_numpy().astype(np.int64), part.column("train").to_numpy(zero_copy_only=False).astype(bool), part.column("text"))
+                no_id = pc.is_null(part.column("id")).to_numpy(zero_copy_only=False)
+                block = Block.of(pc.fill_null(part.column("id"), 0).to_numpy().astype(np.int64), no_id, part.column("train").to_numpy(zero_copy_only=False).astype(bool), part.column("text"))
                 row = block.row(number)
                 number += 1
                 yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in "abcd")]))
@@ -293,7 +297,7 @@ def resolve(shared, parts: int):
         spot[ctx[order]] = np.arange(len(order))
         keys = hashes[order]
         rows = dealt(CONTEXT, number, keys, parts, b=s1[ctx][order], c=s2[ctx][order])
-        per_doc = np.stack([block.docs, (~block.train).astype(np.int64), block.sizes.astype(np.int64), add(c > 0).astype(np.int64)]).tobytes()
+        per_doc = np.stack([block.docs, block.no_id.astype(np.int64), (~block.train).astype(np.int64), block.sizes.astype(np.int64), add(c > 0).astype(np.int64)]).tobytes()
         rows.append({"kind": BLOCK, "part": docs, "block": number, "a": per_doc, "b": np.stack([base, part]).tobytes(), "c": squeeze((pairs // (n + 1)).astype(np.int32)) if len(pairs) else b"", "d": squeeze(spot[pairs % (n + 1)].astype(np.int32)) if len(pairs) else b""})
         rows.append({"kind": SPECTRUM, "part": 0, "block": number, "a": squeeze(times.astype(np.int32)) if len(pairs) else b""})
         return frame(rows)
@@ -321,13 +325,13 @@ def finish(shared):
         s: Spectrum = shared.value
         own = next(pdf[pdf["kind"] == BLOCK].itertuples())
         times = next(pdf[pdf["kind"] == SPECTRUM].itertuples())
-        docs, held, tokens, known = np.frombuffer(own.a, np.int64).reshape(4, -1)
+        docs, no_id, held, tokens, known = np.frombuffer(own.a, np.int64).reshape(5, -1)
         base, score = np.frombuffer(own.b, np.float64).reshape(2, -1)
         answers = pdf[pdf["kind"] == CONTEXT].sort_values("part")
         if own.d:
             weight = np.concatenate([unsqueeze(x, np.float64) for x in answers["a"]])
             score = score + np.bincount(unsqueeze(own.c, np.int32), weights=weight[unsqueeze(own.d, np.int32)] * unsqueeze(times.a, np.int32), minlength=len(docs))
-        return pd.DataFrame({"id": docs, "held_out": held > 0, "n_tokens": tokens, "n_known": known, "train_tokens": s.tokens, "base_score": base, "score": score})
+        return pd.DataFrame({"id": pd.arrays.IntegerArray(docs.copy(), no_id > 0), "held_out": held > 0, "n_tokens": tokens, "n_known": known, "train_tokens": s.tokens, "base_score": base, "score": score})
 
     return finished
 
@@ -338,14 +342,15 @@ def scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     Learns from the rows for which `train` holds and scores all. Words are parted by
     [\\x20\\x09-\\x0D] and lower-cased in A-Z; each text has an end token. base_score adds one
     to every count; score is log10 of the model's probability of the text. A null text is
-    empty: its end token alone. A null id comes back as 0; repeated rows count and are
+    empty: its end token alone. A null id stays null; repeated rows count and are
     scored each. An empty table gives an empty result. Without training rows every word is
     the unknown one.
     """
     spark = df.sparkSession
-    parts = 2 * partitions(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     blocks = materialize(blocks_of(rows), "blocks")
+    tokens = blocks.agg(F.sum(F.col("part").cast("long"))).first()[0] or 0
+    parts = max(partitions(spark), -(-tokens // RANGE_TOKENS))
 
     def asked(batches):
         for pdf in batches:
