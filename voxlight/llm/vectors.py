@@ -1,10 +1,12 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Vectors of length 1 with cosine >= t lie within eps = sqrt(2 - 2t) of each other, also after
-projection on principal directions. Each label's vectors are sorted by their grid cells (of
-width eps) on the leading directions and cut into intervals of bounded size. Two intervals
-meet only if the boxes around them come within eps; a task that joins two intervals halves
-them recursively, skips halves that are provably apart, and compares what is left exactly.
+projection on principal directions. All vectors are sorted by label and then by their grid
+cells (of width eps) on the leading directions: one sequence, range-partitioned by Spark, in
+which a crowded cell goes on over as many partitions as it needs. The sequence is cut into
+intervals of bounded size. Two intervals meet only if the boxes around them come within eps;
+a task that joins two intervals halves them recursively, skips halves that are provably
+apart, and compares what is left exactly.
 """
 
 from __future__ import annotations
@@ -14,14 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components, forest
 
 COSINE = 0.98
 #: Leading directions of the grid, vectors in an interval, and vectors below which no more halving is done.
-DIRECTIONS, INTERVAL, LEAF = 8, 512, 64
-#: Quantiles that a strip of the sequence may be cut at.
-QUANTILES = 64
+DIRECTIONS, INTERVAL, LEAF = 8, 1024, 64
 #: Slack on distances for rounding, so that the exact comparison alone decides.
 ROUNDING = 1e-9
 
@@ -86,49 +86,60 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     finite = F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     sum_sq = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c * c)
     usable = rows.where(F.coalesce(finite & (sum_sq > 0), F.lit(False)))
-    rows_of = usable.groupBy("label", "v").agg(F.min("id").alias("home"), F.count("*").alias("copies"))
-    classes = materialize(rows_of.withColumn("x", F.transform("v", lambda c: c / F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, d: acc + d * d)))), "classes")
-    directions = spark.sparkContext.broadcast(principal(classes.select("x")))
+    classes = materialize(usable.groupBy("label", "v").agg(F.min("id").alias("home"), F.count("*").alias("copies")), "classes")
+
+    def unit(batches):
+        for pdf in batches:
+            pdf["x"] = [v / np.sqrt(v @ v) for v in pdf["v"]]
+            yield pdf[["label", "home", "copies", "x"]]
+
+    kind = dict(rows.dtypes)["label"]
+    units = classes.mapInPandas(unit, f"label {kind}, home long, copies long, x array<double>")
+    directions = spark.sparkContext.broadcast(principal(units.select("x")))
     eps = float(np.sqrt(2 - 2 * cosine)) + ROUNDING
 
     def project(batches):
         for pdf in batches:
-            out = []
-            for x in pdf["x"]:
-                out.append(directions.value[len(x)].T @ x)
-            pdf["p"] = out
-            pdf["cells"] = [np.floor(p / eps).astype(np.int32) for p in out]
-            yield pdf[["label", "home", "copies", "v", "x", "p", "cells"]]
+            pdf["p"] = [directions.value[len(x)].T @ x for x in pdf["x"]]
+            pdf["cells"] = [np.floor(p / eps).astype(np.int32) for p in pdf["p"]]
+            yield pdf[["label", "home", "copies", "x", "p", "cells"]]
 
-    kind = dict(rows.dtypes)["label"]
-    placed = classes.mapInPandas(project, f"label {kind}, home long, copies long, v array<double>, x array<double>, p array<double>, cells array<int>")
-    placed = materialize(placed, "grid")
-    # The sequence of a label is cut by its two leading cells into strips, and a strip along the third direction
-    # into intervals by quantiles; copies of a coordinate beyond that are dealt by hash. No task sees a whole strip.
-    lead = [F.coalesce(F.try_element_at("cells", F.lit(k)), F.lit(0)) for k in (1, 2)]
-    strips = placed.withColumns({"d": F.size("x"), "c1": lead[0], "c2": lead[1], "along": F.coalesce(F.try_element_at("p", F.lit(3)), F.lit(0.0))})
-    quantiles = [k / QUANTILES for k in range(1, QUANTILES)]
-    cuts = strips.groupBy("label", "d", "c1", "c2").agg(F.count("*").alias("n"), F.percentile_approx("along", quantiles, 1000).alias("cuts"))
-    strips = strips.join(cuts, ["label", "d", "c1", "c2"])
-    wanted = F.least(F.ceil(F.col("n") / INTERVAL), F.lit(QUANTILES))
-    spot = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("along"))) * wanted / QUANTILES)
-    more = F.ceil(F.col("n") / (INTERVAL * QUANTILES))
-    strips = strips.withColumn("block", (spot * more + F.pmod(F.xxhash64("home"), more)).cast("int"))
-    members = materialize(strips.select("label", "d", "c1", "c2", "block", "home", "copies", "x", "p"), "intervals")
-
-    key = ["label", "d", "c1", "c2", "block"]
-    wide = members.select(*key, F.posexplode("p").alias("k", "q")).groupBy(*key, "k").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
-    boxes = wide.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "lo", "hi"))).alias("box"))
-    boxes = materialize(boxes.withColumn("interval", F.xxhash64(*key)), "boxes")
-    left = boxes.select("label", "d", F.explode(F.sequence(F.col("c1") - 1, F.col("c1") + 1)).alias("c1"), F.col("c2").alias("l2"), F.col("interval").alias("left"), F.col("box").alias("lbox"))
+    placed = units.mapInPandas(project, f"label {kind}, home long, copies long, x array<double>, p array<double>, cells array<int>")
+    order = ["label", "d", "cells", "p", "home"]
+    sequence = materialize(placed.withColumn("d", F.size("x")), "grid").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def cut(batches):
+        """Interval numbers along the sequence: a new one after INTERVAL vectors, and where the label or one of the two leading cells changes."""
+        from pyspark import TaskContext
+
+        at, strip, number = 0, None, TaskContext.get().partitionId() << 32
+        for pdf in batches:
+            out = np.empty(len(pdf), np.int64)
+            for k, (label, d, cells) in enumerate(zip(pdf["label"], pdf["d"], pdf["cells"], strict=True)):
+                own = (label, d, *cells[:2])
+                if own != strip or at == INTERVAL:
+                    at, strip, number = 0, own, number + 1
+                out[k], at = number, at + 1
+            pdf["interval"] = out
+            yield pdf[["label", "d", "interval", "home", "copies", "x", "p", "cells"]]
+
+    members = sequence.mapInPandas(cut, f"label {kind}, d int, interval long, home long, copies long, x array<double>, p array<double>, cells array<int>")
+    members = materialize(members, "intervals")
+
+    side = lambda f, k: F.coalesce(f(F.try_element_at("p", F.lit(k + 1))), F.lit(0.0))
+    cell = lambda k: F.coalesce(F.first(F.try_element_at("cells", F.lit(k))), F.lit(0))
+    box = [F.struct(side(F.min, k).alias("lo"), side(F.max, k).alias("hi")) for k in range(DIRECTIONS)]
+    boxes = members.groupBy("interval").agg(F.first("label").alias("label"), F.first("d").alias("d"), cell(1).alias("c1"), cell(2).alias("c2"), F.array(*box).alias("box"))
+    boxes = materialize(boxes, "boxes")
+    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
+    left = boxes.select("label", "d", near("c1"), "c2", F.col("interval").alias("left"), F.col("box").alias("lbox")).select("label", "d", "c1", near("c2"), "left", "lbox")
     right = boxes.select("label", "d", "c1", "c2", F.col("interval").alias("right"), F.col("box").alias("rbox"))
     gap = F.aggregate(F.zip_with("lbox", "rbox", lambda a, b: F.greatest(F.lit(0.0), a["lo"] - b["hi"], b["lo"] - a["hi"])), F.lit(0.0), lambda acc, g: acc + g * g)
-    meet = left.join(right, ["label", "d", "c1"]).where((F.abs(F.col("c2") - F.col("l2")) <= 1) & (F.col("left") <= F.col("right")) & (gap <= eps * eps)).select("left", "right").distinct()
+    meet = left.join(right, ["label", "d", "c1", "c2"]).where((F.col("left") <= F.col("right")) & (gap <= eps * eps)).select("left", "right")
     meet = materialize(meet.withColumn("pair", F.xxhash64("left", "right")), "meetings")
 
-    named = members.withColumn("interval", F.xxhash64(*key))
     sides = meet.select("pair", F.col("left").alias("interval"), F.lit(0).alias("side")).union(meet.where("left <> right").select("pair", F.col("right"), F.lit(1)))
-    work = sides.join(named.select("interval", "home", "copies", "x", "p"), "interval").select("pair", "side", "home", "copies", "x", "p")
+    work = sides.join(members.select("interval", "home", "copies", "x", "p"), "interval").select("pair", "side", "home", "copies", "x", "p")
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "home"], ignore_index=True)
@@ -149,6 +160,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         return pd.DataFrame({"home": home[some], "links": links[some].astype(np.int64), "root": root[some]})
 
     links = materialize(work.groupBy("pair").applyInPandas(joined, "home long, links long, root long"), "vector-links")
+    discard(members, boxes, meet)
     counts = links.groupBy("home").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("home").alias("a"), F.col("root").alias("b")))
     summary = classes.select("home", "label", "v", "copies").join(counts, "home", "left").join(groups.withColumnRenamed("node", "home"), "home", "left")
