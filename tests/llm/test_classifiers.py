@@ -1,14 +1,89 @@
 import base64
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from odd_rows import ODD
 
 from voxlight.llm import language, toxicity
-from voxlight.llm.features import Words, ngrams
+from voxlight.llm.features import FINAL, MULTIPLIERS, Words, ngrams
 from voxlight.llm.queries import QUERIES
 
-D = "/root/testdata/sf0.01"
+D, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+
+
+#: Texts of no language that the tables hold: code, digits, other languages and scripts.
+STRANGE = [
+    "int main(int argc, char **argv) { for (int i = 0; i < argc; i++) { printf(\"%d: %s\\n\", i, argv[i]); } while (x_1 != NULL && ptr->next) { ptr = ptr->next; free(tmp); } return 0; }" * 3,
+    "4711 " * 200,
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "日本語の文章はここにありますが、学習されていません",
+]
+
+
+def features_of(word, sizes, dims):
+    """The hashed n-grams of one word, byte by byte."""
+    raw = b"\x01" + word.encode() + b"\x01"
+    out = []
+    for size in sizes:
+        for at in range(len(raw) - size + 1):
+            h = size
+            for k in range(size):
+                h = (h ^ raw[at + k]) * int(MULTIPLIERS[k % len(MULTIPLIERS)]) % 2**64
+            out.append((((h ^ h >> 32) * int(FINAL) % 2**64) >> 33) % dims)
+    return out
+
+
+def test_language_against_loops(spark):
+    """The query against its definition in plain loops: frequencies of all training rows, vectors, cosines with every centroid, lines."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.train_on(docs)
+    rows = docs.select("doc_id", "text", "lang", language.held_out("doc_id").alias("held")).collect()
+    words = {r["doc_id"]: regex.sub(r"[^\pL\pM]+", " ", r["text"] or "").lower().split() for r in rows}
+    counts = {i: Counter(f for w in ws for f in features_of(w, language.SIZES, language.DIMS)) for i, ws in words.items()}
+    train = [r["doc_id"] for r in rows if not r["held"] and r["lang"] and words[r["doc_id"]]]
+    seen = Counter(f for i in train for f in counts[i])
+    idf = lambda f: math.log((1 + len(train)) / (1 + seen[f])) + 1
+    got = {r["doc_id"]: r for r in QUERIES["op2_nearest_centroid"](spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        i = r["doc_id"]
+        v = {f: math.log1p(n) * idf(f) for f, n in counts[i].items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[f]) for f, x in v.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cosines))
+        base, slope, most = model.lines[model.owner[best]]
+        least = base + slope * min(math.log(len(v)), most)
+        assert got[i]["lang_pred"] == model.languages[model.owner[best]] and got[i]["score"] == pytest.approx(cosines[best], abs=1e-5)
+        assert got[i]["held_out"] == r["held"] and (got[i]["rejected"] == (cosines[best] < least) or abs(cosines[best] - least) < 1e-5)
+
+
+def test_toxicity_against_loops(spark):
+    """The query against loops: log-count ratios of all labelled rows, and scores from the fitted weights."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train_on(docs, labels)
+    rows = docs.select("doc_id", "text", toxicity.held_out("doc_id").alias("held")).collect()
+    counts = {r["doc_id"]: Counter(f for w in sorted(set((r["text"] or "").lower().split())) for f in features_of(w, toxicity.SIZES, toxicity.DIMS)) for r in rows}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    marked = [(r["doc_id"], toxic[r["doc_id"]]) for r in rows if not r["held"] and toxic.get(r["doc_id"]) is not None]
+    n = [Counter(f for i, y in marked if y == c for f in counts[i]) for c in (0, 1)]
+    total = [sum(x.values()) + toxicity.DIMS for x in n]
+    ratio = lambda f: math.log((n[1][f] + 1) / total[1]) - math.log((n[0][f] + 1) / total[0])
+    clear = {f for f in n[0] | n[1] if abs(ratio(f)) >= toxicity.Z * math.sqrt(1 / (n[0][f] + 1) + 1 / (n[1][f] + 1))}
+    used = set(np.flatnonzero(model.weights).tolist())
+    assert used <= clear and all(abs(model.weights[f]) > 0 for f in used)
+    frame = spark.createDataFrame([(i, next(r["text"] for r in rows if r["doc_id"] == i), y) for i, y in marked], "id long, text string, label int")
+    found = toxicity.ratios(frame.select("text", "label"))
+    assert set(np.flatnonzero(found).tolist()) == clear and all(found[f] == pytest.approx(ratio(f)) for f in clear)
+    got = {r["doc_id"]: r for r in QUERIES["op5_ngram_toxicity"](spark, SMALL).collect()}
+    for r in rows:
+        z = model.bias + sum(k * float(model.weights[f]) for f, k in counts[r["doc_id"]].items())
+        mine = got[r["doc_id"]]
+        assert mine["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6) and mine["held_out"] == r["held"]
 
 
 def test_words_and_ngrams():
@@ -23,7 +98,7 @@ def test_words_and_ngrams():
 def test_language_accuracy_held_out(spark):
     got = QUERIES["op2_nearest_centroid"](spark, D).join(spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got.held_out]
-    assert len(got) == 1000 and (held.lang == held.lang_pred).mean() > 0.95 and got.score.between(0, 1).all() and not got.rejected.any()
+    assert len(got) == 1000 and (held.lang == held.lang_pred).mean() >= 0.99 and got.score.between(0, 1).all() and held.rejected.mean() < 0.005
 
 
 def test_toxicity_held_out(spark):
@@ -77,8 +152,8 @@ def test_strange_texts_are_rejected(spark):
         base64.b64encode(rng.bytes(600)).decode(),
         rng.bytes(600).hex(),
         " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(120)),
-        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
-        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "1234567 88 99 " * 50 + "a b",
+        *STRANGE,
     ]
     docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang")
     empty = spark.range(100_000, 100_400).selectExpr("id as doc_id", "'' as text", "'en' as lang")

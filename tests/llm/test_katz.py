@@ -17,8 +17,27 @@ def words_of(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", lower), 0]
 
 
+def good_turing(counter):
+    """What a count is worth: (r + 1) n(r + 1) / n(r) for counts up to 5 while that grows and stays below r, else by a line through log n(r), averaged over gaps, on log r."""
+    times = Counter(counter.values())
+    rs = sorted(r for r in times if r <= 1000)
+    slope = -2.0
+    if len(rs) > 2:
+        ends = [0, *rs, 2 * rs[-1] - rs[-2]]
+        xs, ys = [math.log(r) for r in rs], [math.log(2 * times[r] / (ends[k + 2] - ends[k])) for k, r in enumerate(rs)]
+        mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+        slope = min(-1.1, sum((x - mx) * (y - my) for x, y in zip(xs, ys)) / sum((x - mx) ** 2 for x in xs))
+    exact, last = {}, 0.0
+    for r in range(1, 6):
+        w = (r + 1) * times[r + 1] / times[r] if times[r] else 0.0
+        if not last < w < r:
+            break
+        exact[r] = last = w
+    return functools.cache(lambda r: exact.get(r) or r * (1 + 1 / r) ** (slope + 1))
+
+
 def brute(rows, train):
-    """Katz by dictionaries; rows: (id, text); train: ids. The discounts are the operator's own, checked apart."""
+    """Katz by dictionaries; rows: (id, text); train: ids."""
     one, two = Counter(), Counter()
     for i, t in rows:
         if i in train:
@@ -28,28 +47,22 @@ def brute(rows, train):
     heads = Counter(one)
     heads[1] = one[0]
 
-    def spectrum(c):
-        s = Counter(c.values())
-        r = np.array(sorted(s), dtype=np.int64)
-        return r, np.array([s[x] for x in r], dtype=np.int64)
-
-    s = katz.Spectrum.of({katz.UNIGRAM: spectrum(one), katz.BIGRAM: spectrum(two)})
-    uni_of = functools.cache(lambda c: float(s.unigram(np.array([c]))[0]))
-    worth = functools.cache(lambda c: float(s.two.worth(np.array([c]))[0]))
-    uni = lambda w: uni_of(one[w])
-    share = lambda h, w: worth(two[h, w]) / heads[h]
+    n, v = sum(one.values()), len(one)
+    worth_one, worth = good_turing(one), good_turing(two)
+    unknown = 1 - sum(worth_one(c) for c in one.values()) / n if n else 1.0
+    uni = lambda w: worth_one(one[w]) / n if one[w] else unknown
+    share = lambda h, w: worth(two[h, w]) / heads[h]
     after = defaultdict(list)
     for h, w in two:
         after[h].append(w)
     weight = functools.cache(lambda h: (1 - sum(share(h, w) for w in after[h])) / (1 - sum(uni(w) for w in after[h])))
     prob = lambda h, w: share(h, w) if two[h, w] else uni(w) * weight(h)
-    n, v = sum(one.values()), len(one)
     out = {}
     for i, t in rows:
         w = words_of(t)
         base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
         out[i] = (i not in train, len(w), sum(one[x] > 0 for x in w), n, base, sum(math.log10(prob(h, x)) for h, x in zip([1, *w], w)))
-    total = {h: sum(prob(h, w) for w in one) + s.unknown * weight(h) for h in list(heads)[:20]}
+    total = {h: sum(prob(h, w) for w in one) + unknown * weight(h) for h in list(heads)[:20]}
     return out, total
 
 
@@ -82,6 +95,13 @@ def test_blocks_are_bounded(spark, monkeypatch):
     check(spark, [(i, f"a b {i % 7} c " * (i % 5)) for i in range(40)])
 
 
+def test_null_ids_stay_null(spark, monkeypatch):
+    monkeypatch.setattr(katz, "RANGE_TOKENS", 3)
+    df = spark.createDataFrame([(None, "a b", None), (0, "c", None), (None, None, None)], DDL)
+    got = katz.scores(df, F.lit(True)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(False, 0, 2), (True, 0, 1), (True, 0, 3)]
+
+
 def test_empty_and_untrained(spark):
     none = spark.createDataFrame([], DDL)
     assert katz.scores(none, F.lit(True)).count() == 0

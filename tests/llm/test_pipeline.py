@@ -3,6 +3,7 @@ import test_exact
 import test_jaccard
 from odd_rows import ODD
 from pyspark.sql import functions as F
+from test_classifiers import STRANGE
 from test_text_tools import check_packs
 
 import corpus_pipeline as pipeline
@@ -49,13 +50,33 @@ def test_clean_documents_stay(spark):
     out = pipeline.clean(spark, docs, "/root/testdata/sf0.01")
     gone = labels.join(out, "doc_id", "left_anti")
     assert gone.where("toxic = 0").count() == 0 and gone.where("toxic = 1").count() > 0
-    assert pipeline.known_language(spark, out, "/root/testdata/sf0.01").count() == out.count()
+
+
+def test_language_stage_drops_what_is_no_language(spark):
+    """Code, digits and other languages go; the documents stay."""
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents")
+    strange = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(STRANGE)], "doc_id long, text string")
+    strange = docs.limit(0).unionByName(strange.selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "cast(0 as bigint) n_chars").select(*docs.columns))
+    out = pipeline.known_language(spark, docs.union(strange), d)
+    assert out.where("doc_id >= 1000000").count() == 0 and out.count() >= 0.999 * docs.count()
+
+
+def test_near_stage_judges_repeated_ids_by_text(spark, frame):
+    one, two = "a b c d e f g h i j", "q r s t u v w x y z"
+    docs = frame([(0, one), (1, one + " k"), (1, two), (None, one), (2, None), (3, "")])
+    out = pipeline.no_near_copies(spark, docs, D)
+    assert sorted(map(str, pairs(out))) == sorted(map(str, [(0, one), (1, two), (None, one), (2, None), (3, "")]))
 
 
 def test_odd_and_empty_documents(spark, tmp_path, frame):
     spark.createDataFrame([(6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = {"toxicity": len(ODD), "language": 10, "exact_dedup": 6, "near_dedup": 5}
     for rows in (ODD, []):
         docs = frame(rows).withColumn("label", F.lit(1)).withColumn("keys", F.array(F.lit("a")))
+        columns = docs.columns
         for name, stage in pipeline.STAGES:
             docs = materialize(stage(spark, docs, str(tmp_path)), name)
+            if name != "packing":
+                assert docs.columns == columns and docs.count() == (left[name] if rows else 0), (name, pairs(docs))
         assert (docs.count() > 0) == bool(rows)

@@ -6,7 +6,8 @@ bounded sample of each language gives several centroids for it. A text takes the
 the centroid with the largest cosine, and is rejected when that cosine lies below what
 nearly all texts of that language and with as many different n-grams reach: each half of
 the language's sample is measured by centroids of the other half, and a line is fitted to
-the cosines by the logarithm of the number of n-grams.
+the cosines by the logarithm of the number of n-grams. A text that is hardly letters is
+far from every language too, however well its few letters fit one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ FIT_ROWS, LEAST_ROWS = 6000, 200
 #: A cosine more than Z standard deviations below its language's line is a rejection. PRIOR
 #: rows of deviation LOOSE count as seen, so that a language with few rows rejects little.
 Z, PRIOR, LOOSE = 8.0, 20, 0.1
+#: Least share of letters among the characters that are no white space.
+LEAST_LETTERS = 0.15
 SLICE, BLOCK = 256, 32
 UNKNOWN = "und"
 
@@ -96,6 +99,12 @@ def has_letters(texts: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(pc.fill_null(texts, ""), r"\pL").to_numpy(zero_copy_only=False)
 
 
+def hardly_letters(texts: pa.Array) -> np.ndarray:
+    texts = pc.fill_null(texts, "")
+    length_without = lambda pattern: pc.utf8_length(pc.replace_substring_regex(texts, pattern, "")).to_numpy(zero_copy_only=False)
+    return length_without(r"[^\pL\pM]+") < LEAST_LETTERS * length_without(r"\s+")
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -115,7 +124,7 @@ class Model:
         score = np.where(letters, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0.0)
         base, slope, most = self.lines[self.owner[best]].T
         least = base + slope * np.minimum(log_size(vectors), most)
-        return [self.languages[self.owner[b]] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score, ~letters | (score < least)
+        return [self.languages[self.owner[b]] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score, ~letters | (score < least) | hardly_letters(texts)
 
 
 def log_size(vectors: Vectors) -> np.ndarray:
@@ -221,7 +230,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row for each row of df: id, lang_pred, score (the best cosine, 0 to 1) and rejected.
 
     A null text and one without letters are `und`, score 0, and rejected; a text that
-    lies far from every centroid is rejected too, but keeps its nearest language.
+    lies far from every centroid is rejected too, but keeps its nearest language. Repeated
+    rows and null ids come back as they are; an empty table gives an empty result; other
+    columns are ignored. A model without languages calls every text `und`.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages * CENTROIDS * DIMS numbers
 
@@ -235,7 +246,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, that the model does not reject. Texts go through once and are not shuffled."""
+    """The rows of df, all columns, that the model does not reject; null texts are. Texts go through once and are not shuffled."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches):
