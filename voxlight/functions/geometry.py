@@ -34,6 +34,12 @@ def product(a: list[list], b: list[list]) -> list[list[Column]]:
     return [[dot(row, [b[k][j] for k in range(3)]) for j in range(3)] for row in a]
 
 
+def orientation(axes: Sequence[Sequence], angles: Sequence[Column]) -> list[list[Column]]:
+    """The goniometer's rotation from its axes and angles (radians) in the order phi, kappa, omega: omega times kappa times phi. Directions are turned back by it."""
+    phi, kappa, omega = (rotation(axis, F.cos(w), F.sin(w)) for axis, w in zip(axes, angles, strict=True))
+    return product(product(omega, kappa), phi)
+
+
 def turn(m: list[list], v: Sequence) -> list[Column]:
     return [dot(row, v) for row in m]
 

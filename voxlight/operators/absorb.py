@@ -8,26 +8,40 @@ same formula on arrays inside tasks, for problems whose steps are too many to ex
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..session import shared_dir
+from . import sampling
 
 LABELS = {1: "li", 2: "lo", 3: "cr", 4: "bu"}
 RAY = ("refl_id", "sample_id", "leg")
 #: Estimated steps up to which join mode is chosen, and bytes of a volume that may be broadcast.
 JOIN_STEPS, KERNEL_VOLUME = 500_000_000, 1 << 30
+#: Samples that are broadcast at most, and about how many meet a leg in one place where there are more.
+BROADCAST_SAMPLES, SAMPLE_BLOCK = sampling.BROADCAST_ROWS, 100_000
 #: Cells of a volume that one task packs into bytes at once.
 SLAB = 1 << 20
 
 
+def with_samples(legs: DataFrame, samples: DataFrame) -> DataFrame:
+    """Every leg with every sample. Up to BROADCAST_SAMPLES samples are broadcast; more are dealt in blocks that meet slices of the legs."""
+    count = samples.count()
+    if count <= BROADCAST_SAMPLES:
+        return legs.crossJoin(F.broadcast(samples))
+    blocks, slices = -(-count // SAMPLE_BLOCK), int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = legs.withColumn("slice", F.pmod(F.xxhash64("refl_id", "leg"), F.lit(slices)).cast("int")).withColumn("block", every(blocks))
+    dealt = samples.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int")).withColumn("slice", every(slices))
+    return mine.join(dealt, ["block", "slice"]).drop("block", "slice")
+
+
 def plan_rays(legs: DataFrame, samples: DataFrame, volume: DataFrame) -> DataFrame:
-    """One row for each leg and sample: exit face, step vector and number of steps. Samples are few by construction, so they and the volume's row are broadcast."""
-    rays = legs.crossJoin(F.broadcast(samples)).crossJoin(F.broadcast(volume))
+    """One row for each leg and sample: exit face, step vector and number of steps. The volume is one row."""
+    rays = with_samples(legs, samples).crossJoin(F.broadcast(volume))
     heading = g.to_volume([F.col("v0"), F.col("v1"), F.col("v2")])
     origin, shape = [F.col(c) for c in "zyx"], [F.col(c) for c in ("nz", "ny", "nx")]
     rays = rays.withColumn("face", g.exit_face(origin, heading, shape))
@@ -67,23 +81,20 @@ def label_steps(steps: DataFrame, voxels: DataFrame, full_iteration: bool = Fals
     return found.withColumn("run", run).withColumn("over", over).where("over is null or k < over").drop("run", "over")
 
 
-def path_lengths(labelled: DataFrame, samples: DataFrame, volume: DataFrame, normalize: str = "steps") -> DataFrame:
+def path_lengths(labelled: DataFrame, volume: DataFrame, normalize: str = "steps") -> DataFrame:
     """Length in each class of each ray: its share of steps times the straight distance from first to last voxel.
 
     normalize 'steps' divides by the steps less one, so that the classes add up to one
     voxel more than the distance; 'sum' divides by the steps in classes, so that they add
-    up to the distance. A ray of one step has no length. The last step and its voxel are
-    the largest of one number (axes of up to 16,384 voxels), so the aggregate stays a hash
-    aggregate on the partitioning that the cut at the first vacuum already has; the
-    first voxel comes from the few samples.
+    up to the distance. A ray of one step has no length. A ray's voxels never turn back along
+    an axis, so its ends lie as far apart as the least and the largest place on each: plain
+    minima and maxima, and the aggregate stays a hash aggregate on the partitioning that the
+    cut at the first vacuum already has.
     """
-    packed = F.shiftleft(F.col("k").cast("long"), 42) + F.shiftleft(F.col("vz").cast("long"), 28) + F.shiftleft(F.col("vy").cast("long"), 14) + F.col("vx")
-    counts = labelled.groupBy(*RAY).agg(F.max(packed).alias("end"), *(F.count_if(F.col("label") == c).alias(name) for c, name in LABELS.items()))
-    ends = counts.join(F.broadcast(samples), "sample_id").crossJoin(F.broadcast(volume))
-    low = (1 << 14) - 1
-    end = {"z": F.shiftright("end", 28).bitwiseAND(low), "y": F.shiftright("end", 14).bitwiseAND(low), "x": F.col("end").bitwiseAND(low)}
-    gap = [(end[a] - F.col(a)) * F.col(f"s{a}") for a in "zyx"]
-    ends = ends.withColumns({"total": F.sqrt(g.dot(gap, gap)), "last": F.shiftright("end", 42)})
+    ends = [f(f"v{a}").alias(f"{n}_{a}") for a in "zyx" for n, f in (("low", F.min), ("high", F.max))]
+    counts = labelled.groupBy(*RAY).agg(F.max("k").alias("last"), *ends, *(F.count_if(F.col("label") == c).alias(name) for c, name in LABELS.items()))
+    gap = [(F.col(f"high_{a}") - F.col(f"low_{a}")) * F.col(f"s{a}") for a in "zyx"]
+    ends = counts.crossJoin(F.broadcast(volume)).withColumn("total", F.sqrt(g.dot(gap, gap)))
     parts = F.col("last") if normalize == "steps" else F.col("li") + F.col("lo") + F.col("cr") + F.col("bu")
     return ends.select(*RAY, *(F.when((F.col("last") > 0) & (parts > 0), F.col("total") * F.col(c) / parts).otherwise(0.0).alias(c) for c in LABELS.values()))
 
@@ -115,7 +126,7 @@ def absorption_factor(rates: DataFrame) -> DataFrame:
 def trace(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, full_iteration: bool = False, normalize: str = "steps") -> DataFrame:
     """Path lengths of all rays, in join mode."""
     labelled = label_steps(trace_steps(plan_rays(legs, samples, volume)), voxels, full_iteration)
-    return path_lengths(labelled, samples, volume, normalize)
+    return path_lengths(labelled, volume, normalize)
 
 
 def boundaries(labelled: DataFrame) -> DataFrame:
@@ -229,9 +240,8 @@ def exponents(cube: np.ndarray, origin: np.ndarray, weights: np.ndarray, sizes:
 
 def sliced_factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, coefficients: DataFrame, slices: int) -> DataFrame:
     """absorption_factor in join mode, one slice of reflections after the other, so the steps of one slice are on disk at a time; only factors are kept, in the checkpoint folder."""
-    spark = legs.sparkSession
-    if slices > 1 and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='voxlight-')}")
+    if slices > 1:
+        shared_dir(legs.sparkSession)
     out = None
     for k in range(slices):
         part = legs.where(F.pmod(F.xxhash64("refl_id"), F.lit(slices)) == k)
@@ -245,16 +255,18 @@ def factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: Data
     """Absorption factors of all reflections.
 
     Mode 'auto' estimates the steps and takes join mode up to JOIN_STEPS of them, else
-    kernel mode. A volume of more than KERNEL_VOLUME cells is never broadcast: instead of
-    kernel mode, join mode runs in slices of about JOIN_STEPS steps.
+    kernel mode. A volume of more than KERNEL_VOLUME cells, or more than BROADCAST_SAMPLES
+    samples, are never broadcast: instead of kernel mode, join mode runs in slices of about
+    JOIN_STEPS steps.
     """
     if mode == "join":
         return sliced_factors(legs, samples, volume, voxels, coefficients, 1)
     meta = volume.first()
-    large = meta["nz"] * meta["ny"] * meta["nx"] > KERNEL_VOLUME
+    points = samples.count()
+    large = meta["nz"] * meta["ny"] * meta["nx"] > KERNEL_VOLUME or points > BROADCAST_SAMPLES
     if mode == "kernel" and not large:
         return kernel_factors(legs, samples, volume, voxels, coefficients)
-    steps = legs.count() * samples.count() * max(meta["nz"], meta["ny"], meta["nx"]) // 2
+    steps = legs.count() * points * max(meta["nz"], meta["ny"], meta["nx"]) // 2
     if steps > JOIN_STEPS and not large:
         return kernel_factors(legs, samples, volume, voxels, coefficients)
     return sliced_factors(legs, samples, volume, voxels, coefficients, max(1, -(-steps // JOIN_STEPS)))

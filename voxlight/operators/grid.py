@@ -6,12 +6,14 @@ n_theta, n_phi cells of equal steps, in degrees.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import absorb
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,12 @@ def grid_legs(spark: SparkSession, axes: Axes) -> DataFrame:
     return cells.select("*", *(e.alias(f"v{k}") for k, e in enumerate(v)))
 
 
+def build_grid(legs: DataFrame, paths: DataFrame, coefficients: DataFrame, method: str = "exponent") -> DataFrame:
+    """(sample_id, i_theta, i_phi, value) of the grid's legs and their paths: the 'exponent' or the 'transmission' of one leg."""
+    rates = absorb.exponent(paths, coefficients) if method == "exponent" else absorb.transmission(paths, coefficients)
+    return rates.join(legs.select("refl_id", "i_theta", "i_phi"), "refl_id").select("sample_id", "i_theta", "i_phi", F.col(method).alias("value"))
+
+
 def mean_grid(grid: DataFrame) -> DataFrame:
     return grid.groupBy("i_theta", "i_phi").agg(F.avg("value").alias("value"))
 
@@ -110,8 +118,8 @@ def near_edge(axes: Axes, theta: Column, phi: Column) -> Column:
     return (F.abs(theta) > 180 - t) | (F.abs(phi) > 90 - p) | (F.abs(F.abs(theta) - 90) < t)
 
 
-def with_fallback(angles: DataFrame, looked_up: DataFrame, traced: DataFrame, axes: Axes) -> DataFrame:
-    """Factors from the grid, and traced ones for reflections of which a leg is near an edge."""
+def with_fallback(angles: DataFrame, axes: Axes, lookup: Callable[[DataFrame], DataFrame], trace: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Factors by lookup(angles), but by trace(refl_id) for reflections of which a leg is near an edge; each sees only the reflections that are its own."""
     flagged = angles.groupBy("refl_id").agg(F.bool_or(near_edge(axes, F.col("theta"), F.col("phi"))).alias("edge"))
-    safe = looked_up.join(flagged.where("not edge"), "refl_id").select("refl_id", "factor", F.lit("grid").alias("source"))
-    return safe.unionByName(traced.join(flagged.where("edge"), "refl_id").select("refl_id", "factor", F.lit("trace").alias("source")))
+    safe = lookup(angles.join(flagged.where("not edge"), "refl_id", "left_semi")).select("refl_id", "factor", F.lit("grid").alias("source"))
+    return safe.unionByName(trace(flagged.where("edge").select("refl_id")).select("refl_id", "factor", F.lit("trace").alias("source")))

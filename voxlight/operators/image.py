@@ -173,6 +173,22 @@ def register_shift(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
     return hits.orderBy(F.desc("overlap"), F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"), "dy", "dx").limit(1)
 
 
+def register_coarse_to_fine(a: DataFrame, b: DataFrame, reach: int, bin_size: int = 4, keep: int = 3) -> DataFrame:
+    """register_shift over a long reach: masks are counted in bins first, and single pixels are moved only around the `keep` best shifts of bins."""
+    binned = lambda df, n: df.groupBy(F.floor(F.col("y") / bin_size).alias("y"), F.floor(F.col("x") / bin_size).alias("x")).agg(F.count("*").alias(n))
+    far = -(-reach // bin_size)
+    every = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
+    moved = binned(b, "nb").withColumn("by", every(-far, far)).withColumn("bx", every(-far, far)).select("by", "bx", "nb", (F.col("y") + F.col("by")).alias("y"), (F.col("x") + F.col("bx")).alias("x"))
+    scores = moved.join(binned(a, "na"), ["y", "x"]).groupBy("by", "bx").agg(F.sum(F.col("na") * F.col("nb")).alias("score"))
+    best = scores.orderBy(F.desc("score"), "by", "bx").limit(keep)
+    around = lambda c: F.explode(F.sequence(F.col(c) * bin_size - bin_size, F.col(c) * bin_size + bin_size))
+    shifts = best.select(around("by").alias("dy"), "bx").select("dy", around("bx").alias("dx"))
+    shifts = shifts.where((F.abs("dy") <= reach) & (F.abs("dx") <= reach)).distinct()  # keep * (2 * bin_size + 1)^2 rows at most
+    spots = b.select("y", "x").crossJoin(F.broadcast(shifts)).select("dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    hits = spots.join(a.select("y", "x"), ["y", "x"]).groupBy("dy", "dx").agg(F.count("*").alias("overlap"))
+    return hits.orderBy(F.desc("overlap"), F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"), "dy", "dx").limit(1)
+
+
 def scan_angles(masks: DataFrame, model: DataFrame) -> DataFrame:
     """masks (angle, y, x, mask) against a model's mask (y, x, mask): per angle the mean absolute difference and the mask's area."""
     both = masks.join(model.select("y", "x", F.col("mask").alias("other")), ["y", "x"], "left")
@@ -182,3 +198,11 @@ def scan_angles(masks: DataFrame, model: DataFrame) -> DataFrame:
 def pick_angles(scan: DataFrame) -> DataFrame:
     """The angle of least difference and the one of largest area."""
     return scan.agg(F.min_by("angle", F.struct("difference", "angle")).alias("offset"), F.max_by("angle", F.struct("area", -F.col("angle"))).alias("viewing"))
+
+
+def two_pass_angles(masks: DataFrame, model: DataFrame, coarse: int = 10) -> DataFrame:
+    """pick_angles over every `coarse` degrees, then over single degrees up to `coarse` from each pick."""
+    first = F.broadcast(pick_angles(scan_angles(masks.where(F.col("angle") % coarse == 0), model)))  # one row
+    near = masks.crossJoin(first)
+    pick = lambda c: pick_angles(scan_angles(near.where(F.abs(F.col("angle") - F.col(c)) <= coarse).select("angle", "y", "x", "mask"), model)).select(c)
+    return pick("offset").crossJoin(pick("viewing"))

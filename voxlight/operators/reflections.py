@@ -45,13 +45,20 @@ def merging_stats(obs: DataFrame, *by: str, half: str = "half") -> DataFrame:
     """
     key = [*by, "h", "k", "l"]
     w = 1 / (F.col("sigma") * F.col("sigma"))
-    per = obs.groupBy(*key).agg(F.avg("i").alias("mean"), F.count("*").alias("n"), (F.sum(F.col("i") * w) / F.sum(w)).alias("merged"), F.sqrt(1 / F.sum(w)).alias("merged_sigma"), F.avg(F.when(F.col("sign") > 0, F.col("i"))).alias("plus"), F.avg(F.when(F.col("sign") < 0, F.col("i"))).alias("minus"))
+    gaps = [(F.avg(F.when((F.col("sign") > 0) & (F.col(half) == k), F.col("i"))) - F.avg(F.when((F.col("sign") < 0) & (F.col(half) == k), F.col("i")))).alias(f"d{k}") for k in (0, 1)]
+    per = obs.groupBy(*key).agg(F.avg("i").alias("mean"), F.count("*").alias("n"), (F.sum(F.col("i") * w) / F.sum(w)).alias("merged"), F.sqrt(1 / F.sum(w)).alias("merged_sigma"), F.avg(F.when(F.col("sign") > 0, F.col("i"))).alias("plus"), F.avg(F.when(F.col("sign") < 0, F.col("i"))).alias("minus"), *gaps)
     gap = F.abs(F.col("i") - F.col("mean"))
     spread = obs.join(per.where("n > 1").select(*key, "mean"), key).groupBy(*by).agg((F.sum(gap) / F.sum(F.col("i"))).alias("r_merge"))
-    both = obs.groupBy(*key).agg(*((F.avg(F.when((F.col("sign") > 0) & (F.col(half) == k), F.col("i"))) - F.avg(F.when((F.col("sign") < 0) & (F.col(half) == k), F.col("i")))).alias(f"d{k}") for k in (0, 1)))
-    whole = per.groupBy(*by).agg(F.avg(F.col("merged") / F.col("merged_sigma")).alias("i_over_sigma_mean"), (F.sum(F.abs(F.col("plus") - F.col("minus"))) / F.sum(F.when(F.col("plus").isNotNull() & F.col("minus").isNotNull(), (F.col("plus") + F.col("minus")) / 2))).alias("r_anom"))
-    cc = both.where("d0 is not null and d1 is not null").groupBy(*by).agg(F.corr("d0", "d1").alias("cc_anom"))
-    return spread.join(whole, list(by)).join(cc, list(by), "left") if by else spread.crossJoin(whole).crossJoin(cc)
+    whole = per.groupBy(*by).agg(F.avg(F.col("merged") / F.col("merged_sigma")).alias("i_over_sigma_mean"), (F.sum(F.abs(F.col("plus") - F.col("minus"))) / F.sum(F.when(F.col("plus").isNotNull() & F.col("minus").isNotNull(), (F.col("plus") + F.col("minus")) / 2))).alias("r_anom"), F.corr("d0", "d1").alias("cc_anom"))
+    return spread.join(whole, list(by)) if by else spread.crossJoin(whole)
+
+
+def fill_from_anomalous(stats: DataFrame, obs: DataFrame, *by: str) -> DataFrame:
+    """stats (by, figures...) with nulls filled from the anomalous statistics, which merge the two signs apart."""
+    apart = merging_stats(obs.withColumn("l", F.col("l") * 2 + (F.col("sign") > 0).cast("int")), *by)
+    figures = [c for c in stats.columns if c not in by and c in apart.columns]
+    both = stats.join(apart.select(*by, *(F.col(c).alias(f"anomalous_{c}") for c in figures)), list(by), "left")
+    return both.select(*(F.coalesce(c, f"anomalous_{c}").alias(c) if c in figures else c for c in stats.columns))
 
 
 def factor_sensitivity(baseline: DataFrame, variants: DataFrame) -> DataFrame:

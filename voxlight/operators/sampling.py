@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CRYSTAL = 3
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def select_label(voxels: DataFrame, label: int = CRYSTAL) -> DataFrame:
@@ -33,7 +35,7 @@ def even(voxels: DataFrame, n: int) -> DataFrame:
     total = placed.agg(F.count("*").alias("total"))
     wanted = voxels.sparkSession.range(n).crossJoin(F.broadcast(total)).where("total > 0")
     wanted = wanted.select(F.col("id").alias("sample_id"), F.floor(F.col("id") * (F.col("total").cast("double") / n)).alias("ordinal"))
-    return placed.join(F.broadcast(wanted), "ordinal").select("sample_id", "z", "y", "x")
+    return placed.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "ordinal").select("sample_id", "z", "y", "x")
 
 
 def slice_quota(voxels: DataFrame, n: int, axis: str = "z") -> DataFrame:
@@ -48,7 +50,7 @@ def slice_quota(voxels: DataFrame, n: int, axis: str = "z") -> DataFrame:
 
 def chance(seed: int) -> Column:
     """A number for each voxel that stays the same when a task runs again."""
-    return F.xxhash64("z", "y", "x", F.lit(seed))
+    return F.md5(F.concat_ws(",", "z", "y", "x", F.lit(seed)))
 
 
 def by_slice(voxels: DataFrame, n: int, axis: str = "z", seed: int = 0) -> DataFrame:
@@ -89,17 +91,23 @@ def inverse_distance_weights(points: DataFrame, distance: str = "distance", by:
     return weighed.join(totals, by).withColumn("weight", F.col("raw") / F.col("all")).drop("raw", "all")
 
 
-def adaptive_rate(total: int, most: int = 15000) -> int:
+def adaptive_rate(total: int | Column, most: int = 15000) -> int | Column:
     """Doubled from 1 until total / rate is at most `most`."""
+    if isinstance(total, Column):
+        return F.when(total <= most, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(total / float(most))))).cast("long")
     return 1 if total <= most else 2 ** math.ceil(math.log2(total / most))
 
 
-def adaptive_step(total: int, first: int = 1000, step: int = 100, most: int = 10000) -> int:
+def adaptive_step(total: int | Column, first: int = 1000, step: int = 100, most: int = 10000) -> int | Column:
     """The step after the first of first, first + step, ... that brings total / rate to `most` or less."""
+    if isinstance(total, Column):
+        return (first + step * (F.greatest(F.lit(0), F.ceil((total / float(most) - first) / float(step))) + 1)).cast("long")
     needed = max(0, math.ceil((total / most - first) / step))
     return first + step * (needed + 1)
 
 
-def scale_ratio(ratio: float, factor: float) -> float:
+def scale_ratio(ratio: float, factor: float | Column) -> float | Column:
     """A ratio for a volume resized by factor, 100 at most."""
+    if isinstance(factor, Column):
+        return F.least(F.lit(100.0), F.lit(float(ratio)) / F.pow(factor, F.lit(3.0)))
     return min(100.0, ratio / factor**3)

@@ -17,6 +17,15 @@ def resize_nearest(voxels: DataFrame, volume: DataFrame, factor: float) -> DataF
     return out.select(*(F.col(f"t{a}").cast("int").alias(a) for a in "zyx"), "label")
 
 
+def resize_sweep(voxels: DataFrame, volume: DataFrame, factors: list[float]) -> DataFrame:
+    """The volume at several sizes, each with its factor."""
+    sizes = [resize_nearest(voxels, volume, f).withColumn("factor", F.lit(f)) for f in factors]
+    out = sizes[0]
+    for more in sizes[1:]:
+        out = out.union(more)
+    return out
+
+
 def rotate_slices(voxels: DataFrame, volume: DataFrame, cos: float, sin: float) -> DataFrame:
     """Each slice turned about its centre, nearest voxel: every target cell reads the source cell that turning back leads to."""
     area = volume.select("ny", "nx", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"))
@@ -47,10 +56,11 @@ def last_number(name: Column) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(name, F.lit(r"(\d+)"), F.lit(1)), F.lit(-1)).cast("int"), F.lit(-1))
 
 
-def natural_order(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """Distinct files with their number and place; names are few beside the rows in them."""
+def natural_order(files: DataFrame, name: str = "file_name", reverse: bool = False) -> DataFrame:
+    """Distinct files with their number and place, the last number first if reversed; names are few beside the rows in them."""
     named = files.select(name).distinct().withColumn("number", last_number(F.col(name)))
-    return named.withColumn("place", F.row_number().over(Window.orderBy("number", name)) - 1)
+    keys = [F.col("number").desc(), F.col(name).desc()] if reverse else ["number", name]
+    return named.withColumn("place", F.row_number().over(Window.orderBy(*keys)) - 1)
 
 
 def gray_to_label(slices: DataFrame, values: dict[int, int]) -> DataFrame:
@@ -62,13 +72,13 @@ def gray_to_label(slices: DataFrame, values: dict[int, int]) -> DataFrame:
 def color_to_label(pixels: DataFrame, colors: DataFrame) -> DataFrame:
     """(r, g, b) to labels by a table (r, g, b, label, rank); the highest rank wins, no match is 0."""
     chosen = colors.groupBy("r", "g", "b").agg(F.max_by("label", "rank").alias("label"))
-    return pixels.join(F.broadcast(chosen), ["r", "g", "b"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return pixels.join(chosen, ["r", "g", "b"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
 def slices_to_voxels(slices: DataFrame, values: dict[int, int]) -> DataFrame:
     """(file_name, y, x, gray) to voxels; z is a file's place in natural order."""
     order = natural_order(slices)
-    placed = slices.join(F.broadcast(order), "file_name").select(F.col("place").alias("z"), "y", "x", "gray")
+    placed = slices.join(order, "file_name").select(F.col("place").alias("z"), "y", "x", "gray")
     return gray_to_label(placed, values).select("z", "y", "x", "label")
 
 

@@ -58,6 +58,22 @@ def r5(t: Inputs):
     return rows.select("dataset", "method", *(F.round(c, n).alias(c) for c, n in FIGURES))
 
 
+@query(
+    "r5_stats_filled",
+    sql(
+        "SELECT dataset, method, round(CASE WHEN method='F' THEN o.r_merge ELSE a.r_merge END, 6) AS r_merge, round(o.i_mean, 6) AS i_over_sigma_mean FROM overall o JOIN apart a USING (dataset, method)",
+        obs=OBS, per=MERGED.format(by="dataset, method,"),
+        overall="SELECT dataset, method, sum(abs(i-mean))/sum(i) AS r_merge, max(i_mean) AS i_mean FROM obs JOIN per USING (dataset, method, h, k, l) JOIN (SELECT dataset, method, avg(merged/ms) AS i_mean FROM per GROUP BY ALL) USING (dataset, method) WHERE n>1 GROUP BY ALL",
+        signed="SELECT dataset, method, h, k, l, sign, avg(i) AS mean, count(*) AS n FROM obs GROUP BY ALL",
+        apart="SELECT dataset, method, sum(abs(i-mean))/sum(i) AS r_merge FROM obs JOIN signed USING (dataset, method, h, k, l, sign) WHERE n>1 GROUP BY ALL",
+    ),
+)
+def r5_filled(t: Inputs):
+    """The figure is missing for all methods but one, and is taken from the anomalous statistics there."""
+    stats = reflections.merging_stats(observations(t), "dataset", "method").select("dataset", "method", F.when(F.col("method") == "F", F.col("r_merge")).alias("r_merge"), "i_over_sigma_mean")
+    return reflections.fill_from_anomalous(stats, observations(t), "dataset", "method").select("dataset", "method", R6("r_merge").alias("r_merge"), R6("i_over_sigma_mean").alias("i_over_sigma_mean"))
+
+
 @query("r6_factor_sensitivity", sql("SELECT event_type AS variant, round(avg(abs(value/100-factor)), 6) AS mean_gap, round(max(abs(value/100-factor)), 6) AS max_gap, round(min(abs(value/100-factor)), 6) AS min_gap FROM events JOIN f ON refl_id = event_id GROUP BY ALL", f=FACTOR))
 def r6(t: Inputs):
     variants = t.events.select(F.col("event_type").alias("variant"), F.col("event_id").alias("refl_id"), (F.col("value") / 100).alias("factor"))

@@ -59,6 +59,10 @@ def region(t: Inputs):
     return t.events.where("user_id%50<>0").selectExpr("CAST(event_id div 24 AS INT) AS y", "CAST(event_id%24 AS INT) AS x").distinct()
 
 
+#: Two uneven blobs, far from periodic.
+BLOB = "SELECT CAST(event_id//48 AS INT) AS y, CAST(event_id%48 AS INT) AS x FROM events WHERE (event_id//48-14)*(event_id//48-14)+(event_id%48-20)*(event_id%48-20)<70 OR (event_id//48-9)*(event_id//48-9)+2*(event_id%48-33)*(event_id%48-33)<50"
+
+
 @query(
     "c5_erode",
     sql(
@@ -130,9 +134,19 @@ def c7_triangle(t: Inputs):
     return image.threshold(image.minmax_u8(pixels(t)), "triangle")
 
 
-@query("c7_threshold_li")
+@query(
+    "c7_threshold_li",
+    sql(
+        "SELECT image_id, CASE WHEN t IS NOT NULL THEN round(t - 1, 6) END AS threshold FROM rounds JOIN (SELECT image_id, max(r) AS r FROM rounds GROUP BY image_id) USING (image_id, r)",
+        pixels=PIXELS, u8=U8, bins="SELECT image_id, u8 + 1e0 AS level, count(*) AS n FROM u8 GROUP BY ALL",
+        rounds="""SELECT image_id, 0 AS r, sum(n*level)/sum(n) AS t, false AS ended FROM bins GROUP BY image_id UNION ALL
+            SELECT image_id, r + 1, (m1-m0)/(ln(m1)-ln(m0)), coalesce(abs((m1-m0)/(ln(m1)-ln(m0))-t) < 1e-6, true) FROM (
+                SELECT s.image_id, r, t, sum(n*level) FILTER (level <= t)/sum(n) FILTER (level <= t) AS m0, sum(n*level) FILTER (level > t)/sum(n) FILTER (level > t) AS m1
+                FROM rounds s JOIN bins b USING (image_id) WHERE NOT ended AND r < 1000 GROUP BY s.image_id, r, t)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def c7_li(t: Inputs):
-    return image.threshold_iterative(image.minmax_u8(pixels(t)), "li")
+    return image.threshold_iterative(image.minmax_u8(pixels(t)), "li").withColumn("threshold", R6("threshold"))
 
 
 @query("c7_threshold_minimum")
@@ -158,6 +172,39 @@ def c8(t: Inputs):
     return image.register_shift(a, b, 3)
 
 
+@query(
+    "c8_register_far",
+    sql(
+        "SELECT * FROM (SELECT CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, count(*) AS overlap FROM b, range(-12, 13) s(dy), range(-12, 13) u(dx), region a WHERE a.y = b.y+dy AND a.x = b.x+dx GROUP BY ALL) ORDER BY overlap DESC, dy*dy+dx*dx, dy, dx LIMIT 1",
+        region=BLOB, b="SELECT y+9 AS y, x-6 AS x FROM region WHERE (y*5+x*3)%7<>0",
+    ),
+)
+def c8_far(t: Inputs):
+    """A shift of (-9, 6), found from bins; the SQL tries every shift up to 12."""
+    a = t.spark.sql(BLOB.replace("//", " div ").replace("FROM events", "FROM {events}"), events=t.events)
+    b = a.where("(y*5+x*3)%7<>0").select((F.col("y") + 9).alias("y"), (F.col("x") - 6).alias("x"))
+    return image.register_coarse_to_fine(a, b, 12)
+
+
+TURNED = "SELECT CAST(event_id%180 AS INT) AS angle, CAST((event_id//180)%12 AS INT) AS y, CAST((event_id//180)//12 AS INT) AS x, CAST((user_id+event_id%180)%3=0 AS INT) AS mask FROM events"
+MODEL = "SELECT y, x, CAST((y*3+x)%2 AS INT) AS mask FROM (SELECT DISTINCT y, x FROM masks)"
+SCAN = "SELECT angle, avg(abs(a.mask-coalesce(m.mask,0))) AS difference, sum(a.mask) AS area FROM masks a LEFT JOIN model m USING (y, x) GROUP BY ALL"
+
+
+@query(
+    "c9_pick_angles",
+    sql(
+        "SELECT (SELECT angle FROM scan, first WHERE abs(angle-o)<=10 ORDER BY difference, angle LIMIT 1) AS offset, (SELECT angle FROM scan, first WHERE abs(angle-v)<=10 ORDER BY area DESC, angle LIMIT 1) AS viewing",
+        masks=TURNED, model=MODEL, scan=SCAN, first="SELECT (SELECT angle FROM scan WHERE angle%10=0 ORDER BY difference, angle LIMIT 1) AS o, (SELECT angle FROM scan WHERE angle%10=0 ORDER BY area DESC, angle LIMIT 1) AS v",
+    ),
+)
+def c9_pick(t: Inputs):
+    """Every ten degrees, then single degrees around the picks."""
+    masks = t.spark.sql(TURNED.replace("//", " div ").replace("FROM events", "FROM {events}"), events=t.events)
+    model = masks.select("y", "x").distinct().select("y", "x", ((F.col("y") * 3 + F.col("x")) % 2).cast("int").alias("mask"))
+    return image.two_pass_angles(masks, model)
+
+
 @query(
     "c9_scan_angles",
     sql(
@@ -212,6 +259,36 @@ def c13(t: Inputs):
     return coeff.coef_sequence(columns, PIXEL, given={"lo": 0.01, "bu": 0.005}).withColumn("mu", R6("mu"))
 
 
+def _all_classes(fraction: float) -> tuple[dict[str, str], list[str]]:
+    """Each class in turn, given those before it; the base class among its own columns alone."""
+    out, known, n = {}, [], f"a{int(fraction * 100)}"
+    for c in ("li", "lo", "cr", "bu"):
+        base = c == "li"
+        score = "li::DOUBLE" if base else f"CASE WHEN li<>0 THEN {c}/li::DOUBLE ELSE 1e0 END"
+        where = "lo=0 AND cr=0 AND bu=0 AND li>0" if base else f"{c}>0"
+        others = "+".join(f"{k}*(SELECT mu FROM {n}_{k})" for k in known) or "0"
+        value = f"-(({others})*0.25e0+ln(intensity))/({c}*0.25e0)"
+        out[f"{n}_{c}_top"] = f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {score} DESC, z, x) AS r, count(*) OVER () AS total FROM seen WHERE {where}) WHERE r <= floor(total*{fraction}e0)"
+        out[f"{n}_{c}"] = f"SELECT coalesce(avg({value}), 0) AS mu FROM {n}_{c}_top"
+        known.append(c)
+    return out, [f"SELECT {fraction}e0 AS fraction, '{c}' AS label, round(mu, 6) AS mu FROM {n}_{c}" for c in known]
+
+
+ALL_STEPS, ALL_PARTS = {}, []
+for _f in (1.0, 0.75, 0.5, 0.25):
+    _steps, _parts = _all_classes(_f)
+    ALL_STEPS |= _steps
+    ALL_PARTS += _parts
+
+
+@query("c13_coef_sequence_all", sql(" UNION ALL ".join(ALL_PARTS), rays=RAYS, seen=SEEN, **ALL_STEPS))
+def c13_all(t: Inputs):
+    """All four classes, none given."""
+    rows = seen(t).cache()
+    columns = {"li": rows.where("lo=0 and cr=0 and bu=0 and li>0"), **{c: rows.where(f"{c} > 0") for c in ("lo", "cr", "bu")}}
+    return coeff.coef_sequence(columns, PIXEL).withColumn("mu", R6("mu"))
+
+
 @query("c14_coef_stats", sql("SELECT event_type AS label, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS std, round(skewness_pop, 4) AS skew, round(avg(value)+2*stddev_pop(value), 6) AS plus2, round(avg(value)*0.8e0, 6) AS low_limit FROM (SELECT event_type, value, avg(pow(value-m, 3)) OVER (PARTITION BY event_type)/pow(s, 3) AS skewness_pop FROM events JOIN (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY ALL) USING (event_type)) GROUP BY event_type, skewness_pop"))
 def c14(t: Inputs):
     out = coeff.coef_stats(t.events.select(F.col("event_type").alias("label"), F.col("value").alias("coef")), "label")

@@ -82,7 +82,7 @@ class Inputs:
 
     @cached_property
     def paths(self) -> DataFrame:
-        return absorb.path_lengths(self.labelled, self.samples, self.volume)
+        return absorb.path_lengths(self.labelled, self.volume)
 
     @cached_property
     def factors(self) -> DataFrame:
@@ -131,11 +131,12 @@ def sql(body: str, **more: str) -> str:
     known = CTE | more
     used: dict[str, str] = {}
 
-    def need(text: str) -> None:
+    def need(text: str, inside: tuple[str, ...] = ()) -> None:
         for name in known:
-            if name not in used and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", text):
-                need(known[name])
+            if name not in used and name not in inside and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", text):
+                need(known[name], (*inside, name))  # a recursive part names itself
                 used.setdefault(name, known[name])
 
     need(body)
-    return ("WITH " + ",\n".join(f"{n} AS ({t})" for n, t in used.items()) + "\n" if used else "") + body
+    # What several others read is made once.
+    return ("WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('rays', 'found', 'labelled', 'counts') else ''}({t})" for n, t in used.items()) + "\n" if used else "") + body

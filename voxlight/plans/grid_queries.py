@@ -37,10 +37,19 @@ def sphere(nt: int, np: int) -> str:
 @query("g1_build_grid", sql("SELECT sample_id, CAST(refl_id%24 AS INT) AS i_theta, CAST(refl_id//24 AS INT) AS i_phi, round(exponent, 9)+0e0 AS value FROM exponents", legs=sphere(24, 12)))
 def g1(t: Inputs):
     """Exponents of one leg for a 24 x 12 grid and every sample."""
-    axes = grid.Axes(24, 12, -179.5, -89.5)
-    legs = grid.grid_legs(t.spark, axes).withColumn("leg", F.lit(1))
-    e = absorb.exponent(absorb.trace(legs.drop("i_theta", "i_phi"), t.samples, t.volume, t.voxels), t.coefficients)
-    return e.join(legs.select("refl_id", "i_theta", "i_phi"), "refl_id").select("sample_id", "i_theta", "i_phi", (F.round("exponent", 9) + 0.0).alias("value"))
+    return built(t, "exponent")
+
+
+def built(t: Inputs, method: str):
+    legs = grid.grid_legs(t.spark, grid.Axes(24, 12, -179.5, -89.5)).withColumn("leg", F.lit(1))
+    paths = absorb.trace(legs.drop("i_theta", "i_phi"), t.samples, t.volume, t.voxels)
+    return grid.build_grid(legs, paths, t.coefficients, method).withColumn("value", F.round("value", 9) + 0.0)
+
+
+@query("g1_build_grid_transmission", sql("SELECT sample_id, CAST(refl_id%24 AS INT) AS i_theta, CAST(refl_id//24 AS INT) AS i_phi, round(transmission, 9)+0e0 AS value FROM rates", legs=sphere(24, 12)))
+def g1_transmission(t: Inputs):
+    """The other method: what passes through one leg."""
+    return built(t, "transmission")
 
 
 @query("g2_mean_grid", sql("SELECT i_theta, i_phi, round(avg(value), 9) AS value FROM grid GROUP BY ALL", grid=GRID))
@@ -110,8 +119,28 @@ EDGE = "SELECT refl_id, bool_or(abs(theta)>170 OR abs(phi)>80 OR abs(abs(theta)-
     ),
 )
 def g9(t: Inputs):
-    found = grid.lookup_nearest(degrees(t), values(t), AXES)
-    return grid.with_fallback(degrees(t), found, t.factors, AXES).withColumn("factor", R6("factor"))
+    return grid.with_fallback(degrees(t), AXES, lambda a: grid.lookup_nearest(a, values(t), AXES), lambda ids: traced(t, ids)).withColumn("factor", R6("factor"))
+
+
+def traced(t: Inputs, ids):
+    """Exact factors of some reflections; no other ray is followed."""
+    paths = absorb.trace(t.legs.join(ids, "refl_id", "left_semi"), t.samples, t.volume, t.voxels)
+    return absorb.absorption_factor(absorb.transmission(paths, t.coefficients))
+
+
+PRODUCT = "SELECT refl_id, exp(sum(ln(value))) AS factor FROM (SELECT refl_id, leg, sum(weight*value) AS value FROM corners JOIN means USING (i_theta, i_phi) GROUP BY ALL) GROUP BY ALL"
+
+
+@query(
+    "g8_mean_product_fallback",
+    sql(
+        "SELECT refl_id, round(factor, 6) AS factor, 'grid' AS source FROM product JOIN edges USING (refl_id) WHERE NOT edge UNION ALL SELECT refl_id, round(factor, 6), 'trace' FROM factors JOIN edges USING (refl_id) WHERE edge",
+        grid=GRID, means=MEANS, angles=ANGLES, deg=DEGREES, spots=SPOTS, corners=corner(False), edges=EDGE, product=PRODUCT,
+    ),
+)
+def g8_fallback(t: Inputs):
+    """Products of the mean map, traced where a leg is near a pole or the seam."""
+    return grid.with_fallback(degrees(t), AXES, lambda a: grid.lookup_mean_product(a, grid.mean_grid(values(t)), AXES), lambda ids: traced(t, ids)).withColumn("factor", R6("factor"))
 
 
 @query("g10_grid_seam_check", sql("SELECT a.sample_id, round(avg(abs(a.value-b.value)), 9) AS mean_gap, round(max(abs(a.value-b.value)), 9) AS max_gap FROM grid a JOIN grid b ON a.sample_id=b.sample_id AND a.i_phi=b.i_phi AND a.i_theta=(b.i_theta+18)%36 GROUP BY ALL", grid=GRID))

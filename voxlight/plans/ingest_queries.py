@@ -11,16 +11,33 @@ from .catalog import query
 from .fixtures import Inputs, sql
 
 
-@query("s1_read_reflections", "SELECT event_id AS refl_id, CAST(event_id%1000 AS DOUBLE)+0.5e0 AS intensity_sum, CAST(event_id%17-8 AS INT) AS h, CAST(user_id%13 AS INT) AS k, CAST(event_id%5 AS INT) AS l, CAST(event_id%64 AS DOUBLE) AS s1_0, CAST(user_id%32 AS DOUBLE)+0.25e0 AS s1_1, CAST(event_id%360 AS DOUBLE) AS omega FROM events")
-def s1(t: Inputs):
-    text = t.events.select(
+S1 = "SELECT event_id AS refl_id, CAST(event_id%1000 AS DOUBLE)+0.5e0 AS intensity_sum, CAST(event_id%17-8 AS INT) AS h, CAST(user_id%13 AS INT) AS k, CAST(event_id%5 AS INT) AS l, CAST(event_id%64 AS DOUBLE) AS s1_0, CAST(user_id%32 AS DOUBLE)+0.25e0 AS s1_1, CAST(event_id%360 AS DOUBLE) AS omega FROM events"
+
+
+def reflection_text(t: Inputs):
+    return t.events.select(
         F.col("event_id").alias("refl_id"), F.format_string("%d.5", F.col("event_id") % 1000).alias("intensity.sum.value"), F.format_string("(%d, %d, %d)", F.col("event_id") % 17 - 8, F.col("user_id") % 13, F.col("event_id") % 5).alias("miller_index"),
         F.format_string("(%d.0, %d.25, 0.5)", F.col("event_id") % 64, F.col("user_id") % 32).alias("s1"), F.format_string("(1.5, 2.5, %d.0)", F.col("event_id") % 360).alias("xyzobs.mm.value"),
     )
-    out = ingest.typed_reflections(text)
+
+
+def flat(out):
     return out.select("refl_id", "intensity_sum", "miller_index.h", "miller_index.k", "miller_index.l", F.col("s1")[0].alias("s1_0"), F.col("s1")[1].alias("s1_1"), F.col("xyzobs_mm")[2].alias("omega"))
 
 
+@query("s1_read_reflections", S1)
+def s1(t: Inputs):
+    return flat(ingest.typed_reflections(reflection_text(t)))
+
+
+@query("s1_read_reflection_files", S1)
+def s1_files(t: Inputs):
+    """Written as JSON lines and read back."""
+    path = scratch(t.spark, "reflections")
+    reflection_text(t).write.json(path)
+    return flat(ingest.read_reflections(t.spark, path, lines=True))
+
+
 @query("s2_export_reflections", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type FROM events")
 def s2(t: Inputs):
     path = scratch(t.spark, "export")
@@ -35,6 +52,16 @@ def s3(t: Inputs):
     return out.select("event_id", F.col("angles")[0].alias("phi"), F.col("angles")[1].alias("kappa"), F.size("axes").alias("n_axes"), F.col("direction")[2].alias("beam"))
 
 
+@query("s3_read_instrument_file", "SELECT CAST(max(event_id)%360 AS DOUBLE) AS phi, CAST(max(user_id)%90 AS DOUBLE) AS kappa, 3 AS n_axes, -1e0 AS beam FROM events")
+def s3_file(t: Inputs):
+    """One file, written and read back."""
+    path = scratch(t.spark, "instrument")
+    text = F.format_string('[{"axes": [[1,0,0],[0,1,0],[0,0,1]], "angles": [%d, %d, 0.5]}, {"direction": [0, 0, -1]}]', F.max("event_id") % 360, F.max("user_id") % 90)
+    t.events.agg(text.alias("value")).write.text(path)
+    out = ingest.read_instrument(t.spark, path)
+    return out.select(F.col("angles")[0].alias("phi"), F.col("angles")[1].alias("kappa"), F.size("axes").alias("n_axes"), F.col("direction")[2].alias("beam"))
+
+
 SLICES = "SELECT 'run2_slice_' || (event_id//576) || '.tif' AS file_name, CAST((event_id//24)%24 AS INT) AS y, CAST(event_id%24 AS INT) AS x, CAST((event_id*7)%5*50 AS INT) AS gray FROM events"
 
 
@@ -52,6 +79,11 @@ def s5(t: Inputs):
     return volume.natural_order(slices(t))
 
 
+@query("s5_natural_order_reversed", sql("SELECT file_name, number, CAST(row_number() OVER (ORDER BY number DESC, file_name DESC) - 1 AS INT) AS place FROM (SELECT DISTINCT file_name, CAST(list_extract(regexp_extract_all(file_name, '(\\d+)'), -1) AS INT) AS number FROM slices)", slices=SLICES))
+def s5_reversed(t: Inputs):
+    return volume.natural_order(slices(t), reverse=True)
+
+
 @query("s6_stack_chunks", "SELECT event_id AS refl_id, 1/(1+value) AS factor FROM events")
 def s6(t: Inputs):
     """Chunks of 1000 rows, the last one named -1, beside files to leave out."""
@@ -80,7 +112,7 @@ def s8(t: Inputs):
 @query("s9_write_path_lengths", sql("SELECT refl_id, sample_id, leg, round(cr, 9) AS cr, round(li, 9) AS li FROM paths"))
 def s9(t: Inputs):
     path = scratch(t.spark, "paths")
-    t.paths.write.parquet(path)
+    ingest.write_path_lengths(t.paths, path)
     return t.spark.read.parquet(path).select("refl_id", "sample_id", "leg", F.round("cr", 9).alias("cr"), F.round("li", 9).alias("li"))
 
 

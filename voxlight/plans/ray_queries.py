@@ -32,12 +32,16 @@ def m2(t: Inputs):
     return sampling.slice_quota(t.voxels, 100)
 
 
-@query("m2_slice")
+QUOTA = "SELECT z, CAST(round_even(n / (total / slices) * 100 / slices, 0) AS BIGINT) AS quota FROM (SELECT z, count(*)::DOUBLE AS n FROM crystal GROUP BY z), (SELECT count(*)::DOUBLE AS total, (max(z)+1)::DOUBLE AS slices FROM crystal)"
+DRAWN = "md5(z || ',' || y || ',' || x || ',0')"
+
+
+@query("m2_slice", sql(f"SELECT z, y, x FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY {DRAWN}, y, x) AS r FROM crystal) JOIN quota USING (z) WHERE r <= quota", quota=QUOTA))
 def m2_members(t: Inputs):
     return sampling.by_slice(t.voxels, 100)
 
 
-@query("m3_random")
+@query("m3_random", sql(f"SELECT z, y, x FROM crystal ORDER BY {DRAWN}, z, y, x LIMIT 200"))
 def m3(t: Inputs):
     return sampling.at_random(t.voxels, 200)
 
@@ -52,6 +56,15 @@ def m5(t: Inputs):
     return sampling.stratified(t.voxels, 20)
 
 
+@query("m5_stratified_properties", sql("SELECT true AS few, true AS distinct_places, true AS all_crystal, CAST(count(*) AS BIGINT) AS crystal FROM crystal"))
+def m5_properties(t: Inputs):
+    """Not more than asked for, no place twice, all of them crystal."""
+    crystal = sampling.select_label(t.voxels).withColumn("inside", F.lit(True))
+    drawn = sampling.stratified(t.voxels, 20).join(crystal, ["z", "y", "x"], "left")
+    seen = drawn.agg(F.count("*").between(1, 20).alias("few"), (F.count("*") == F.countDistinct("z", "y", "x")).alias("distinct_places"), F.every(F.coalesce("inside", F.lit(False))).alias("all_crystal"))
+    return seen.crossJoin(crystal.agg(F.count("*").alias("crystal")))
+
+
 @query("m6_inverse_distance", sql("SELECT z, y, x, round(w / sum(w) OVER (PARTITION BY z), 9) AS weight FROM (SELECT z, y, x, 1 / (1 + sqrt((y-11.5e0)*(y-11.5e0)+(x-11.5e0)*(x-11.5e0))) AS w FROM crystal)"))
 def m6(t: Inputs):
     d = F.sqrt((F.col("y") - 11.5) * (F.col("y") - 11.5) + (F.col("x") - 11.5) * (F.col("x") - 11.5))
@@ -62,15 +75,13 @@ def m6(t: Inputs):
 @query("m7_adaptive_rate", sql("SELECT label, n, CAST(CASE WHEN n<=100 THEN 1 ELSE pow(2, ceil(log2(n/100e0))) END AS BIGINT) AS rate, CAST(10 + 5*(greatest(0, ceil((n/20e0-10)/5e0))+1) AS BIGINT) AS step FROM (SELECT label, count(*) AS n FROM voxels GROUP BY label)"))
 def m7(t: Inputs):
     counts = t.voxels.groupBy("label").agg(F.count("*").alias("n"))
-    rate = F.when(F.col("n") <= 100, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / 100.0))))
-    step = 10 + 5 * (F.greatest(F.lit(0), F.ceil((F.col("n") / 20.0 - 10) / 5.0)) + 1)
-    return counts.select("label", "n", rate.cast("long").alias("rate"), step.cast("long").alias("step"))
+    n = F.col("n")
+    return counts.select("label", "n", sampling.adaptive_rate(n, 100).alias("rate"), sampling.adaptive_step(n, 10, 5, 20).alias("step"))
 
 
 @query("m8_scale_ratio", sql("SELECT refl_id, least(100e0, 5e0/pow((refl_id%10+1)/10e0, 3)) AS ratio FROM reflections"))
 def m8(t: Inputs):
-    f = (F.col("refl_id") % 10 + 1) / 10.0
-    return t.reflections.select("refl_id", F.least(F.lit(100.0), F.lit(5.0) / F.pow(f, F.lit(3.0))).alias("ratio"))
+    return t.reflections.select("refl_id", sampling.scale_ratio(5.0, (F.col("refl_id") % 10 + 1) / 10.0).alias("ratio"))
 
 
 ROT = "SELECT refl_id, radians(refl_id % 360) AS w, v0/sqrt(v0*v0+v1*v1+v2*v2) AS a, v1/sqrt(v0*v0+v1*v1+v2*v2) AS b, v2/sqrt(v0*v0+v1*v1+v2*v2) AS c FROM reflections"
@@ -92,15 +103,32 @@ def d1(t: Inputs):
     return matrices(t).select("refl_id", *((R6(c) + 0.0).alias(c) for c in CELLS))
 
 
+#: Axes of phi, kappa and omega.
+GONIOMETER = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+
+
+@query(
+    "d2_orient_kappa",
+    sql(
+        "SELECT refl_id, round(b0, 6)+0e0 AS s0, round(b1*cos(p)+b2*sin(p), 6)+0e0 AS s1, round(b2*cos(p)-b1*sin(p), 6)+0e0 AS s2 FROM b",
+        a="SELECT refl_id, radians(refl_id%45) AS p, radians(refl_id%90+5e-1) AS k, v0*cos(w)+v1*sin(w) AS a0, v1*cos(w)-v0*sin(w) AS a1, v2 AS a2 FROM (SELECT *, radians(refl_id%360+1.5e0) AS w FROM reflections)",
+        b="SELECT refl_id, p, a0*cos(k)-a2*sin(k) AS b0, a1 AS b1, a0*sin(k)+a2*cos(k) AS b2 FROM a",
+    ),
+)
+def d2_kappa(t: Inputs):
+    """All three circles turned; the SQL turns back by omega, then kappa, then phi."""
+    m = g.orientation(GONIOMETER, [F.radians(F.col("refl_id") % 45), F.radians(F.col("refl_id") % 90 + 0.5), F.radians(F.col("refl_id") % 360 + 1.5)])
+    s = g.turn_back(m, [F.col(f"v{k}") for k in range(3)])
+    return t.reflections.select("refl_id", *((R6(e) + 0.0).alias(f"s{k}") for k, e in enumerate(s)))
+
+
 @query(
     "d2_orient",
     sql("SELECT refl_id, round(v0*cos(w)+v1*sin(w), 6) AS s0, round(-v0*sin(w)+v1*cos(w), 6) AS s1, round(v2, 6) AS s2, round(0.0078125e0*cos(w)+sin(w), 6) AS b0, round(-0.0078125e0*sin(w)+cos(w), 6) AS b1 FROM (SELECT *, radians(refl_id%360 + 1.5e0) AS w FROM reflections)"),
 )
 def d2(t: Inputs):
     """omega about the third axis with an offset of 1.5 degrees, kappa and phi at rest: by the transpose."""
-    w = F.radians(F.col("refl_id") % 360 + 1.5)
-    one = [[F.lit(float(i == j)) for j in range(3)] for i in range(3)]
-    m = g.product(g.rotation([F.lit(0.0), F.lit(0.0), F.lit(1.0)], F.cos(w), F.sin(w)), one)
+    m = g.orientation(GONIOMETER, [F.lit(0.0), F.lit(0.0), F.radians(F.col("refl_id") % 360 + 1.5)])
     s, b = g.turn_back(m, [F.col(f"v{k}") for k in range(3)]), g.turn_back(m, [F.lit(0.0078125), F.lit(1.0), F.lit(0.00390625)])
     return t.reflections.select("refl_id", *(R6(e).alias(f"s{k}") for k, e in enumerate(s)), R6(b[0]).alias("b0"), R6(b[1]).alias("b1"))
 
@@ -222,7 +250,7 @@ def a11(t: Inputs):
 
 @query("a12_proportional_lengths", sql("SELECT refl_id, sample_id, leg, " + ", ".join(f"CASE WHEN last>0 AND li+lo+cr+bu>0 THEN round(total*{c}/(li+lo+cr+bu), 9) ELSE 0e0 END AS {c}" for c in ("li", "lo", "cr", "bu")) + " FROM ends"))
 def a12(t: Inputs):
-    rows = absorb.path_lengths(t.labelled, t.samples, t.volume, normalize="sum")
+    rows = absorb.path_lengths(t.labelled, t.volume, normalize="sum")
     return rows.select(*absorb.RAY, *(F.round(c, 9).alias(c) for c in absorb.LABELS.values()))
 
 

@@ -98,6 +98,15 @@ def v1(t: Inputs):
     return volume.resize_nearest(t.voxels, t.volume, 0.75)
 
 
+def resized(n: str, side: int, factor: str) -> str:
+    return f"SELECT {factor} AS factor, label, count(*) AS n FROM (SELECT unnest(range({n})) AS i, nz, CAST({n} AS BIGINT) AS m FROM volume) a, range({side}) b(i), range({side}) c(i), voxels v WHERE v.z = a.i*a.nz//a.m AND v.y = b.i*24//{side} AND v.x = c.i*24//{side} GROUP BY ALL"
+
+
+@query("v1_resize_sweep", sql(" UNION ALL ".join([resized("nz*3//4", 18, "75e-2"), resized("nz//2", 12, "5e-1"), resized("nz*2", 48, "2e0")])))
+def v1_sweep(t: Inputs):
+    return volume.resize_sweep(t.voxels, t.volume, [0.75, 0.5, 2.0]).groupBy("factor", "label").agg(F.count("*").alias("n"))
+
+
 @query("v2_rotate_slices", sql("SELECT z, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, label FROM (SELECT a.i AS ty, b.i AS tx, CAST(floor((a.i-115e-1)*6e-1-(b.i-115e-1)*8e-1+115e-1+5e-1) AS INT) AS fy, CAST(floor((a.i-115e-1)*8e-1+(b.i-115e-1)*6e-1+115e-1+5e-1) AS INT) AS fx FROM range(24) a(i), range(24) b(i)) JOIN voxels ON y = fy AND x = fx"))
 def v2(t: Inputs):
     return volume.rotate_slices(t.voxels, t.volume, 0.6, 0.8)

@@ -8,10 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, spark.checkpoint.dir; in one of our own where none is named."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir. Where none is named, a local session gets one of its own and a cluster is refused."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='voxlight-')}"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(place)
-    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return place
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

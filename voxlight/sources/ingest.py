@@ -24,8 +24,10 @@ def typed_reflections(rows: DataFrame, key: str = "refl_id") -> DataFrame:
     return rows.select(key, F.col("`intensity.sum.value`").cast("double").alias("intensity_sum"), F.struct(hkl[0].alias("h"), hkl[1].alias("k"), hkl[2].alias("l")).alias("miller_index"), tuple_to_array(F.col("s1")).alias("s1"), tuple_to_array(F.col("`xyzobs.mm.value`")).alias("xyzobs_mm"))
 
 
-def read_reflections(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of text fields, with the place in the list as refl_id."""
+def read_reflections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON list of text fields, with the place in the list as refl_id; or JSON lines that hold refl_id, which many tasks read. A list is one row while it is read (2 GB at most)."""
+    if lines:
+        return typed_reflections(spark.read.schema(f"refl_id long, {REFLECTION_TEXT}").json(path))
     whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.posexplode(F.from_json("value", f"array<struct<{REFLECTION_TEXT.replace(' string', ': string')}>>")).alias("refl_id", "r"))
     return typed_reflections(rows.select(F.col("refl_id").cast("long").alias("refl_id"), "r.*"))
@@ -69,6 +71,11 @@ def write_partitioned(df: DataFrame, path: str, key: str = "refl_id", buckets: i
     df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def write_path_lengths(paths: DataFrame, path: str) -> None:
+    """Path lengths as Parquet, in files by reflection, so that a reflection's rays are read together."""
+    paths.sortWithinPartitions("refl_id", "sample_id", "leg").write.mode("overwrite").parquet(path)
+
+
 def write_report_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
