@@ -5,6 +5,10 @@ that end there, longest first, by following its output links. Each relaxes the b
 of its end. A character that no piece covers falls back to its bytes. As no piece has a
 space after another character, a text can be cut before spaces without changing the best
 path; distinct units of a batch are then encoded once.
+
+The path found has the largest sum of the model's own scores. For a unigram model that is
+what `sentencepiece` finds; a merge model's scores are ranks, which that library applies in
+order instead, so for such a model ids differ, while both decode to the same text.
 """
 
 from __future__ import annotations
