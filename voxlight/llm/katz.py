@@ -31,8 +31,8 @@ from .common import materialize, partitions
 
 #: A block holds this many bytes of text, or one text.
 BLOCK_BYTES = 8_000_000
-#: Tokens for each key range: however many there are in all, a range is asked for about as many n-grams.
-RANGE_TOKENS = 2_000_000
+#: Tokens for each key range and task: however many there are in all, a range is asked for about as many n-grams.
+RANGE_TOKENS = 500_000
 #: Counts up to here take Turing's estimate where it is sound, larger ones the log-linear fit's.
 TURING = 5
 #: Counts of counts up to here shape the fit.
@@ -359,7 +359,7 @@ def scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 for kind, (keys, counts, _) in ((UNIGRAM, one), (BIGRAM, two)):
                     yield frame(dealt(kind, row.block, keys, parts, b=counts))
 
-    answers = materialize(blocks.mapInPandas(asked, SCHEMA).groupBy("kind", "part").applyInPandas(counted, SCHEMA), "counts")
+    answers = materialize(blocks.mapInPandas(asked, SCHEMA).repartition(parts, "kind", "part").groupBy("kind", "part").applyInPandas(counted, SCHEMA), "counts")
 
     def spread(batches):
         for pdf in batches:
@@ -371,9 +371,9 @@ def scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast(Spectrum.of({k: (p["r"].to_numpy(np.int64), p["n"].to_numpy(np.int64)) for k, p in found.groupby("kind")}))
 
     both = blocks.union(answers.where(F.col("kind") != SPECTRUM))
-    partial = materialize(both.groupBy("block").applyInPandas(resolve(shared, parts), SCHEMA), "partial-scores")
-    weights = partial.where(F.col("kind") == CONTEXT).groupBy("part").applyInPandas(weighed, SCHEMA)
-    whole = partial.where(F.col("kind") != CONTEXT).union(weights).groupBy("block")
+    partial = materialize(both.repartition(parts, "block").groupBy("block").applyInPandas(resolve(shared, parts), SCHEMA), "partial-scores")
+    weights = partial.where(F.col("kind") == CONTEXT).repartition(parts, "part").groupBy("part").applyInPandas(weighed, SCHEMA)
+    whole = partial.where(F.col("kind") != CONTEXT).union(weights).repartition(parts, "block").groupBy("block")
     out = whole.applyInPandas(finish(shared), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
