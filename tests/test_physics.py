@@ -108,3 +108,23 @@ def test_light(spark):
     for p, ks in points.items():
         got = {k for k in range(8) if (*p, k) in lit}
         assert len(got) == len(ks) or p in ((3.5, 3.5, 3.5), (6.5, 6.5, 6.5)) and len(got) in (4, 6, 8), (p, got)
+
+
+def test_many_samples_meet_legs_in_blocks(inputs, monkeypatch):
+    """Samples beyond the broadcast give the same rays, each once."""
+    t = inputs
+    want = sorted(tuple(r) for r in absorb.plan_rays(t.legs, t.samples, t.volume).select(*absorb.RAY, "z", "y", "x", "n").collect())
+    monkeypatch.setattr(absorb, "BROADCAST_SAMPLES", 3)
+    monkeypatch.setattr(absorb, "SAMPLE_BLOCK", 2)
+    assert sorted(tuple(r) for r in absorb.plan_rays(t.legs, t.samples, t.volume).select(*absorb.RAY, "z", "y", "x", "n").collect()) == want
+
+
+def test_lengths_of_long_axes(spark):
+    """A volume longer than 2^14 voxels on an axis: one straight ray through crystal."""
+    n = 20_000
+    voxels = spark.range(n).select(F.lit(0).alias("z"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"), F.lit(3).alias("label"))
+    meta = spark.createDataFrame([(1, 1, n, 1.0, 1.0, 0.5)], "nz int, ny int, nx int, sz double, sy double, sx double")
+    legs = spark.createDataFrame([(1, 2, 0.0, 1.0, 0.0)], "refl_id long, leg int, v0 double, v1 double, v2 double")
+    samples = spark.createDataFrame([(0, 0, 0, 5)], "sample_id long, z int, y int, x int")
+    row = absorb.trace(legs, samples, meta, voxels).first()
+    assert row["cr"] == pytest.approx((n - 5) * 0.5) and row["li"] == row["lo"] == row["bu"] == 0
