@@ -174,6 +174,22 @@ def test_toxicity_odd_rows(frame, spark, labels):
     assert toxicity.score(frame([]), model).count() == 0
 
 
+def test_rare_label_is_learned(spark, monkeypatch):
+    """Sixty rows of label 1 among 6,000, where the sample is 200 rows: all of them are drawn, and clean texts stay clean."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 200)
+    said = lambda i: f"the other thing {i % 97} of this and that" + (f" vile brute number {i % 7}" if i % 100 == 0 else "")
+    docs = spark.createDataFrame([(i, said(i)) for i in range(6000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(6000)], "doc_id long, toxic int")
+    seen = {}
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, **more: seen.update({r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}, **more) or fit(rows, **more))
+    model = toxicity.train_on(docs, labels)
+    trained = docs.where(~toxicity.held_out("doc_id"))
+    assert seen[1] == trained.where("doc_id % 100 = 0").count() and 80 < seen[0] < 250 and seen["stand_for"][1] == 1 < seen["stand_for"][0]
+    got = toxicity.score(docs, model).selectExpr("doc_id % 100 = 0 as bad", f"score >= {toxicity.THRESHOLD} as flagged").groupBy("bad", "flagged").count().collect()
+    assert {(r["bad"], r["flagged"]): r["count"] for r in got} == {(False, False): 5940, (True, True): 60}
+
+
 def test_regression_separates():
     rng = np.random.default_rng(7)
     y = np.array([0.0, 1.0] * 50)

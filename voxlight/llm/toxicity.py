@@ -4,8 +4,10 @@ A feature is a hashed character n-gram; its value in a text is the number of the
 distinct words that hold it. The model is fitted on a bounded sample of labelled rows:
 naive Bayes log-count ratios are summed per partition, and a ratio that chance explains
 (within Z standard errors of 0) counts as 0; a logistic regression follows over the
-features scaled by these ratios. As the model is linear, the score of a text is a sum
-over its distinct words, each looked at once in a batch.
+features scaled by these ratios. The sample takes both labels alike, so that a rare label
+is learned too, and the bias is then moved back to the shares of all labelled rows. As the
+model is linear, the score of a text is a sum over its distinct words, each looked at once
+in a batch.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from .features import Words, ngrams, spread
 
 SIZES = (3, 4, 5)
 DIMS = 1 << 17
-#: The model is fitted on about this many labelled rows at most, dealt by a hash of the id.
+#: The model is fitted on about this many labelled rows at most, dealt by a hash of the id: half of
+#: them of either label, and where one label has fewer rows, all of these and more of the other.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
 Z = 3.0
@@ -87,17 +90,16 @@ def ratios(labelled: DataFrame) -> np.ndarray:
     return np.where(np.abs(r) >= Z * np.sqrt(1 / n[0] + 1 / n[1]), r, 0.0)
 
 
-def fit(labelled: DataFrame, rounds: int = 300, l2: float = 1e-4) -> Model:
+def fit(labelled: DataFrame, rounds: int = 300, l2: float = 1e-4, stand_for: tuple[float, float] = (1, 1)) -> Model:
     """labelled: (id, text, label), label 0 or 1. Without both labels the score is the share of label 1, or 0.
 
-    All rows of `labelled` are used, so it should hold a bounded sample.
+    All rows of `labelled` are used, so it should hold a bounded sample, of which a row of
+    label 0 or 1 stands for so many rows as `stand_for` says.
     """
     shares = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(shares) < 2:
         return Model(np.zeros(DIMS), 30.0 if shares.get(1) else -30.0)
     r = ratios(labelled.select("text", "label"))
-    every = max(1, -(-sum(shares.values()) // FIT_ROWS))
-
     shared = labelled.sparkSession.sparkContext.broadcast(r)
 
     def sampled(batches):
@@ -125,7 +127,7 @@ def fit(labelled: DataFrame, rounds: int = 300, l2: float = 1e-4) -> Model:
     found = sparse.repartition(1).mapInArrow(fitted, "feature long, weight double").toPandas()
     w = np.zeros(DIMS + 1)
     w[found["feature"]] = found["weight"]
-    return Model(w[:DIMS] * r, float(w[DIMS]) if len(found) else -30.0)
+    return Model(w[:DIMS] * r, float(w[DIMS] + np.log(stand_for[1] / stand_for[0])) if len(found) else -30.0)
 
 
 def logistic(row: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
@@ -181,8 +183,10 @@ def held_out(id_col: str) -> Column:
 def train_on(documents: DataFrame, labels: DataFrame) -> Model:
     """The model of `documents` learned from `labels`, held-out rows left aside; null labels and texts teach nothing."""
     marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    every = max(1, -(-marks.count() // FIT_ROWS))
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    n0, n1 = counts.get(0, 0), counts.get(1, 0)
+    every0, every1 = (max(1, -(-mine // max(FIT_ROWS // 2, FIT_ROWS - other))) for mine, other in ((n0, n1), (n1, n0)))
     # A hash keeps FIT_ROWS ids of a few bytes each, so this side may be broadcast and no text is shuffled.
-    sample = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    sample = marks.where(F.pmod(F.xxhash64("doc_id"), F.when(F.col("label") == 1, every1).otherwise(every0)) == 0)
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    return fit(materialize(rows.select(F.col("doc_id").alias("id"), "text", "label"), "labelled"))
+    return fit(materialize(rows.select(F.col("doc_id").alias("id"), "text", "label"), "labelled"), stand_for=(every0, every1))
