@@ -2,10 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxlight.operators import absorb, report, sampling, volume
+from voxlight.operators import absorb, image, report, sampling, volume
+from voxlight.plans import coeff_queries
+from voxlight.plans.catalog import QUERIES
 from voxlight.plans.fixtures import Inputs
 
 SMALL = "/root/testdata/sf0.001"
@@ -128,3 +131,39 @@ def test_lengths_of_long_axes(spark):
     samples = spark.createDataFrame([(0, 0, 0, 5)], "sample_id long, z int, y int, x int")
     row = absorb.trace(legs, samples, meta, voxels).first()
     assert row["cr"] == pytest.approx((n - 5) * 0.5) and row["li"] == row["lo"] == row["bu"] == 0
+
+
+def valley_by_loops(counts):
+    h = list(counts)
+    for _ in range(10000):
+        peaks, rising = [], True
+        for i in range(len(h) - 1):
+            if rising and h[i + 1] < h[i]:
+                peaks.append(i)
+                rising = False
+            elif not rising and h[i + 1] > h[i]:
+                rising = True
+        if len(peaks) < 2:
+            return None
+        if len(peaks) == 2:
+            return min(range(peaks[0], peaks[1] + 1), key=lambda i: h[i])
+        h = [(h[max(i - 1, 0)] + h[i] + h[min(i + 1, len(h) - 1)]) / 3 for i in range(len(h))]
+    return None
+
+
+def test_minimum_threshold_against_loops(spark):
+    """Two humps of noisy counts, one hump, a single value; then the registered query over its images."""
+    rng = np.random.default_rng(5)
+    humps = [np.rint(np.concatenate([rng.normal(low, 12, 3000), rng.normal(high, 15, 2500)])).clip(0, 255) for low, high in ((60, 180), (40, 120), (90, 215))]
+    images = [*humps, np.rint(rng.normal(128, 10, 4000)).clip(0, 255), np.full(50, 7)]
+    df = spark.createDataFrame([(k, int(v)) for k, values in enumerate(images) for v in values], "image_id int, u8 int")
+    got = {r["image_id"]: r["threshold"] for r in image.threshold_iterative(df, "minimum").collect()}
+    want = {k: valley_by_loops(np.bincount(values.astype(int), minlength=256).tolist()) for k, values in enumerate(images)}
+    assert got == want and all(want[k] is not None for k in range(3)) and want[4] is None
+    inputs = Inputs(spark, SMALL)
+    pixels = image.minmax_u8(coeff_queries.pixels(inputs)).groupBy("image_id", "u8").count().collect()
+    counts = {}
+    for r in pixels:
+        counts.setdefault(r["image_id"], [0] * 256)[int(r["u8"])] += r["count"]
+    got = {r["image_id"]: r["threshold"] for r in QUERIES["c7_threshold_minimum"](spark, SMALL).collect()}
+    assert got == {k: valley_by_loops(c) for k, c in counts.items()}
