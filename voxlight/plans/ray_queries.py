@@ -236,6 +236,24 @@ def a6_kernel(t: Inputs):
     return absorb.factors(t.legs, t.samples, t.volume, t.voxels, t.coefficients, mode="kernel").withColumn("factor", R6("factor"))
 
 
+#: Crystal voxels in a hundred that a6_sample_ratio takes, so that samples follow the crystal.
+RATIO = 0.5
+SHARE = f"CAST(floor((SELECT count(*) FROM crystal) * {RATIO}e0 / 100) AS BIGINT)"
+
+
+@query(
+    "a6_sample_ratio",
+    sql(
+        "SELECT refl_id, round(factor, 6) AS factor, n_samples FROM factors",
+        samples=f"SELECT s.i AS sample_id, z, y, x FROM crystal JOIN (SELECT i, CAST(floor(i * ((SELECT count(*) FROM crystal) / CAST({SHARE} AS DOUBLE))) AS BIGINT) AS o FROM range({SHARE}) r(i)) s ON o = ordinal",
+    ),
+)
+def a6_ratio(t: Inputs):
+    """As a6, with a share of the crystal sampled and the mode chosen by the number of steps."""
+    n = sampling.sample_size(sampling.select_label(t.voxels).count(), 0, RATIO)
+    return absorb.factors(t.legs, sampling.even(t.voxels, n), t.volume, t.voxels, t.coefficients).withColumn("factor", R6("factor"))
+
+
 @query("a7_per_voxel_distribution", sql("SELECT refl_id, round(min(transmission), 6) AS lowest, round(quantile_cont(transmission, 0.5), 6) AS middle, round(max(transmission), 6) AS highest FROM rates GROUP BY ALL"))
 def a7(t: Inputs):
     return absorb.transmission(t.paths, t.coefficients).groupBy("refl_id").agg(R6(F.min("transmission")).alias("lowest"), R6(F.percentile("transmission", F.lit(0.5))).alias("middle"), R6(F.max("transmission")).alias("highest"))
