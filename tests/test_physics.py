@@ -72,6 +72,12 @@ def test_large_volumes_and_single_legs(inputs, monkeypatch):
     want, one = found("join"), t.legs.where("leg = 2 or refl_id % 3 = 0")
     monkeypatch.setattr(absorb, "SLAB", 1000, raising=False)
     assert same(want, found("kernel")) and same(found("join", one), found("kernel", one))
+    # Fewer rays at once than there are samples, then a few directions at once.
+    for rays in (3, 20):
+        monkeypatch.setattr(absorb, "RAYS", rays)
+        assert same(want, found("kernel"))
+    none = absorb.factors(t.legs, t.samples.limit(0), t.volume, t.voxels, t.coefficients, mode="kernel")
+    assert none.count() == 0 and absorb.factors(t.legs, t.samples.limit(0), t.volume, t.voxels, t.coefficients).count() == 0
     n = t.legs.count() * 8 * 24 // 2
     monkeypatch.setattr(absorb, "JOIN_STEPS", n // 3)
     monkeypatch.setattr(absorb, "KERNEL_VOLUME", 10)

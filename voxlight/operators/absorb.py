@@ -23,8 +23,8 @@ RAY = ("refl_id", "sample_id", "leg")
 JOIN_STEPS, KERNEL_VOLUME = 500_000_000, 1 << 30
 #: Samples that are broadcast at most, and about how many meet a leg in one place where there are more.
 BROADCAST_SAMPLES, SAMPLE_BLOCK = sampling.BROADCAST_ROWS, 100_000
-#: Cells of a volume that one task packs into bytes at once.
-SLAB = 1 << 20
+#: Cells of a volume that one task packs into bytes at once, and rays that it marches at once.
+SLAB, RAYS = 1 << 20, 1 << 16
 
 
 def with_samples(legs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def packed_cube(voxels: DataFrame, shape: tuple[int, int, int]) -> np.ndarray:
 
 
 def kernel_factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """absorption_factor in kernel mode: the volume is broadcast as bytes, rays march in arrays and end at the first vacuum, and a task's partial sums are added up by Spark. A reflection may have one leg only."""
+    """absorption_factor in kernel mode: the volume is broadcast as bytes, rays march in arrays of RAYS at most and end at the first vacuum, and a task's partial sums are added up by Spark. A reflection may have one leg only; without samples there are no factors."""
     spark = legs.sparkSession
     meta = volume.first()
     shape = (meta["nz"], meta["ny"], meta["nx"])
@@ -185,17 +185,26 @@ def kernel_factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxel
         mu[r["label"]] = r["mu"]
     shared = spark.sparkContext.broadcast((grid, points, mu, np.array([meta["sz"], meta["sy"], meta["sx"]])))
 
+    most = RAYS
+
     def march(batches):
         cube, origin, weights, sizes = shared.value
+        if not len(origin):
+            return
+        blocks = [origin[at : at + most] for at in range(0, len(origin), most)]
+        rows = max(1, most // len(blocks[0]))
         for pdf in batches:
-            for begin in range(0, len(pdf), 512):
-                part = pdf.iloc[begin : begin + 512]
-                e = np.zeros((len(part), len(origin)))
-                for c in ("leg1", "leg2"):
-                    there = part[c].notna().to_numpy()
-                    if there.any():
-                        e[there] += exponents(cube, origin, weights, sizes, np.array(part[c][there].tolist(), dtype=float))
-                yield pd.DataFrame({"refl_id": part["refl_id"].to_numpy(), "total": np.exp(-e).sum(axis=1), "n": len(origin)})
+            for begin in range(0, len(pdf), rows):
+                part = pdf.iloc[begin : begin + rows]
+                total = np.zeros(len(part))
+                for block in blocks:
+                    e = np.zeros((len(part), len(block)))
+                    for c in ("leg1", "leg2"):
+                        there = part[c].notna().to_numpy()
+                        if there.any():
+                            e[there] += exponents(cube, block, weights, sizes, np.array(part[c][there].tolist(), dtype=float))
+                    total += np.exp(-e).sum(axis=1)
+                yield pd.DataFrame({"refl_id": part["refl_id"].to_numpy(), "total": total, "n": len(origin)})
 
     both = legs.groupBy("refl_id").agg(*(F.first(F.when(F.col("leg") == k, F.array("v0", "v1", "v2")), ignorenulls=True).alias(f"leg{k}") for k in (1, 2)))
     sums = both.mapInPandas(march, "refl_id long, total double, n long")
