@@ -24,7 +24,7 @@ JOIN_STEPS, KERNEL_VOLUME = 500_000_000, 1 << 30
 #: Samples that are broadcast at most, and about how many meet a leg in one place where there are more.
 BROADCAST_SAMPLES, SAMPLE_BLOCK = sampling.BROADCAST_ROWS, 100_000
 #: Cells of a volume that one task packs into bytes at once, and rays that it marches at once.
-SLAB, RAYS = 1 << 20, 1 << 16
+SLAB, RAYS = 1 << 20, 1 << 14
 
 
 def with_samples(legs: DataFrame, samples: DataFrame) -> DataFrame:
