@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, jaccard, katz, language, packing, pieces, sharding, toxicity, vectors
+from . import bestfit, chat, divergence, exact, jaccard, katz, language, merkle, packing, pieces, sharding, toxicity, vectors
 from .common import table
 
 
@@ -64,6 +64,18 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(tokenizer("piece_bpe_32k.model")), keep_ids=False)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_lsh_forest": op1_lsh_forest,
     "op2_nearest_centroid": op2_nearest_centroid,
@@ -75,6 +87,9 @@ QUERIES = {
     "op8_content_sort": op8_content_sort,
     "op9_katz": op9_katz,
     "op10_pieces": op10_pieces,
+    "op11_divergence": op11_divergence,
+    "op12_merkle": op12_merkle,
+    "op13_best_fit": op13_best_fit,
 }
 
 ORACLES = {
@@ -143,4 +158,78 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    "op11_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), said AS (
+            SELECT d, lang, source, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs
+        ), kept AS (
+            SELECT lang, term, count(*) AS n FROM said GROUP BY ALL HAVING count(DISTINCT d) >= 10
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS n FROM said GROUP BY ALL
+        ), dense AS (
+            SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n, CAST(k.n AS HUGEINT) AS all_n
+            FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), shares AS (
+            SELECT *, 1 + 1000000000 * (n + 2) // (sum(n) OVER g + 2 * count(*) OVER g) AS p, 1 + 1000000000 * (all_n + 2) // (sum(all_n) OVER g + 2 * count(*) OVER g) AS q
+            FROM dense WINDOW g AS (PARTITION BY lang, source)
+        ), gaps AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+            FROM (SELECT DISTINCT lang, source FROM docs) a JOIN (SELECT DISTINCT lang, source FROM docs) b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source
+        ), found AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pairs
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM found
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank FROM placed WHERE part = 'pair' OR place <= 10
+    """,
+    "op12_merkle": r"""
+        WITH RECURSIVE coded AS (
+            SELECT doc_id, coalesce('1' || source, '0') AS g,
+                   list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS whole,
+                   list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+                       lambda c, b: list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) % 2 = 1 AS even,
+                   replace(text, chr(10), '') AS less
+            FROM documents
+        ), leaves AS (
+            SELECT doc_id, g, leaf, tampered, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i
+            FROM (SELECT doc_id, g, sha256(array_to_string(head, '') || whole) AS leaf, CASE WHEN even THEN sha256(array_to_string(head, '') || coalesce(strlen(less) || ':' || less, '-')) ELSE sha256(array_to_string(head, '') || whole) END AS tampered FROM coded)
+        ), levels AS (
+            SELECT g, 0 AS level, list(leaf ORDER BY i) AS nodes FROM leaves GROUP BY g
+            UNION ALL
+            SELECT g, level + 1, list_transform(range(0, len(nodes), 3), lambda k: sha256(array_to_string(nodes[k + 1:k + 3], ''))) FROM levels WHERE len(nodes) > 1
+        ), subroots AS (
+            SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS i FROM levels WHERE len(nodes) = 1
+        ), upper AS (
+            SELECT 0 AS level, list(subroot ORDER BY i) AS nodes FROM subroots
+            UNION ALL
+            SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda k: sha256(array_to_string(nodes[k + 1:k + 3], ''))) FROM upper WHERE len(nodes) > 1
+        ), lower_walk AS (
+            SELECT doc_id, g, 0 AS level, i, tampered AS own, '' AS proof FROM leaves
+            UNION ALL
+            SELECT doc_id, w.g, w.level + 1, i // 3, sha256(array_to_string(nodes[i - i % 3 + 1:i], '') || own || array_to_string(nodes[i + 2:i - i % 3 + 3], '')),
+                   proof || array_to_string(nodes[i - i % 3 + 1:i], '') || array_to_string(nodes[i + 2:i - i % 3 + 3], '')
+            FROM lower_walk w JOIN levels l ON l.g = w.g AND l.level = w.level WHERE len(nodes) > 1
+        ), ends AS (
+            SELECT doc_id, g, own, proof FROM lower_walk QUALIFY level = max(level) OVER (PARTITION BY doc_id)
+        ), upper_walk AS (
+            SELECT doc_id, 0 AS level, s.i, own, proof FROM ends JOIN subroots s USING (g)
+            UNION ALL
+            SELECT doc_id, w.level + 1, i // 3, sha256(array_to_string(nodes[i - i % 3 + 1:i], '') || own || array_to_string(nodes[i + 2:i - i % 3 + 3], '')),
+                   proof || array_to_string(nodes[i - i % 3 + 1:i], '') || array_to_string(nodes[i + 2:i - i % 3 + 3], '')
+            FROM upper_walk w JOIN upper l ON l.level = w.level WHERE len(nodes) > 1
+        ), tops AS (
+            SELECT doc_id, own, proof FROM upper_walk QUALIFY level = max(level) OVER (PARTITION BY doc_id)
+        )
+        SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256, own AS folded_root, own = nodes[1] AS verified
+        FROM leaves JOIN subroots USING (g) JOIN tops USING (doc_id), upper WHERE len(nodes) = 1
+    """,
 }
