@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxlight.operators import absorb, image, report, sampling, volume
+from voxlight.operators import absorb, bricks, image, report, sampling, volume
 from voxlight.plans import coeff_queries
 from voxlight.plans.catalog import QUERIES
 from voxlight.plans.fixtures import Inputs
@@ -37,7 +37,7 @@ def test_cuboid(spark, n, tolerance):
     angles = [10, 30, 45, 60, 80]
     legs, meta, voxels = section(spark, n, angles)
     mu = spark.createDataFrame([(3, 0.01)], "label int, mu double")
-    got = absorb.factors(legs, sampling.even(voxels, voxels.count()), meta, voxels, mu, mode="kernel")
+    got = absorb.factors(legs, sampling.even(voxels, voxels.count()), meta, voxels, mu, mode="bricks")
     want = spark.createDataFrame([(a,) for a in angles], "refl_id long").select("refl_id", report.expected_cuboid(F.col("refl_id").cast("double"), F.lit(0.01), F.lit(100.0), F.lit(120.0)).alias("expected"))
     for r in report.validation_report(got, want, "refl_id").collect():
         assert r["error"] < tolerance
@@ -55,33 +55,59 @@ def test_known_values(spark):
 def test_modes_agree_and_invariants(inputs, spark):
     t = inputs
     join = {r["refl_id"]: r["factor"] for r in absorb.factors(t.legs, t.samples, t.volume, t.voxels, t.coefficients, mode="auto").collect()}
-    kernel = {r["refl_id"]: r["factor"] for r in absorb.factors(t.legs, t.samples, t.volume, t.voxels, t.coefficients, mode="kernel").collect()}
-    assert join.keys() == kernel.keys() and all(abs(join[k] - kernel[k]) < 1e-12 for k in join)
+    bricked = {r["refl_id"]: r["factor"] for r in absorb.factors(t.legs, t.samples, t.volume, t.voxels, t.coefficients, mode="bricks").collect()}
+    assert join.keys() == bricked.keys() and all(abs(join[k] - bricked[k]) < 1e-12 for k in join)
     assert all(0 < v <= 1 for v in join.values())
     none = t.coefficients.withColumn("mu", F.lit(0.0))
     more = t.coefficients.withColumn("mu", F.col("mu") * 2)
-    assert {r["factor"] for r in absorb.factors(t.legs, t.samples, t.volume, t.voxels, none, mode="kernel").collect()} == {1.0}
-    assert all(r["factor"] <= join[r["refl_id"]] for r in absorb.factors(t.legs, t.samples, t.volume, t.voxels, more, mode="kernel").collect())
+    assert {r["factor"] for r in absorb.factors(t.legs, t.samples, t.volume, t.voxels, none, mode="bricks").collect()} == {1.0}
+    assert all(r["factor"] <= join[r["refl_id"]] for r in absorb.factors(t.legs, t.samples, t.volume, t.voxels, more, mode="bricks").collect())
 
 
-def test_large_volumes_and_single_legs(inputs, monkeypatch):
-    """Volumes beyond the broadcast give what join mode gives, in slices; so does kernel mode over packed slabs, also with one leg."""
+def lengths(df):
+    return {tuple(r[c] for c in absorb.RAY): tuple(r[c] for c in ("li", "lo", "cr", "bu")) for r in df.collect()}
+
+
+@pytest.mark.parametrize("edge,block,group,cases", [(32, 256, 500_000, [(True, None)]), (5, 3, 100, [(False, None), (True, {"FRONT": 2, "TOP": 1, "LE": 9})]), (1, 1, 50, [(True, 3)])])
+def test_bricks_agree_with_steps(inputs, monkeypatch, edge, block, group, cases):
+    """Whatever the size of bricks, blocks and groups; with one leg; and in full iteration with limits by face."""
     t = inputs
-    found = lambda mode, legs=t.legs: {r["refl_id"]: (r["factor"], r["n_samples"]) for r in absorb.factors(legs, t.samples, t.volume, t.voxels, t.coefficients, mode=mode).collect()}
-    same = lambda a, b: a.keys() == b.keys() and all(abs(a[k][0] - b[k][0]) < 1e-12 and a[k][1] == b[k][1] for k in a)
-    want, one = found("join"), t.legs.where("leg = 2 or refl_id % 3 = 0")
-    monkeypatch.setattr(absorb, "SLAB", 1000, raising=False)
-    assert same(want, found("kernel")) and same(found("join", one), found("kernel", one))
-    # Fewer rays at once than there are samples, then a few directions at once.
-    for rays in (3, 20):
-        monkeypatch.setattr(absorb, "RAYS", rays)
-        assert same(want, found("kernel"))
-    none = absorb.factors(t.legs, t.samples.limit(0), t.volume, t.voxels, t.coefficients, mode="kernel")
-    assert none.count() == 0 and absorb.factors(t.legs, t.samples.limit(0), t.volume, t.voxels, t.coefficients).count() == 0
-    n = t.legs.count() * 8 * 24 // 2
-    monkeypatch.setattr(absorb, "JOIN_STEPS", n // 3)
-    monkeypatch.setattr(absorb, "KERNEL_VOLUME", 10)
-    assert same(want, found("kernel")) and same(want, found("auto"))
+    for name, n in (("EDGE", edge), ("BLOCK", block), ("GROUP_RAYS", group)):
+        monkeypatch.setattr(bricks, name, n)
+    some = t.legs.where("refl_id < 120 and (leg = 2 or refl_id % 3 = 0)")
+    for full, limits in cases:
+        found = [lengths(absorb.trace(some, t.samples, t.volume, t.voxels, full, mode=mode, vacuum_run=limits)) for mode in ("join", "bricks")]
+        assert found[0] == found[1] and len(found[0]) == some.count() * 8
+    if edge != 5:
+        return
+    monkeypatch.setattr(absorb, "BROADCAST_SAMPLES", 2)
+    monkeypatch.setattr(absorb, "JOIN_STEPS", 0)
+    assert lengths(absorb.trace(some, t.samples, t.volume, t.voxels)) == lengths(absorb.trace(some, t.samples, t.volume, t.voxels, mode="join"))
+    none = t.samples.limit(0)
+    assert all(absorb.factors(some, none, t.volume, t.voxels, t.coefficients, mode=mode).count() == 0 for mode in ("join", "bricks"))
+
+
+def test_rays_end_at_the_labelled_box(spark):
+    """A ball in a large volume: clipped rays have fewer steps and the same lengths, also past gaps."""
+    n, r = 60, 7
+    at = [F.floor(F.col("id") / (n * n)).cast("int"), (F.floor(F.col("id") / n) % n).cast("int"), (F.col("id") % n).cast("int")]
+    off = [a - c for a, c in zip(at, (30, 20, 33), strict=True)]
+    square = off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
+    label = F.when(square <= 9, 3).when(square.between(17, 25), 4).when(square <= r * r, 1)
+    voxels = spark.range(n**3).select(at[0].alias("z"), at[1].alias("y"), at[2].alias("x"), F.when(off[1] == 4, None).otherwise(label).alias("label")).where("label is not null")
+    meta = spark.createDataFrame([(n, n, n, 0.5, 0.25, 0.25)], "nz int, ny int, nx int, sz double, sy double, sx double")
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(40, 3))
+    legs = spark.createDataFrame([(k, 1 + k % 2, *map(float, x)) for k, x in enumerate(v)], "refl_id long, leg int, v0 double, v1 double, v2 double")
+    samples = sampling.even(voxels, 6)
+    rays = absorb.plan_rays(legs, samples, meta)
+    steps = lambda df: df.agg(F.sum("n")).first()[0]
+    assert steps(absorb.clip(rays, voxels)) < 0.5 * steps(rays)
+    for full in (False, True):
+        whole = absorb.path_lengths(absorb.label_steps(absorb.trace_steps(rays), voxels, full, 6), meta)
+        want = lengths(whole)
+        for mode in ("join", "bricks"):
+            assert lengths(absorb.trace(legs, samples, meta, voxels, full, mode=mode, vacuum_run=6)) == want
 
 
 def test_boundaries_count_like_labels(inputs):

@@ -2,29 +2,26 @@
 
 Tables: legs(refl_id, leg, v0, v1, v2), samples(sample_id, z, y, x), voxels(z, y, x, label)
 without vacuum, volume(nz, ny, nx, sz, sy, sx) of one row, coefficients(label, mu).
-Join mode expands rays into steps and looks labels up by an equi-join; kernel mode runs the
-same formula on arrays inside tasks, for problems whose steps are too many to expand.
+Join mode expands rays into steps and looks labels up by an equi-join; brick mode, for more
+steps, joins rays with the bricks of the volume that they cross (see `bricks`).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..session import shared_dir
-from . import sampling
+from . import bricks, sampling
+from .bricks import RAY, clip, voxel_at
 
 LABELS = {1: "li", 2: "lo", 3: "cr", 4: "bu"}
-RAY = ("refl_id", "sample_id", "leg")
-#: Estimated steps up to which join mode is chosen, and bytes of a volume that may be broadcast.
-JOIN_STEPS, KERNEL_VOLUME = 500_000_000, 1 << 30
+#: Vacuum steps in a row that a ray passes in full iteration, and where its exit face has another number (fixed values).
+VACUUM_RUN, VACUUM_RUNS = 50, {"FRONT": 10}
+#: Estimated steps up to which join mode is chosen.
+JOIN_STEPS = 10_000_000
 #: Samples that are broadcast at most, and about how many meet a leg in one place where there are more.
 BROADCAST_SAMPLES, SAMPLE_BLOCK = sampling.BROADCAST_ROWS, 100_000
-#: Cells of a volume that one task packs into bytes at once, and rays that it marches at once.
-SLAB, RAYS = 1 << 20, 1 << 14
 
 
 def with_samples(legs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -49,36 +46,36 @@ def plan_rays(legs: DataFrame, samples: DataFrame, volume: DataFrame) -> DataFra
     return rays.select(*RAY, "z", "y", "x", "nz", "ny", "nx", "sz", "sy", "sx", "face", *(s.alias(c) for s, c in zip(step, ("dz", "dy", "dx"), strict=True)), (F.col("v2") < 0).alias("down"), g.step_count(F.col("face"), origin, shape, F.col("v1") > 0).alias("n"))
 
 
-def voxel_at(axis: str, k: Column, half_even: bool = False) -> Column:
-    """The voxel of step k along an axis: rounded down where the ray descends v2, else to the nearest; kept inside the volume."""
-    at = F.col(axis) + k * F.col(f"d{axis}")
-    nearest = F.rint(at) if half_even else F.when(at < 0, -F.floor(-at + 0.5)).otherwise(F.floor(at + 0.5))
-    whole = F.when(F.col("down"), F.floor(at)).otherwise(nearest)
-    return F.least(F.greatest(whole, F.lit(0)), F.col(f"n{axis}") - 1).cast("int")
+def vacuum_limit(vacuum_run: int | dict[str, int] | None) -> dict[str, int]:
+    """How many vacuum steps in a row a ray passes, by exit face: one number for all, or VACUUM_RUN where a face has none of its own."""
+    if isinstance(vacuum_run, int):
+        return dict.fromkeys(bricks.FACES, vacuum_run)
+    return dict.fromkeys(bricks.FACES, VACUUM_RUN) | (VACUUM_RUNS if vacuum_run is None else vacuum_run)
 
 
 def trace_steps(rays: DataFrame, half_even: bool = False) -> DataFrame:
-    """Every step of every ray: ray keys, k, and its voxel (vz, vy, vx)."""
+    """Every step of every ray: ray keys, k, and its voxel (vz, vy, vx); the ray's limit too if it has one."""
     steps = rays.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     at = {f"v{a}": voxel_at(a, F.col("k"), half_even) for a in "zyx"}
-    return steps.select(*RAY, "k", "n", *(e.alias(c) for c, e in at.items()))
+    return steps.select(*RAY, "k", "n", *(["limit"] if "limit" in rays.columns else []), *(e.alias(c) for c, e in at.items()))
 
 
-def label_steps(steps: DataFrame, voxels: DataFrame, full_iteration: bool = False, vacuum_run: int = 50) -> DataFrame:
-    """Steps with their label, cut at the first vacuum; with full_iteration only after a run of more than vacuum_run vacuum steps."""
+def label_steps(steps: DataFrame, voxels: DataFrame, full_iteration: bool = False, vacuum_run: int = VACUUM_RUN) -> DataFrame:
+    """Steps with their label, cut at the first vacuum; with full_iteration only after a run of more vacuum steps than the step's `limit`, or than vacuum_run where steps have none."""
     labels = voxels.select(F.col("z").alias("vz"), F.col("y").alias("vy"), F.col("x").alias("vx"), F.col("label").cast("int").alias("label"))
     found = steps.join(labels, ["vz", "vy", "vx"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    # Dealt by reflection once: the cut, the lengths, the exponents and the mean all keep to it.
-    found = found.repartition("refl_id")
+    # Dealt by reflection and sample once: the cut, the lengths and the exponents keep to it, and a reflection with many samples is no large task.
+    found = found.repartition("refl_id", "sample_id")
     ray = Window.partitionBy(*RAY)
     if not full_iteration:
         stop = F.min(F.when(F.col("label") == 0, F.col("k"))).over(ray)
-        return found.withColumn("stop", stop).where("stop is null or k < stop").drop("stop")
+        return found.withColumn("stop", stop).where("stop is null or k < stop").drop("stop", "limit")
+    limit = F.col("limit") if "limit" in steps.columns else F.lit(vacuum_run)
     order = ray.orderBy("k")
     last_solid = F.max(F.when(F.col("label") != 0, F.col("k"))).over(order)
     run = F.col("k") - F.coalesce(last_solid, F.lit(-1))
-    over = F.min(F.when(F.col("run") > vacuum_run, F.col("k"))).over(ray)
-    return found.withColumn("run", run).withColumn("over", over).where("over is null or k < over").drop("run", "over")
+    over = F.min(F.when(F.col("run") > limit, F.col("k"))).over(ray)
+    return found.withColumn("run", run).withColumn("over", over).where("over is null or k < over").drop("run", "over", "limit")
 
 
 def path_lengths(labelled: DataFrame, volume: DataFrame, normalize: str = "steps") -> DataFrame:
@@ -94,9 +91,13 @@ def path_lengths(labelled: DataFrame, volume: DataFrame, normalize: str = "steps
     ends = [f(f"v{a}").alias(f"{n}_{a}") for a in "zyx" for n, f in (("low", F.min), ("high", F.max))]
     counts = labelled.groupBy(*RAY).agg(F.max("k").alias("last"), *ends, *(F.count_if(F.col("label") == c).alias(name) for c, name in LABELS.items()))
     gap = [(F.col(f"high_{a}") - F.col(f"low_{a}")) * F.col(f"s{a}") for a in "zyx"]
-    ends = counts.crossJoin(F.broadcast(volume)).withColumn("total", F.sqrt(g.dot(gap, gap)))
+    return shares(counts.crossJoin(F.broadcast(volume)).withColumn("total", F.sqrt(g.dot(gap, gap))), normalize)
+
+
+def shares(counts: DataFrame, normalize: str) -> DataFrame:
+    """Counts of steps, the last step and the distance to it, to lengths."""
     parts = F.col("last") if normalize == "steps" else F.col("li") + F.col("lo") + F.col("cr") + F.col("bu")
-    return ends.select(*RAY, *(F.when((F.col("last") > 0) & (parts > 0), F.col("total") * F.col(c) / parts).otherwise(0.0).alias(c) for c in LABELS.values()))
+    return counts.select(*RAY, *(F.when((F.col("last") > 0) & (parts > 0), F.col("total") * F.col(c) / parts).otherwise(0.0).alias(c) for c in LABELS.values()))
 
 
 def path_segments(labelled: DataFrame) -> DataFrame:
@@ -123,10 +124,30 @@ def absorption_factor(rates: DataFrame) -> DataFrame:
     return rates.groupBy("refl_id").agg(F.avg("transmission").alias("factor"), F.count("*").alias("n_samples"))
 
 
-def trace(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, full_iteration: bool = False, normalize: str = "steps") -> DataFrame:
-    """Path lengths of all rays, in join mode."""
-    labelled = label_steps(trace_steps(plan_rays(legs, samples, volume)), voxels, full_iteration)
-    return path_lengths(labelled, volume, normalize)
+def trace(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, full_iteration: bool = False, normalize: str = "steps", mode: str = "auto", vacuum_run: int | dict[str, int] | None = None) -> DataFrame:
+    """Path lengths of all rays that start in a labelled voxel.
+
+    Mode 'join' looks up a row for each step, 'bricks' a row for each brick crossed; 'auto'
+    takes join mode up to JOIN_STEPS steps, by an estimate. Rays end at their first vacuum, with
+    full_iteration after more vacuum steps in a row than vacuum_run, which may differ by exit face. No
+    mode sends voxels through the driver or holds the volume in one place.
+    """
+    if mode not in ("auto", "join", "bricks"):
+        raise ValueError(f"no mode {mode}")
+    # A leg becomes many rays: legs are dealt evenly first, however few files they come from.
+    legs = legs.repartition(int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "refl_id")
+    if mode == "auto":
+        meta = volume.first()
+        mode = "bricks" if legs.count() * samples.count() * max(meta["nz"], meta["ny"], meta["nx"]) // 2 > JOIN_STEPS else "join"
+    if mode == "bricks":
+        limits = [vacuum_limit(vacuum_run)[face] if full_iteration else 0 for face in bricks.FACES]
+        return shares(bricks.path_counts(legs, samples, volume, voxels, limits, BROADCAST_SAMPLES), normalize)
+    limit = F.lit(0)
+    if full_iteration:
+        limit = F.element_at(F.create_map(*(F.lit(x) for item in vacuum_limit(vacuum_run).items() for x in item)), F.col("face"))
+    rays = clip(plan_rays(legs, samples, volume).withColumn("limit", limit.cast("int")), voxels, F.col("limit"))
+    steps = trace_steps(rays if full_iteration else rays.drop("limit"))
+    return path_lengths(label_steps(steps, voxels, full_iteration), volume, normalize)
 
 
 def boundaries(labelled: DataFrame) -> DataFrame:
@@ -149,133 +170,6 @@ def method_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("refl_id", F.col("factor").alias("a")).join(b.select("refl_id", F.col("factor").alias("b")), "refl_id").select("refl_id", ((F.col("a") - F.col("b")) / F.col("b") * 100).alias("difference"))
 
 
-def packed_cube(voxels: DataFrame, shape: tuple[int, int, int]) -> np.ndarray:
-    """The labels of the volume as one byte a cell. Tasks pack runs of SLAB cells, and these reach the driver a partition at a time; voxels outside the volume are never met and left out."""
-    nz, ny, nx = shape
-    size, cells = SLAB, nz * ny * nx
-    key = (F.col("z").cast("long") * ny + F.col("y")) * nx + F.col("x")
-    inside = (F.col("z").between(0, nz - 1)) & (F.col("y").between(0, ny - 1)) & (F.col("x").between(0, nx - 1))
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        slab = int(pdf["slab"].iloc[0])
-        part = np.zeros(min(size, cells - slab * size), np.int8)
-        part[pdf["cell"].to_numpy()] = pdf["label"].to_numpy()
-        return pd.DataFrame({"slab": [slab], "cells": [part.tobytes()]})
-
-    keyed = voxels.where(inside).select(key.alias("key"), F.col("label").cast("byte").alias("label"))
-    slabs = keyed.select(F.floor(F.col("key") / size).alias("slab"), (F.col("key") % size).cast("int").alias("cell"), "label").groupBy("slab").applyInPandas(packed, "slab long, cells binary")
-    cube = np.zeros(cells, np.int8)
-    for r in slabs.toLocalIterator():
-        part = np.frombuffer(r["cells"], np.int8)
-        cube[r["slab"] * size : r["slab"] * size + len(part)] = part
-    return cube.reshape(shape)
-
-
-def kernel_factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """absorption_factor in kernel mode: the volume is broadcast as bytes, rays march in arrays of RAYS at most and end at the first vacuum, and a task's partial sums are added up by Spark. A reflection may have one leg only; without samples there are no factors."""
-    spark = legs.sparkSession
-    meta = volume.first()
-    shape = (meta["nz"], meta["ny"], meta["nx"])
-    if shape[0] * shape[1] * shape[2] > KERNEL_VOLUME:
-        raise ValueError("the volume is too large to broadcast; use sliced_factors")
-    grid = packed_cube(voxels, shape)
-    points = samples.select("z", "y", "x").toPandas().to_numpy(np.int64)
-    mu = np.zeros(5)
-    for r in coefficients.collect():
-        mu[r["label"]] = r["mu"]
-    shared = spark.sparkContext.broadcast((grid, points, mu, np.array([meta["sz"], meta["sy"], meta["sx"]])))
-
-    most = RAYS
-
-    def march(batches):
-        cube, origin, weights, sizes = shared.value
-        if not len(origin):
-            return
-        blocks = [origin[at : at + most] for at in range(0, len(origin), most)]
-        rows = max(1, most // len(blocks[0]))
-        for pdf in batches:
-            for begin in range(0, len(pdf), rows):
-                part = pdf.iloc[begin : begin + rows]
-                total = np.zeros(len(part))
-                for block in blocks:
-                    e = np.zeros((len(part), len(block)))
-                    for c in ("leg1", "leg2"):
-                        there = part[c].notna().to_numpy()
-                        if there.any():
-                            e[there] += exponents(cube, block, weights, sizes, np.array(part[c][there].tolist(), dtype=float))
-                    total += np.exp(-e).sum(axis=1)
-                yield pd.DataFrame({"refl_id": part["refl_id"].to_numpy(), "total": total, "n": len(origin)})
-
-    both = legs.groupBy("refl_id").agg(*(F.first(F.when(F.col("leg") == k, F.array("v0", "v1", "v2")), ignorenulls=True).alias(f"leg{k}") for k in (1, 2)))
-    sums = both.mapInPandas(march, "refl_id long, total double, n long")
-    return sums.groupBy("refl_id").agg((F.sum("total") / F.sum("n")).alias("factor"), F.sum("n").alias("n_samples"))
-
-
-def exponents(cube: np.ndarray, origin: np.ndarray, weights: np.ndarray, sizes: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Directions by samples: sum over classes of coefficient times length along one leg."""
-    shape = np.array(cube.shape)
-    heading = np.repeat(v[:, [0, 2, 1]], len(origin), axis=0)
-    start = np.tile(origin, (len(v), 1)).astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        # BACK, FRONT, TOP, BOT, LE, RI
-        t = np.stack([(wall - start[:, a]) / heading[:, a] for a in (2, 1, 0) for wall in (0, shape[a])], axis=1)
-    t[~(t >= 0)] = np.inf
-    face = t.argmin(axis=1)
-    axis = np.array([2, 2, 1, 1, 0, 0])[face]
-    rows = np.arange(len(start))
-    step = heading / np.abs(heading[rows, axis])[:, None]
-    n = np.where(face % 2 == 0, start[rows, axis] + 1, shape[axis] - start[rows, axis])
-    n = (n + ((face == 3) | (face == 5)) * (heading[:, 2] > 0)).astype(np.int64)
-    down = heading[:, 1] < 0
-    counts, last = np.zeros((len(start), 5)), np.zeros(len(start), np.int64)
-    live, origin_index = rows, np.clip(start, 0, shape - 1).astype(np.int64)
-    end = origin_index.copy()
-    for k in range(int(n.max(initial=0))):
-        live = live[n[live] > k]
-        at = start[live] + k * step[live]
-        near = np.where(at < 0, -np.floor(-at + 0.5), np.floor(at + 0.5))
-        voxel = np.clip(np.where(down[live, None], np.floor(at), near), 0, shape - 1).astype(np.int64)
-        label = cube[voxel[:, 0], voxel[:, 1], voxel[:, 2]]
-        solid = label != 0
-        live, voxel, label = live[solid], voxel[solid], label[solid]
-        if not len(live):
-            break
-        counts[live, label] += 1
-        last[live], end[live] = k, voxel
-    total = np.sqrt((((end - origin_index) * sizes) ** 2).sum(axis=1))
-    lengths = np.where(last[:, None] > 0, total[:, None] * counts / np.maximum(last, 1)[:, None], 0.0)
-    return (lengths @ weights).reshape(len(v), len(origin))
-
-
-def sliced_factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, coefficients: DataFrame, slices: int) -> DataFrame:
-    """absorption_factor in join mode, one slice of reflections after the other, so the steps of one slice are on disk at a time; only factors are kept, in the checkpoint folder."""
-    if slices > 1:
-        shared_dir(legs.sparkSession)
-    out = None
-    for k in range(slices):
-        part = legs.where(F.pmod(F.xxhash64("refl_id"), F.lit(slices)) == k)
-        found = absorption_factor(transmission(trace(part, samples, volume, voxels), coefficients))
-        found = found.checkpoint() if slices > 1 else found
-        out = found if out is None else out.union(found)
-    return out
-
-
-def factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, coefficients: DataFrame, mode: str = "auto") -> DataFrame:
-    """Absorption factors of all reflections.
-
-    Mode 'auto' estimates the steps and takes join mode up to JOIN_STEPS of them, else
-    kernel mode. A volume of more than KERNEL_VOLUME cells, or more than BROADCAST_SAMPLES
-    samples, are never broadcast: instead of kernel mode, join mode runs in slices of about
-    JOIN_STEPS steps.
-    """
-    if mode == "join":
-        return sliced_factors(legs, samples, volume, voxels, coefficients, 1)
-    meta = volume.first()
-    points = samples.count()
-    large = meta["nz"] * meta["ny"] * meta["nx"] > KERNEL_VOLUME or points > BROADCAST_SAMPLES
-    if mode == "kernel" and not large:
-        return kernel_factors(legs, samples, volume, voxels, coefficients)
-    steps = legs.count() * points * max(meta["nz"], meta["ny"], meta["nx"]) // 2
-    if steps > JOIN_STEPS and not large:
-        return kernel_factors(legs, samples, volume, voxels, coefficients)
-    return sliced_factors(legs, samples, volume, voxels, coefficients, max(1, -(-steps // JOIN_STEPS)))
+def factors(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, coefficients: DataFrame, mode: str = "auto", full_iteration: bool = False, vacuum_run: int | dict[str, int] | None = None) -> DataFrame:
+    """Absorption factors of all reflections; the mode and the end of rays as in `trace`. Without samples there are none."""
+    return absorption_factor(transmission(trace(legs, samples, volume, voxels, full_iteration, mode=mode, vacuum_run=vacuum_run), coefficients))

@@ -78,7 +78,7 @@ class Inputs:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return absorb.label_steps(absorb.trace_steps(self.rays), self.voxels)
+        return absorb.label_steps(absorb.trace_steps(absorb.clip(self.rays, self.voxels)), self.voxels)
 
     @cached_property
     def paths(self) -> DataFrame:

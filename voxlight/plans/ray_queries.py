@@ -203,6 +203,24 @@ def a2_full(t: Inputs):
     return rows.groupBy(*absorb.RAY).agg(F.count("*").alias("steps"), F.sum((F.col("label") * (F.col("k") + 1)).cast("long")).alias("digest"))
 
 
+#: Vacuum steps in a row that a ray passes, by exit face, in the query with limits by face.
+LIMITS = {"FRONT": 2, "BACK": 6, "TOP": 4}
+LIMIT = "CASE face WHEN 'FRONT' THEN 2 WHEN 'BACK' THEN 6 WHEN 'TOP' THEN 4 ELSE 50 END"
+FACED = {
+    "facing": f"SELECT f.*, {LIMIT} AS most FROM found f JOIN (SELECT refl_id, sample_id, leg, face FROM rays) USING (refl_id, sample_id, leg)",
+    "running": "SELECT *, k - coalesce(max(CASE WHEN label<>0 THEN k END) OVER (PARTITION BY refl_id, sample_id, leg ORDER BY k), -1) AS run FROM facing",
+    "stopping": "SELECT *, min(CASE WHEN run>most THEN k END) OVER (PARTITION BY refl_id, sample_id, leg) AS over_ FROM running",
+    "labelled": "SELECT * FROM stopping WHERE over_ IS NULL OR k < over_",
+}
+
+
+@query("a2_label_steps_faces", sql("SELECT refl_id, sample_id, leg, round(li, 9) AS li, round(lo, 9) AS lo, round(cr, 9) AS cr, round(bu, 9) AS bu FROM paths", **FACED))
+def a2_faces(t: Inputs):
+    """Lengths past gaps, up to a run of vacuum steps that differs by exit face; by bricks."""
+    paths = absorb.trace(t.legs, t.samples, t.volume, t.voxels, full_iteration=True, mode="bricks", vacuum_run=LIMITS)
+    return paths.select(*absorb.RAY, *(F.round(c, 9).alias(c) for c in absorb.LABELS.values()))
+
+
 LENGTHS = "SELECT refl_id, sample_id, leg, round(li, 9) AS li, round(lo, 9) AS lo, round(cr, 9) AS cr, round(bu, 9) AS bu FROM paths"
 
 
@@ -233,7 +251,7 @@ def a6(t: Inputs):
 
 @query("a6_kernel_mode", sql("SELECT refl_id, round(factor, 6) AS factor, n_samples FROM factors"))
 def a6_kernel(t: Inputs):
-    return absorb.factors(t.legs, t.samples, t.volume, t.voxels, t.coefficients, mode="kernel").withColumn("factor", R6("factor"))
+    return absorb.factors(t.legs, t.samples, t.volume, t.voxels, t.coefficients, mode="bricks").withColumn("factor", R6("factor"))
 
 
 #: Crystal voxels in a hundred that a6_sample_ratio takes, so that samples follow the crystal.
