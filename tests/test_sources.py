@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxlight.operators import coeff, image, reflections, volume
+from voxlight.operators import coeff, image, reflections, sampling, volume
 from voxlight.sources import ingest
 
 
@@ -18,6 +18,57 @@ def test_reflection_and_instrument_files(spark, tmp_path):
     assert one["angles"] == [1.5, 2.0, 3.0] and one["direction"] == [0.0, 0.0, -1.0] and len(one["axes"]) == 3
 
 
+def test_long_list_keeps_its_order(spark, tmp_path):
+    """A list that many tasks have made, written as one file and read item by item."""
+    rows = spark.range(5000, numPartitions=7).selectExpr("id * 3 AS n", "cast(id AS string) AS `intensity.sum.value`", "concat('(', id, ', 0, 1)') AS miller_index")
+    ingest.write_json_list(rows, str(tmp_path / "list"), "n")
+    got = ingest.read_reflections(spark, str(tmp_path / "list"))
+    assert got.count() == 5000 and got.where("refl_id <> intensity_sum or refl_id <> miller_index.h or s1 is not null").count() == 0
+
+
+def test_rerun_of_a_bucket_keeps_the_others(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(1000).select(F.col("id").alias("refl_id"), F.lit(1).alias("v"))
+    ingest.write_partitioned(rows, path, buckets=4)
+    one = rows.where(F.pmod(F.xxhash64("refl_id"), F.lit(4)) == 2).withColumn("v", F.lit(2))
+    ingest.write_partitioned(one, path, buckets=4)
+    got = spark.read.parquet(path)
+    assert got.count() == 1000 and got.where("v = 2").count() == one.count() == got.where("bucket = 2").count() > 0
+
+
+def test_interrupted_run_goes_on(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(100).withColumnRenamed("id", "refl_id")
+    assert ingest.not_written(rows, path).count() == 100
+    ingest.write_partitioned(rows.where("refl_id < 30"), path, buckets=4)
+    left = ingest.not_written(rows, path)
+    assert left.count() == 70
+    ingest.add_partitioned(left, path, buckets=4)
+    assert sorted(r["refl_id"] for r in spark.read.parquet(path).collect()) == list(range(100)) and ingest.not_written(rows, path).count() == 0
+
+
+def test_chunk_files_at_any_depth(spark, tmp_path):
+    for place, items in (("a/d_2000.json", [3.0]), ("a/b/d_1000.json", [1.0, 2.0]), ("d_-1.json", [4.0, 5.0]), ("overall_1.json", [9.0]), ("a/note.txt", [8.0])):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_text(json.dumps(items))
+    got = ingest.stack_chunks(ingest.read_chunks(spark, str(tmp_path), "*.json")).orderBy("refl_id").collect()
+    assert [(r["refl_id"], r["factor"]) for r in got] == [(k, k + 1.0) for k in range(5)]
+    assert ingest.files_below(spark, str(tmp_path), "*.txt").count() == 1
+
+
+def test_stratified_sampling_does_not_depend_on_partitions(spark):
+    voxels = spark.range(3000).selectExpr("cast(id div 300 AS int) AS z", "cast(id div 15 % 20 AS int) AS y", "cast(id % 15 AS int) AS x", "3 AS label")
+    found = [sorted(map(tuple, sampling.stratified(voxels.repartition(n), 12).collect())) for n in (1, 3)]
+    assert found[0] == found[1] and 6 < len(found[0]) <= 12
+
+
+def test_weighted_draw_follows_weights(spark):
+    rows = spark.range(4000).selectExpr("cast(id % 2 AS int) AS cluster", "cast(id AS int) AS z", "0 AS y", "0 AS x", "CASE id div 2 % 4 WHEN 0 THEN 0D WHEN 1 THEN 8D ELSE 1D END AS weight")
+    got = sampling.weighted_draw(rows, 400).collect()
+    heavy = sum(r["weight"] == 8 for r in got)
+    assert len({r["z"] for r in got}) == len(got) == 800 and 560 < heavy < 700 and all(r["weight"] for r in got)
+
+
 def test_export_keeps_matching_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.5, "x")], "`a.id` int, value double, kind string")
     ingest.export_reflections(df, ["id", "val"], str(tmp_path / "out"))

@@ -8,6 +8,8 @@ steps, joins rays with the bricks of the volume that they cross (see `bricks`).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,19 @@ def absorption_factor(rates: DataFrame) -> DataFrame:
     return rates.groupBy("refl_id").agg(F.avg("transmission").alias("factor"), F.count("*").alias("n_samples"))
 
 
+def binned_quantiles(rates: DataFrame, wanted: Sequence[float], bins: int) -> DataFrame:
+    """Per reflection the lower edge of the bin that holds each quantile (column q50 for 0.5), so a value at most 1 / bins below it.
+
+    Samples are counted by bin before any exchange, and a reflection has `bins` counts at
+    most, however many samples there are. The quantile is the smallest value that at least
+    its share of samples does not exceed.
+    """
+    counts = rates.groupBy("refl_id", F.floor(F.col("transmission") * bins).cast("int").alias("bin")).agg(F.count("*").alias("k"))
+    mine = Window.partitionBy("refl_id")
+    summed = counts.withColumns({"upto": F.sum("k").over(mine.orderBy("bin")), "n": F.sum("k").over(mine)})
+    return summed.groupBy("refl_id").agg(*((F.min(F.when(F.col("upto") >= F.col("n") * q, F.col("bin"))) / float(bins)).alias(f"q{round(q * 100)}") for q in wanted))
+
+
 def trace(legs: DataFrame, samples: DataFrame, volume: DataFrame, voxels: DataFrame, full_iteration: bool = False, normalize: str = "steps", mode: str = "auto", vacuum_run: int | dict[str, int] | None = None) -> DataFrame:
     """Path lengths of all rays that start in a labelled voxel.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,9 @@ def errormodel_scan(logs: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when((F.col("a") == 1) | (F.col("b") == 0.02), "Fail").when(F.col("a").isNotNull(), "Ok"))
 
 
-def errormodel_table(scans: DataFrame, kinds: list[str]) -> DataFrame:
-    """(dataset, kind, a, b) to a row a dataset with a_<kind> and b_<kind>."""
-    return scans.groupBy("dataset").agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}") for k in kinds for c in "ab"))
+def errormodel_table(scans: DataFrame, kinds: list[str], fields: Sequence[str] = ("a", "b")) -> DataFrame:
+    """(dataset, kind, fields) to a row a dataset with <field>_<kind>; with 'status' among the fields the outcome stands beside the parameters, alone it is the short table."""
+    return scans.groupBy("dataset").agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}") for k in kinds for c in fields))
 
 
 def newest_match(files: DataFrame, text: str) -> DataFrame:

@@ -72,18 +72,34 @@ def even_random(voxels: DataFrame, n: int, ratio: float, order: Column | None =
     return drawn.groupBy("bucket").agg(pick.alias("v")).select(F.col("bucket").alias("sample_id"), "v.z", "v.y", "v.x")
 
 
-def stratified(voxels: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Rounded centres of n clusters that are crystal themselves."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
+def stratified(voxels: DataFrame, n: int, seed: int = 0, rounds: int = 5) -> DataFrame:
+    """Rounded centres of n clusters that are crystal themselves: Lloyd's rounds from n voxels drawn by hash.
+
+    Sums are of whole numbers and ties go to the lower cluster, so the result is the same however
+    the voxels are dealt. A cluster that loses all its voxels is gone. Each voxel meets all
+    centres, n of them and few by nature, up to BROADCAST_ROWS.
+    """
+    if n > BROADCAST_ROWS:
+        raise ValueError("more clusters than can be broadcast")
     crystal = select_label(voxels)
-    points = VectorAssembler(inputCols=["z", "y", "x"], outputCol="features").transform(crystal)
-    centres = KMeans(k=n, seed=seed, maxIter=20).fit(points).clusterCenters()
-    rounded = voxels.sparkSession.createDataFrame([tuple(int(round(c)) for c in centre) for centre in centres], "z int, y int, x int").distinct()
+    order = F.row_number().over(Window.orderBy(chance(seed), "z", "y", "x"))
+    centres = at_random(voxels, n, seed).select((order - 1).alias("c"), *(F.col(a).cast("double").alias(f"c{a}") for a in "zyx"))
+    for _ in range(rounds):
+        gap = [F.col(a) - F.col(f"c{a}") for a in "zyx"]
+        near = F.min_by("c", F.struct((gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]).alias("d"), "c"))
+        owned = crystal.crossJoin(F.broadcast(centres)).groupBy("z", "y", "x").agg(near.alias("c"))
+        centres = owned.groupBy("c").agg(*((F.sum(F.col(a).cast("long")) / F.count("*")).alias(f"c{a}") for a in "zyx"))
+    rounded = centres.select(*(F.floor(F.col(f"c{a}") + 0.5).cast("int").alias(a) for a in "zyx")).distinct()
     return crystal.select(*(F.col(c).cast("int").alias(c) for c in "zyx")).join(F.broadcast(rounded), ["z", "y", "x"], "left_semi")
 
 
+def weighted_draw(weighed: DataFrame, n: int, weight: str = "weight", by: str = "cluster", seed: int = 0) -> DataFrame:
+    """n rows of each cluster without replacement, by weight: the n smallest of -ln(u) / weight, u a hash of the voxel. Rows with no weight are never drawn."""
+    u = (F.conv(F.substring(chance(seed), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    drawn = F.row_number().over(Window.partitionBy(by).orderBy(-F.log(u) / F.col(weight), "z", "y", "x"))
+    return weighed.where(F.col(weight) > 0).withColumn("drawn", drawn).where(F.col("drawn") <= n).drop("drawn")
+
+
 def inverse_distance_weights(points: DataFrame, distance: str = "distance", by: str = "cluster") -> DataFrame:
     """Weights 1 / (1 + distance) that add up to 1 in each cluster; totals are aggregated first, so a large cluster is no large task."""
     weighed = points.withColumn("raw", 1 / (1 + F.col(distance)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reflections, report
+from ..session import scratch
+from ..sources import ingest
 from .catalog import query
 from .fixtures import Inputs, sql
 from .ray_queries import R6
@@ -106,6 +108,41 @@ def r9(t: Inputs):
     return report.newest_match(files, "click")
 
 
+@query(
+    "r9_scan_log_tree",
+    sql(
+        "SELECT dataset, CASE WHEN kind<>'view' THEN a ELSE -1 END AS a, CASE WHEN kind<>'view' THEN b ELSE -1 END AS b, CASE WHEN kind='view' THEN 'None' WHEN a=1 OR b=0.02e0 THEN 'Fail' ELSE 'Ok' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY kind || '_' || n) AS r FROM heads WHERE n % 2 = 1) WHERE r = 1",
+        logs=LOGS, heads="SELECT dataset, kind, min(event_id) AS n, arg_min(a, event_id) AS a, arg_min(b, event_id) AS b FROM logs GROUP BY ALL",
+    ),
+)
+def r9_tree(t: Inputs):
+    """A tree of logs, one folder a dataset and one a run, written and searched: the first log of each dataset whose run ends in an odd number."""
+    path = scratch(t.spark, "logs")
+    kinds = t.events.selectExpr("event_id", "event_type AS kind", "concat('set', user_id%9) AS dataset")
+    text = logs(t).withColumn("event_id", F.col("file_path").cast("long")).select("event_id", "text")
+    first = kinds.join(text, "event_id").groupBy("dataset", "kind").agg(F.min("event_id").alias("n"), F.min_by("text", "event_id").alias("value"))
+    first.select("dataset", F.concat_ws("_", "kind", "n").alias("run"), "value").write.option("lineSep", "\n").partitionBy("dataset", "run").text(path)
+    files = ingest.files_below(t.spark, path).select(F.regexp_extract("file_path", "dataset=([^/]+)", 1).alias("dataset"), F.regexp_extract("file_path", "run=([^/]+)", 1).alias("run"), "text")
+    wanted = files.where(F.regexp_extract("run", "([0-9]+)$", 1).cast("long") % 2 == 1)
+    newest = report.newest_match(wanted.select("dataset", F.col("run").alias("file_path")), "_").withColumnRenamed("file_path", "run")
+    scans = report.errormodel_scan(files.join(newest, ["dataset", "run"]).select(F.col("dataset").alias("file_path"), "text"))
+    return scans.withColumnRenamed("file_path", "dataset").fillna(-1.0, ["a", "b"]).fillna("None", ["status"])
+
+
+@query(
+    "r8_errormodel_wide",
+    sql(
+        "SELECT dataset, max(CASE WHEN kind='click' THEN status END) AS status_click, max(CASE WHEN kind='click' THEN a END) AS a_click, max(CASE WHEN kind='click' THEN b END) AS b_click, max(CASE WHEN kind='error' THEN status END) AS status_error, max(CASE WHEN kind='error' THEN a END) AS a_error, max(CASE WHEN kind='error' THEN b END) AS b_error FROM (SELECT *, CASE WHEN a=1 OR b=0.02e0 THEN 'Fail' ELSE 'Ok' END AS status FROM logs) GROUP BY ALL",
+        logs=LOGS,
+    ),
+)
+def r8_wide(t: Inputs):
+    """The layout that names the outcome of each kind before its parameters."""
+    scans = t.events.selectExpr("concat('set', user_id%9) AS dataset", "event_type AS kind", "CAST(event_id%5 AS DOUBLE)+0.5D*(event_id%2) AS a", "(user_id%4)/100D AS b")
+    scans = scans.withColumn("status", F.when((F.col("a") == 1) | (F.col("b") == 0.02), "Fail").otherwise("Ok"))
+    return report.errormodel_table(scans, ["click", "error"], ("status", "a", "b"))
+
+
 PEAKS = "SELECT CAST(event_id//100 AS VARCHAR) AS file_path, event_id%100 AS pos, CAST(event_id%37 AS DOUBLE)+5e-1 AS height, CASE user_id%4 WHEN 0 THEN 'S' WHEN 1 THEN 'O' WHEN 2 THEN 'P' ELSE 'N' END AS atom FROM events WHERE event_id%100 BETWEEN 11 AND 79"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sampling, volume
+from ..operators import absorb, sampling, volume
 from ..session import scratch
 from ..sources import ingest
 from .catalog import query
@@ -38,6 +38,14 @@ def s1_files(t: Inputs):
     return flat(ingest.read_reflections(t.spark, path, lines=True))
 
 
+@query("s1_read_reflection_list", S1)
+def s1_list(t: Inputs):
+    """Written as one JSON list and read back; ids are places in the list."""
+    path = scratch(t.spark, "reflection-list")
+    ingest.write_json_list(reflection_text(t), path, "refl_id")
+    return flat(ingest.read_reflections(t.spark, path))
+
+
 @query("s2_export_reflections", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type FROM events")
 def s2(t: Inputs):
     path = scratch(t.spark, "export")
@@ -94,6 +102,19 @@ def s6(t: Inputs):
     return ingest.stack_chunks(rows.union(extra))
 
 
+@query("s6_stack_chunk_files", "SELECT event_id AS refl_id, CAST(event_id%64 AS DOUBLE)/64 AS factor FROM events")
+def s6_files(t: Inputs):
+    """A folder of files of 1000 numbers each, the last one named -1, beside ones to leave out."""
+    path = scratch(t.spark, "chunks")
+    last = t.events.agg(F.floor(F.max("event_id") / 1000).alias("last"))
+    chunk = F.floor(F.col("event_id") / 1000)
+    name = F.concat(F.lit("d_refl_"), F.when(chunk == F.col("last"), F.lit("-1")).otherwise(((chunk + 1) * 1000).cast("string")), F.lit(".json"))
+    rows = t.events.crossJoin(F.broadcast(last)).groupBy(name.alias("name")).agg(F.sort_array(F.collect_list(F.struct("event_id", (F.col("event_id") % 64 / 64.0).alias("factor")))).alias("items"))
+    text = rows.select("name", F.to_json(F.col("items.factor")).alias("value"))
+    text.union(text.select(F.concat(F.lit("overall_"), "name"), "value")).union(text.select(F.concat("name", F.lit(".txt")), "value")).write.partitionBy("name").text(path)
+    return ingest.stack_chunks(ingest.read_chunks(t.spark, path, level=-2))
+
+
 @query("s7_load_grid_chunks", "SELECT event_id AS sample_id, value FROM events")
 def s7(t: Inputs):
     path = scratch(t.spark, "grid")
@@ -109,6 +130,17 @@ def s8(t: Inputs):
     return t.spark.read.parquet(path).select("refl_id", F.round("factor", 6).alias("factor"), "n_samples")
 
 
+@query("s8_restarted_write", sql("SELECT refl_id, round(factor, 6) AS factor, n_samples FROM factors"))
+def s8_restarted(t: Inputs):
+    """A run that ended after a third of the reflections goes on with the others, then one bucket's worth is run again."""
+    path = scratch(t.spark, "restarted")
+    factors = lambda legs: absorb.factors(legs, t.samples, t.volume, t.voxels, t.coefficients)
+    ingest.write_partitioned(factors(t.legs.where("refl_id % 3 = 0")), path)
+    ingest.add_partitioned(factors(ingest.not_written(t.legs, path)), path)
+    ingest.write_partitioned(factors(t.legs.where(F.pmod(F.xxhash64("refl_id"), F.lit(64)) == 5)), path)
+    return t.spark.read.parquet(path).select("refl_id", F.round("factor", 6).alias("factor"), "n_samples")
+
+
 @query("s9_write_path_lengths", sql("SELECT refl_id, sample_id, leg, round(cr, 9) AS cr, round(li, 9) AS li FROM paths"))
 def s9(t: Inputs):
     path = scratch(t.spark, "paths")

@@ -51,18 +51,29 @@ def m4(t: Inputs):
     return sampling.even_random(t.voxels, 1 << 40, 12.5, order=(F.col("ordinal") * 7919) % 1009)
 
 
-@query("m5_stratified")
+#: Clusters and rounds of m5.
+CLUSTERS, ROUNDS = 20, 5
+LLOYD = {
+    "drawn": f"SELECT z, y, x, {DRAWN} AS u FROM crystal ORDER BY u, z, y, x LIMIT {CLUSTERS}",
+    "round0": "SELECT row_number() OVER (ORDER BY u, z, y, x) - 1 AS c, z::DOUBLE AS cz, y::DOUBLE AS cy, x::DOUBLE AS cx FROM drawn",
+}
+for _k in range(ROUNDS):
+    LLOYD[f"owned{_k}"] = f"SELECT z, y, x, arg_min(c, (d, c)) AS c FROM (SELECT v.z, v.y, v.x, c, (v.z-cz)*(v.z-cz)+(v.y-cy)*(v.y-cy)+(v.x-cx)*(v.x-cx) AS d FROM crystal v CROSS JOIN round{_k}) GROUP BY z, y, x"
+    LLOYD[f"round{_k + 1}"] = f"SELECT c, sum(z)/count(*) AS cz, sum(y)/count(*) AS cy, sum(x)/count(*) AS cx FROM owned{_k} GROUP BY c"
+LLOYD["taken"] = f"SELECT z, y, x FROM crystal SEMI JOIN (SELECT CAST(floor(cz+0.5e0) AS INT) AS z, CAST(floor(cy+0.5e0) AS INT) AS y, CAST(floor(cx+0.5e0) AS INT) AS x FROM round{ROUNDS}) USING (z, y, x)"
+
+
+@query("m5_stratified", sql("SELECT z, y, x FROM taken", **LLOYD))
 def m5(t: Inputs):
-    return sampling.stratified(t.voxels, 20)
+    return sampling.stratified(t.voxels, CLUSTERS, rounds=ROUNDS)
 
 
-@query("m5_stratified_properties", sql("SELECT true AS few, true AS distinct_places, true AS all_crystal, CAST(count(*) AS BIGINT) AS crystal FROM crystal"))
+@query("m5_stratified_properties", sql("SELECT count(*) AS drawn, CAST(sum(z) AS BIGINT) AS depth, CAST(max(y)-min(y) AS INT) AS wide, count(DISTINCT (z, y, x)) AS places, (SELECT count(*) FROM crystal) AS crystal FROM taken", **LLOYD))
 def m5_properties(t: Inputs):
-    """Not more than asked for, no place twice, all of them crystal."""
-    crystal = sampling.select_label(t.voxels).withColumn("inside", F.lit(True))
-    drawn = sampling.stratified(t.voxels, 20).join(crystal, ["z", "y", "x"], "left")
-    seen = drawn.agg(F.count("*").between(1, 20).alias("few"), (F.count("*") == F.countDistinct("z", "y", "x")).alias("distinct_places"), F.every(F.coalesce("inside", F.lit(False))).alias("all_crystal"))
-    return seen.crossJoin(crystal.agg(F.count("*").alias("crystal")))
+    """How many are drawn, how they lie, and of how many."""
+    drawn = sampling.stratified(t.voxels, CLUSTERS, rounds=ROUNDS)
+    seen = drawn.agg(F.count("*").alias("drawn"), F.sum("z").alias("depth"), (F.max("y") - F.min("y")).alias("wide"), F.countDistinct("z", "y", "x").alias("places"))
+    return seen.crossJoin(sampling.select_label(t.voxels).agg(F.count("*").alias("crystal")))
 
 
 @query("m6_inverse_distance", sql("SELECT z, y, x, round(w / sum(w) OVER (PARTITION BY z), 9) AS weight FROM (SELECT z, y, x, 1 / (1 + sqrt((y-11.5e0)*(y-11.5e0)+(x-11.5e0)*(x-11.5e0))) AS w FROM crystal)"))
@@ -72,6 +83,20 @@ def m6(t: Inputs):
     return sampling.inverse_distance_weights(rows, by="z").select("z", "y", "x", F.round("weight", 9).alias("weight"))
 
 
+@query(
+    "m6_weighted_draw",
+    sql(
+        f"SELECT z, y, x FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY -ln((CAST('0x' || substr({DRAWN}, 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0) / (w / all_), z, y, x) AS r FROM (SELECT *, sum(w) OVER (PARTITION BY z) AS all_ FROM near)) WHERE r <= 3",
+        near="SELECT z, y, x, 1 / (1 + sqrt((y-11.5e0)*(y-11.5e0)+(x-11.5e0)*(x-11.5e0))) AS w FROM crystal",
+    ),
+)
+def m6_draw(t: Inputs):
+    """Three voxels of each slice, those near the axis more often."""
+    d = F.sqrt((F.col("y") - 11.5) * (F.col("y") - 11.5) + (F.col("x") - 11.5) * (F.col("x") - 11.5))
+    rows = sampling.select_label(t.voxels).withColumn("distance", d)
+    return sampling.weighted_draw(sampling.inverse_distance_weights(rows, by="z"), 3, by="z").select("z", "y", "x")
+
+
 @query("m7_adaptive_rate", sql("SELECT label, n, CAST(CASE WHEN n<=100 THEN 1 ELSE pow(2, ceil(log2(n/100e0))) END AS BIGINT) AS rate, CAST(10 + 5*(greatest(0, ceil((n/20e0-10)/5e0))+1) AS BIGINT) AS step FROM (SELECT label, count(*) AS n FROM voxels GROUP BY label)"))
 def m7(t: Inputs):
     counts = t.voxels.groupBy("label").agg(F.count("*").alias("n"))
@@ -277,6 +302,20 @@ def a7(t: Inputs):
     return absorb.transmission(t.paths, t.coefficients).groupBy("refl_id").agg(R6(F.min("transmission")).alias("lowest"), R6(F.percentile("transmission", F.lit(0.5))).alias("middle"), R6(F.max("transmission")).alias("highest"))
 
 
+@query(
+    "a7_binned_quantiles",
+    sql(
+        "SELECT refl_id, " + ", ".join(f"min(bin) FILTER (upto >= n * {q}e0) / 1000e0 AS q{round(q * 100)}" for q in (0.25, 0.5, 0.9)) + " FROM summed GROUP BY refl_id",
+        binned="SELECT refl_id, CAST(floor(round(transmission, 9) * 1000) AS INT) AS bin, count(*) AS k FROM rates GROUP BY ALL",
+        summed="SELECT refl_id, bin, sum(k) OVER (PARTITION BY refl_id ORDER BY bin) AS upto, sum(k) OVER (PARTITION BY refl_id) AS n FROM binned",
+    ),
+)
+def a7_binned(t: Inputs):
+    """Quantiles within a thousandth, from counts by bin: no sample is held."""
+    rates = absorb.transmission(t.paths, t.coefficients).withColumn("transmission", F.round("transmission", 9))
+    return absorb.binned_quantiles(rates, (0.25, 0.5, 0.9), 1000)
+
+
 @query("a11_method_difference", sql("SELECT a.refl_id, round((a.factor - b.factor) / b.factor * 100, 5) AS difference FROM factors a JOIN one b USING (refl_id)", one="SELECT refl_id, avg(exp(-(li*0.02e0+lo*0.01e0+cr*0.03e0+bu*0.005e0))) AS factor FROM paths WHERE leg = 2 GROUP BY ALL"))
 def a11(t: Inputs):
     """Both legs against the outgoing one alone."""
@@ -290,6 +329,40 @@ def a12(t: Inputs):
     return rows.select(*absorb.RAY, *(F.round(c, 9).alias(c) for c in absorb.LABELS.values()))
 
 
+@query(
+    "a10_boundary_lengths",
+    sql(
+        "SELECT refl_id, sample_id, leg, count(*) FILTER (label=1) AS li, count(*) FILTER (label=2) AS lo, count(*) FILTER (label=3) AS cr, count(*) FILTER (label=4) AS bu FROM labelled JOIN plain USING (refl_id, sample_id, leg) GROUP BY ALL",
+        turns="SELECT *, lag(label) OVER (PARTITION BY refl_id, sample_id, leg ORDER BY k) AS before FROM labelled",
+        plain="SELECT refl_id, sample_id, leg FROM turns WHERE before IS NULL OR before <> label GROUP BY ALL HAVING count(*) = count(DISTINCT label)",
+    ),
+)
+def a10_lengths(t: Inputs):
+    """Steps of each class from boundaries alone, for rays that have each class in one run; the SQL counts labels."""
+    plain = absorb.path_segments(t.labelled).where("size(array_distinct(transform(segments, s -> s.label))) = size(segments)").select(*absorb.RAY)
+    found = absorb.boundary_counts(absorb.boundaries(t.labelled)).join(plain, list(absorb.RAY), "left_semi")
+    return found.select(*absorb.RAY, *(F.col(c).cast("long").alias(c) for c in absorb.LABELS.values()))
+
+
+TOTALS = "SELECT refl_id, count(*) AS rays, round(sum(li), 6)+0e0 AS li, round(sum(lo), 6)+0e0 AS lo, round(sum(cr), 6)+0e0 AS cr, round(sum(bu), 6)+0e0 AS bu FROM {} GROUP BY ALL"
+
+
+def totals(paths):
+    return paths.groupBy("refl_id").agg(F.count("*").alias("rays"), *((F.round(F.sum(c), 6) + 0.0).alias(c) for c in absorb.LABELS.values()))
+
+
+@query("a3_path_length_totals", sql(TOTALS.format("paths")))
+def a3_totals(t: Inputs):
+    """A3 by reflection."""
+    return totals(t.paths)
+
+
+@query("a12_proportional_totals", sql(TOTALS.format("parted"), parted="SELECT refl_id, " + ", ".join(f"CASE WHEN last>0 AND li+lo+cr+bu>0 THEN total*{c}/(li+lo+cr+bu) ELSE 0e0 END AS {c}" for c in ("li", "lo", "cr", "bu")) + " FROM ends"))
+def a12_totals(t: Inputs):
+    """A12 by reflection."""
+    return totals(absorb.path_lengths(t.labelled, t.volume, normalize="sum"))
+
+
 @query("a10_boundaries", sql("SELECT refl_id, sample_id, leg, max(k) AS air, coalesce(max(k) FILTER (label=3), -1) AS cr_outer, coalesce(min(k) FILTER (label=2), -1) AS lo_inner, coalesce(max(k) FILTER (label=2), -1) AS lo_outer, coalesce(min(k) FILTER (label=4), -1) AS bu_inner, coalesce(max(k) FILTER (label=4), -1) AS bu_outer FROM labelled GROUP BY ALL"))
 def a10(t: Inputs):
     return absorb.boundaries(t.labelled).fillna(-1)

@@ -25,12 +25,23 @@ def typed_reflections(rows: DataFrame, key: str = "refl_id") -> DataFrame:
 
 
 def read_reflections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A JSON list of text fields, with the place in the list as refl_id; or JSON lines that hold refl_id, which many tasks read. A list is one row while it is read (2 GB at most)."""
+    """A file with a JSON list of text fields, with the place in the list as refl_id; or JSON lines that hold refl_id, which many tasks read.
+
+    The items of a list are parsed one after the other, so it may be longer than one
+    string; it is one file and one task reads it.
+    """
     if lines:
         return typed_reflections(spark.read.schema(f"refl_id long, {REFLECTION_TEXT}").json(path))
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.from_json("value", f"array<struct<{REFLECTION_TEXT.replace(' string', ': string')}>>")).alias("refl_id", "r"))
-    return typed_reflections(rows.select(F.col("refl_id").cast("long").alias("refl_id"), "r.*"))
+    rows = spark.read.schema(REFLECTION_TEXT).json(path, multiLine=True)
+    return typed_reflections(rows.select(F.monotonically_increasing_id().alias("refl_id"), "*"))
+
+
+def write_json_list(rows: DataFrame, path: str, order: str) -> None:
+    """rows as one file with a JSON list, in the order of a column, which is left out. Sorting spreads over tasks; one writes."""
+    ends = rows.agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    item = F.to_json(F.struct(*(f"`{c}`" for c in rows.columns if c != order)))
+    line = F.concat(F.when(F.col(order) == F.col("first"), "[").otherwise(","), item, F.when(F.col(order) == F.col("last"), "]").otherwise(""))
+    rows.crossJoin(F.broadcast(ends)).repartitionByRange(order).sortWithinPartitions(order).select(line.alias("value")).coalesce(1).write.text(path)
 
 
 def exported(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
@@ -66,9 +77,38 @@ def stack_chunks(chunks: DataFrame) -> DataFrame:
     return rows.join(offsets, "file_name").select((F.col("offset") + F.col("pos")).alias("refl_id"), "factor")
 
 
+def files_below(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(file_path, text) of all files below a folder whose name fits the pattern, at any depth. A file is a row: logs and chunks, not whole datasets."""
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    return rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+
+
+def read_chunks(spark: SparkSession, root: str, pattern: str = "*", level: int = -1) -> DataFrame:
+    """Files with JSON lists of numbers below a folder to (file_name, pos, factor), as stack_chunks takes them. The name is a part of the path: the last, or with level -2 the folder that the file is in, without what a partition's folder has before '='."""
+    name = F.regexp_replace(F.element_at(F.split("file_path", "/"), level), "^[^=]*=", "")
+    items = files_below(spark, root, pattern).select(name.alias("file_name"), F.posexplode(F.from_json("text", "array<double>")).alias("pos", "factor"))
+    return items.select("file_name", F.col("pos").cast("long").alias("pos"), "factor")
+
+
 def write_partitioned(df: DataFrame, path: str, key: str = "refl_id", buckets: int = 64) -> None:
-    """Parquet in folders of key ranges' hashes, so that reruns replace whole folders."""
-    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Parquet in folders of the key's hash. A rerun replaces the folders that its rows fall in, whole, and leaves the others."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+    df.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def not_written(df: DataFrame, path: str, key: str = "refl_id") -> DataFrame:
+    """The rows of df whose key write_partitioned or add_partitioned has not written to path yet: what an interrupted run still has to do."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return df
+    done = spark.read.schema(f"{key} {df.schema[key].dataType.simpleString()}").parquet(path)
+    return df.join(done, key, "left_anti")
+
+
+def add_partitioned(df: DataFrame, path: str, key: str = "refl_id", buckets: int = 64) -> None:
+    """Adds rows that not_written has let through to the folders of their buckets."""
+    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def write_path_lengths(paths: DataFrame, path: str) -> None:
