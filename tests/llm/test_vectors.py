@@ -56,6 +56,14 @@ def test_odd_rows(spark):
     assert vectors.near_vectors(spark.createDataFrame([(*r, 1, "y") for r in rows], DDL)).where("vec_id is null and component_id is null and n_links = 0 and not kept").count() == 1
 
 
+def test_repeated_ids_with_different_vectors(spark):
+    """Two classes that share an id are not one: links, and components by the smallest id that each reaches."""
+    rows = [(1, [1.0, 0.0], 5), (1, [0.0, 1.0], 5), (2, [1.0, 0.01], 5), (3, [0.0, 1.0], 5), (4, [0.01, 1.0], 5), (7, [-1.0, 0.0], 5), (7, [0.0, -1.0], 5), (6, [0.0, -1.0], 5)]
+    df = spark.createDataFrame([(*r, 1, "y") for r in rows], DDL)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (6, 1, 6, True), (7, 0, 7, True), (7, 1, 6, False)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5100)]

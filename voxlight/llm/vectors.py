@@ -78,15 +78,17 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Rows whose vector is null, zero, empty, or holds null or non-finite components, and
     rows without label, have no links and are components of their own. Vectors of
     different lengths have no links. Equal vectors are joined as one with a count, so
-    copies cost nothing; repeated ids count as rows. Null ids come back unlinked with a
-    null component.
+    copies cost nothing. Classes of equal vectors have numbers of their own, so rows that
+    repeat an id with another vector are told apart: each has the links and the component of
+    its own vector. Null ids come back unlinked with a null component; an empty table gives an
+    empty result.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     sum_sq = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c * c)
     usable = rows.where(F.coalesce(finite & (sum_sq > 0), F.lit(False)))
-    classes = materialize(usable.groupBy("label", "v").agg(F.min("id").alias("home"), F.count("*").alias("copies")), "classes")
+    classes = materialize(usable.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("home", F.monotonically_increasing_id()), "classes")
 
     def unit(batches):
         for pdf in batches:
@@ -163,8 +165,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     discard(members, boxes, meet)
     counts = links.groupBy("home").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("home").alias("a"), F.col("root").alias("b")))
-    summary = classes.select("home", "label", "v", "copies").join(counts, "home", "left").join(groups.withColumnRenamed("node", "home"), "home", "left")
-    summary = summary.select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "home").alias("component"))
+    groups = groups.withColumnRenamed("node", "home")
+    least = groups.join(classes.select("home", "least"), "home").groupBy("component").agg(F.min("least").alias("smallest"))
+    summary = classes.select("home", "label", "v", "copies", "least").join(counts, "home", "left").join(groups, "home", "left").join(least, "component", "left")
+    summary = summary.select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("smallest", "least").alias("component"))
     found = rows.join(summary, ["label", "v"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return found.select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
