@@ -21,6 +21,19 @@ def test_all_rows_even_counts_gapless_slots(frame):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
 
 
+def test_layout_changes_nothing(frame, monkeypatch):
+    """The same rows in one partition, in many, and in another order; also with crowded slices cut further."""
+    rows = ODD + [(i, f"t{i % 9}") for i in range(100, 600)] + [(7, f"hot {i % 40}") for i in range(200)]
+    place = lambda rows, n: sorted((tuple(r) for r in sharding.ring_shards(frame(rows).repartition(n), shards=7, vnodes=16).collect()), key=str)
+    for crowded in (sharding.CROWDED, 20):
+        monkeypatch.setattr(sharding, "CROWDED", crowded)
+        want = place(rows, 1)
+        assert want == place(rows[::-1], 5) and len(want) == len(rows)
+        for s in range(7):
+            slots = sorted(r[4] for r in want if r[3] == s)
+            assert slots == list(range(len(slots)))
+
+
 def test_empty_and_few(frame):
     assert sharding.ring_shards(frame([])).count() == 0
     assert len({r["shard"] for r in sharding.ring_shards(frame([(1, "a"), (2, "b")])).collect()}) == 2

@@ -5,8 +5,10 @@ that ends at the first point clockwise of its hash. Arcs are dealt in ring order
 rows of an arc go to the arc's own shard while it has room, and what a full shard
 cannot take continues clockwise to the next shard with room. All rows of an arc walk
 the same way, so the walk needs only the number of rows of each arc: shards * vnodes
-numbers, whatever the size of the data. Ranks inside an arc are found in salted slices,
-so one arc that holds a third of the rows still spreads over tasks.
+numbers, whatever the size of the data. A row's rank in its arc follows from its position on
+the ring and never from how the input is split: rows that are equal in all that counts are
+one row with a count, and the others are ranked in slices of the ring, of which one that
+holds very many rows is cut further by checksums.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .common import count_not_above, from_json_literal, materialize
 
 SHARDS = 40
 VNODES = 128
-#: Slices of an arc that are ranked apart.
-SLICES = 16
+#: Slices of the ring for each point, and rows of a slice from which it is cut further, in 16.
+SLICES, CROWDED = 16, 1_000_000
 
 
 def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -62,20 +64,25 @@ def ring_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     any two shards differ by one at most. Slots of a shard run from 0 without gaps.
     A null text has no bytes and checksum 0; a null id is placed by the text's
     checksum; repeated ids and rows are rows of their own; an empty table gives an
-    empty result; other columns are ignored.
+    empty result; other columns are ignored. Neither the order of rows nor their
+    partitioning changes the result.
     """
     points = ring(shards, vnodes)
     positions = from_json_literal(json.dumps([p for p, _ in points]), "array<bigint>")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = df.select(
-        F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.spark_partition_id().alias("part")
-    )
+    rows = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = rows.groupBy("id", "size", "text_crc32").agg(F.count("*").alias("n"))
     hashed = F.shiftrightunsigned(F.when(F.col("id").isNull(), F.xxhash64("text_crc32")).otherwise(F.xxhash64("id")), 1)
     rows = rows.withColumn("at", hashed)
     arc = count_not_above(positions, len(points), lambda p: p < F.col("at")) % len(points)
-    rows = materialize(rows.select("id", "size", "text_crc32", arc.cast("int").alias("arc"), "at", (F.col("part") % SLICES).alias("slice")), "ring")
-
-    by_slice = rows.groupBy("arc", "slice").agg(F.count("*").alias("n"))
+    part = F.shiftright("at", 63 - (SLICES * len(points)).bit_length())
+    rows = materialize(rows.select("id", "size", "text_crc32", "n", arc.cast("int").alias("arc"), "at", part.alias("part")), "ring")
+    # Crowded parts are as few as the rows divided by CROWDED, arcs and parts a number that the ring sets.
+    crowded = rows.groupBy("arc", "part").agg(F.sum("n").alias("all")).where(F.col("all") > CROWDED).select("arc", "part", F.lit(True).alias("crowded"))
+    cut = F.when(F.col("crowded"), F.shiftright("text_crc32", 28)).otherwise(0)
+    rows = rows.join(F.broadcast(crowded), ["arc", "part"], "left").withColumn("slice", F.struct("part", cut.alias("cut"))).drop("crowded")
+
+    by_slice = rows.groupBy("arc", "slice").agg(F.sum("n").alias("n"))
     counts = {r["arc"]: r["n"] for r in by_slice.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # shards * vnodes rows at most
     dealt: dict[int, list] = {}
     for s in deal(points, counts, capacities(sum(counts.values()), shards, slack)):
@@ -83,10 +90,10 @@ def ring_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     plan = df.sparkSession.createDataFrame([(a, [(s["start"], s["shard"], s["base"]) for s in x]) for a, x in dealt.items()], "arc int, segments array<struct<start:bigint,shard:int,base:bigint>>")
 
     before = by_slice.select("arc", "slice", (F.sum("n").over(Window.partitionBy("arc").orderBy("slice")) - F.col("n")).alias("before"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "slice").orderBy("at", "id", "text_crc32", "size")) - 1)
-    # Both sides have a proven bound: shards * vnodes arcs, times SLICES.
-    ranked = ranked.join(F.broadcast(before), ["arc", "slice"]).join(F.broadcast(plan), "arc")
-    rank = F.col("rank") + F.col("before")
+    order = Window.partitionBy("arc", "slice").orderBy("at", "id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("first", F.sum("n").over(order) - F.col("n")).join(before, ["arc", "slice"])
+    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).join(F.broadcast(plan), "arc")
+    rank = F.col("before") + F.col("first") + F.col("copy")
     segment = F.element_at(F.filter("segments", lambda s: s["start"] <= rank), -1)
     ranked = ranked.withColumn("segment", segment)
     return ranked.select(
