@@ -43,6 +43,11 @@ def test_cuboid(spark, n, tolerance):
         assert r["error"] < tolerance
 
 
+def test_traced_cuboid_comes_near_the_closed_form(spark):
+    rows = QUERIES["r13_traced_cuboid"](spark, SMALL).collect()
+    assert len(rows) == 6 and all(0 < r["error"] < 8 for r in rows)
+
+
 def test_known_values(spark):
     known = {10.0: 0.376951, 30.0: 0.382325, 45.0: 0.379336, 60.0: 0.378213, 80.0: 0.374732, 90.0: 0.368108}
     df = spark.createDataFrame([(a, v) for a, v in known.items()], "a double, v double")

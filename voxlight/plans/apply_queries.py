@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reflections, report
+from ..operators import absorb, reflections, report, sampling
 from ..session import scratch
 from ..sources import ingest
 from .catalog import query
@@ -185,6 +185,45 @@ def r13(t: Inputs):
     return rows.select("refl_id", R6("error").alias("error"), R6("error_by_factor").alias("error_by_factor"))
 
 
+#: Cosines and sines between the beams in r13_traced_cuboid, rational so that no angle depends on a library's sine.
+TURNS = [(0.8, 0.6), (0.6, 0.8), (12 / 13, 5 / 13), (5 / 13, 12 / 13), (-0.6, 0.8), (-0.8, 0.6)]
+WIDTH, MU, AWAY = 40.0, 0.03, 1e-9
+
+
+def traced_cuboid_sql() -> str:
+    turns = ", ".join(f"({k}, {c!r}::DOUBLE, {s!r}::DOUBLE)" for k, (c, s) in enumerate(TURNS))
+    side = "CASE WHEN c>0 THEN (w-x)/c ELSE x/-c END"
+    return sql(
+        "SELECT degrees, factor, expected, round(abs(expected-factor)*100/expected, 6) AS error FROM (SELECT CAST(round(degrees(atan2(s, c))) AS INT) AS degrees, round(factor, 6) AS factor, expected FROM factors JOIN turns ON refl_id = k JOIN (SELECT k, round(avg(exp(-0.03e0*(x+least(" + side + ", (h-y)/s)))), 3) AS expected FROM mesh GROUP BY k) USING (k))",
+        turns=f"SELECT * FROM (VALUES {turns}) t(k, c, s)",
+        dims="SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS INT) AS wide FROM events",
+        voxels="SELECT 1 AS z, CAST(event_id//wide AS INT)+1 AS y, CAST(event_id%wide AS INT)+1 AS x, 3 AS label FROM events, dims WHERE event_id < wide*(n//wide)",
+        volume="SELECT 3 AS nz, CAST(n//wide AS INT)+2 AS ny, wide+2 AS nx, 1e0 AS sz, 40e0/wide AS sy, 40e0/wide AS sx FROM dims",
+        legs="SELECT k AS refl_id, 1 AS leg, 1e-9 AS v0, -1e0 AS v1, -1e-9 AS v2 FROM turns UNION ALL SELECT k, 2, 1e-9, c+1e-9, -s-1e-9 FROM turns",
+        samples="SELECT ordinal AS sample_id, z, y, x FROM crystal",
+        mesh="SELECT k, c, s, 40e0 AS w, (n//wide)*(40e0/wide) AS h, (i+5e-1)*0.08e0 AS x, (j+5e-1)*((n//wide)*(40e0/wide)/500) AS y FROM turns, dims, range(500) b(i), range(500) d(j)",
+    )
+
+
+@query("r13_traced_cuboid", traced_cuboid_sql())
+def r13_traced(t: Inputs):
+    """Factors of a cuboid cut from the events, traced from every voxel, against the closed form, by the angle between the beams; the SQL traces too, and sums the closed form's integral over a mesh."""
+    n = t.events.count()
+    wide = int(n**0.5)
+    size = WIDTH / wide
+    voxels = t.events.where(F.col("event_id") < wide * (n // wide)).select(F.lit(1).alias("z"), (F.floor(F.col("event_id") / wide) + 1).cast("int").alias("y"), (F.col("event_id") % wide + 1).cast("int").alias("x"), F.lit(3).alias("label"))
+    meta = t.spark.createDataFrame([(3, n // wide + 2, wide + 2, 1.0, size, size)], "nz int, ny int, nx int, sz double, sy double, sx double")
+    legs = [row for k, (c, s) in enumerate(TURNS) for row in ((k, 1, AWAY, -1.0, -AWAY), (k, 2, AWAY, c + AWAY, -s - AWAY))]
+    legs = t.spark.createDataFrame(legs, "refl_id long, leg int, v0 double, v1 double, v2 double")
+    mu = t.spark.createDataFrame([(3, MU)], "label int, mu double")
+    traced = absorb.factors(legs, sampling.even(voxels, wide * (n // wide)), meta, voxels, mu).withColumn("factor", R6("factor"))
+    turns = t.spark.createDataFrame([(k, c, s) for k, (c, s) in enumerate(TURNS)], "refl_id long, c double, s double")
+    degrees = F.degrees(F.atan2("s", "c"))
+    expected = turns.select("refl_id", degrees.alias("degrees"), F.round(report.expected_cuboid(degrees, F.lit(MU), F.lit(WIDTH), F.lit(n // wide * size)), 3).alias("expected"))
+    rows = report.validation_report(traced, expected, "refl_id").join(expected.select("refl_id", "degrees"), "refl_id")
+    return rows.select(F.round("degrees").cast("int").alias("degrees"), "factor", "expected", R6("error").alias("error"))
+
+
 @query("r14_table_to_factor", "SELECT event_id, CAST(p AS INT) AS place, 1/(user_id+2*p+1e0) AS factor FROM events, range(3) r(p)")
 def r14(t: Inputs):
     rows = t.events.select("event_id", F.array(*(F.col("user_id") + F.lit(k + 1.0) for k in range(6))).alias("entries"))
