@@ -69,6 +69,15 @@ def test_weighted_draw_follows_weights(spark):
     assert len({r["z"] for r in got}) == len(got) == 800 and 560 < heavy < 700 and all(r["weight"] for r in got)
 
 
+def test_local_mean_beside_holes(spark):
+    """All pixels of the window count, whatever is missing beside them."""
+    rng = np.random.default_rng(4)
+    pixels = {(int(y), int(x)): float(rng.integers(0, 9)) for y in range(9) for x in range(9) if rng.random() < 0.5}
+    got = image.local_mean(spark.createDataFrame([(1, y, x, v) for (y, x), v in pixels.items()], "image_id int, y int, x int, value double"), 3).collect()
+    want = {(y, x): np.mean([v for (b, a), v in pixels.items() if abs(b - y) < 2 and abs(a - x) < 2]) for y, x in pixels}
+    assert {(r["y"], r["x"]) for r in got} == want.keys() and all(abs(r["local"] - want[r["y"], r["x"]]) < 1e-12 for r in got)
+
+
 def test_export_keeps_matching_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.5, "x")], "`a.id` int, value double, kind string")
     ingest.export_reflections(df, ["id", "val"], str(tmp_path / "out"))

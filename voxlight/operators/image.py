@@ -157,12 +157,17 @@ def valley(counts: np.ndarray, rounds: int = 10000) -> float | None:
 
 
 def local_mean(img: DataFrame, k: int, by: str = "image_id") -> DataFrame:
-    """`local`: the mean of the k x k pixels around each one, those inside the image; a row's sums first, then a column's. Where an image has holes, rows without a pixel at the same place are left out."""
+    """`local`: the mean of the pixels in the k x k window around each one, those that are there: holes and places beyond the edge count as none.
+
+    Each pixel adds to the k places of its row that see it, holes included; a window along the
+    column adds these up. So k rows a pixel are summed and not k * k.
+    """
     h = k // 2
-    row = Window.partitionBy(by, "y").orderBy("x").rangeBetween(-h, h)
+    seen = img.select(by, "y", F.explode(F.sequence(F.col("x") - h, F.col("x") + h)).alias("x"), "value")
+    rows = seen.groupBy(by, "y", "x").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
     column = Window.partitionBy(by, "x").orderBy("y").rangeBetween(-h, h)
-    sums = img.withColumns({"s": F.sum("value").over(row), "c": F.count("value").over(row)})
-    return sums.withColumn("local", F.sum("s").over(column) / F.sum("c").over(column)).drop("s", "c")
+    means = rows.select(by, "y", "x", (F.sum("s").over(column) / F.sum("c").over(column)).alias("local"))
+    return img.join(means, [by, "y", "x"])
 
 
 def register_shift(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:

@@ -154,7 +154,7 @@ def c7_minimum(t: Inputs):
     return image.threshold_iterative(image.minmax_u8(pixels(t)), "minimum")
 
 
-@query("c7_threshold_local", sql("SELECT a.image_id, a.y, a.x, round(avg(b.value), 6) AS local FROM pixels a JOIN pixels b ON a.image_id = b.image_id AND b.y BETWEEN a.y-2 AND a.y+2 AND b.x BETWEEN a.x-2 AND a.x+2 JOIN pixels c ON c.image_id = a.image_id AND c.y = b.y AND c.x = a.x GROUP BY ALL", pixels=PIXELS))
+@query("c7_threshold_local", sql("SELECT a.image_id, a.y, a.x, round(avg(b.value), 6) AS local FROM pixels a JOIN pixels b ON a.image_id = b.image_id AND b.y BETWEEN a.y-2 AND a.y+2 AND b.x BETWEEN a.x-2 AND a.x+2 GROUP BY ALL", pixels=PIXELS))
 def c7_local(t: Inputs):
     return image.local_mean(pixels(t), 5).select("image_id", "y", "x", R6("local").alias("local"))
 
