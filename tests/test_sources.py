@@ -69,6 +69,18 @@ def test_weighted_draw_follows_weights(spark):
     assert len({r["z"] for r in got}) == len(got) == 800 and 560 < heavy < 700 and all(r["weight"] for r in got)
 
 
+def test_far_registration_is_exact(spark, monkeypatch):
+    """Periodic, random and disjoint masks against all shifts; a few shifts tried at once, so that the search goes on."""
+    monkeypatch.setattr(image, "MOST_TRIED", 20)
+    rng = np.random.default_rng(6)
+    stripes = [(y, x) for y in range(20) for x in range(24) if y % 4 < 2 and x % 5 < 2]
+    noise = [(int(y), int(x)) for y, x in rng.integers(0, 18, (90, 2))]
+    frame = lambda pixels: spark.createDataFrame(sorted(set(pixels)), "y int, x int")
+    for a, b, reach in ((stripes, [(y + 5, x - 3) for y, x in stripes if (y + x) % 7], 7), (noise, noise[::2], 6), ([(0, 0)], [(50, 50)], 7)):
+        found = [[tuple(r) for r in f(frame(a), frame(b), reach).collect()] for f in (image.register_shift, image.register_coarse_to_fine)]
+        assert found[0] == found[1]
+
+
 def test_local_mean_beside_holes(spark):
     """All pixels of the window count, whatever is missing beside them."""
     rng = np.random.default_rng(4)

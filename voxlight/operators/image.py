@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def mask_below(img: DataFrame, t: float | Column) -> DataFrame:
     return img.withColumn("mask", (F.col("value") < t).cast("int"))
@@ -68,6 +70,8 @@ def fill_gaps(mask: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 BINS = 256
+#: Shifts of bins that registration tries at once, at most.
+MOST_TRIED = 1024
 
 
 def histogram(img: DataFrame, by: str = "image_id", column: str = "u8") -> DataFrame:
@@ -178,20 +182,38 @@ def register_shift(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
     return hits.orderBy(F.desc("overlap"), F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"), "dy", "dx").limit(1)
 
 
-def register_coarse_to_fine(a: DataFrame, b: DataFrame, reach: int, bin_size: int = 4, keep: int = 3) -> DataFrame:
-    """register_shift over a long reach: masks are counted in bins first, and single pixels are moved only around the `keep` best shifts of bins."""
+def register_coarse_to_fine(a: DataFrame, b: DataFrame, reach: int, bin_size: int = 4) -> DataFrame:
+    """register_shift over a long reach, exact, by branch and bound.
+
+    Pixels are counted in bins. Under a shift by whole bins and less than one more, the pixels of a
+    bin of b fall in four bins of a, so the smaller of the two counts, summed, bounds the overlap
+    of bin_size^2 shifts. These are tried from the largest bound on, more at a time, until no
+    bound left reaches the best overlap. Only the shifts being tried, MOST_TRIED of bins at most, pass the driver.
+    """
+    spark = a.sparkSession
     binned = lambda df, n: df.groupBy(F.floor(F.col("y") / bin_size).alias("y"), F.floor(F.col("x") / bin_size).alias("x")).agg(F.count("*").alias(n))
-    far = -(-reach // bin_size)
     every = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
-    moved = binned(b, "nb").withColumn("by", every(-far, far)).withColumn("bx", every(-far, far)).select("by", "bx", "nb", (F.col("y") + F.col("by")).alias("y"), (F.col("x") + F.col("bx")).alias("x"))
-    scores = moved.join(binned(a, "na"), ["y", "x"]).groupBy("by", "bx").agg(F.sum(F.col("na") * F.col("nb")).alias("score"))
-    best = scores.orderBy(F.desc("score"), "by", "bx").limit(keep)
-    around = lambda c: F.explode(F.sequence(F.col(c) * bin_size - bin_size, F.col(c) * bin_size + bin_size))
-    shifts = best.select(around("by").alias("dy"), "bx").select("dy", around("bx").alias("dx"))
-    shifts = shifts.where((F.abs("dy") <= reach) & (F.abs("dx") <= reach)).distinct()  # keep * (2 * bin_size + 1)^2 rows at most
-    spots = b.select("y", "x").crossJoin(F.broadcast(shifts)).select("dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    hits = spots.join(a.select("y", "x"), ["y", "x"]).groupBy("dy", "dx").agg(F.count("*").alias("overlap"))
-    return hits.orderBy(F.desc("overlap"), F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"), "dy", "dx").limit(1)
+    low, high = -reach // bin_size, reach // bin_size
+    four = binned(a, "na").withColumn("oy", every(0, 1)).withColumn("ox", every(0, 1)).groupBy((F.col("y") - F.col("oy")).alias("y"), (F.col("x") - F.col("ox")).alias("x")).agg(F.sum("na").alias("na"))
+    moved = binned(b, "nb").withColumn("by", every(low, high)).withColumn("bx", every(low, high)).select("by", "bx", "nb", (F.col("y") + F.col("by")).alias("y"), (F.col("x") + F.col("bx")).alias("x"))
+    path = scratch(spark, "bounds")
+    moved.join(four, ["y", "x"]).groupBy("by", "bx").agg(F.sum(F.least("na", "nb")).alias("bound")).write.parquet(path)
+    left = spark.read.parquet(path)
+    best, tried = None, 16
+    while cells := left.orderBy(F.desc("bound"), "by", "bx").limit(tried).collect():
+        if best and cells[0]["bound"] < best["overlap"]:
+            break
+        fine = [(c["by"] * bin_size + i, c["bx"] * bin_size + j) for c in cells for i in range(bin_size) for j in range(bin_size)]
+        shifts = spark.createDataFrame([(dy, dx) for dy, dx in fine if max(abs(dy), abs(dx)) <= reach] or [(0, 0)], "dy int, dx int")
+        spots = b.select("y", "x").crossJoin(F.broadcast(shifts)).select("dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+        hits = spots.join(a.select("y", "x"), ["y", "x"]).groupBy("dy", "dx").agg(F.count("*").alias("overlap"))
+        found = hits.orderBy(F.desc("overlap"), F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"), "dy", "dx").first()
+        rank = lambda r: (-r["overlap"], r["dy"] ** 2 + r["dx"] ** 2, r["dy"], r["dx"])
+        best = min((r for r in (best, found) if r), key=rank, default=None)
+        end = cells[-1]
+        after = (F.col("bound") < end["bound"]) | ((F.col("bound") == end["bound"]) & (F.struct("by", "bx") > F.struct(F.lit(end["by"]).alias("by"), F.lit(end["bx"]).alias("bx"))))
+        left, tried = spark.read.parquet(path).where(after), min(MOST_TRIED, 2 * tried)
+    return spark.createDataFrame([tuple(best)] if best else [], "dy int, dx int, overlap long")
 
 
 def scan_angles(masks: DataFrame, model: DataFrame) -> DataFrame:

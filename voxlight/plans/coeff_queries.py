@@ -186,6 +186,20 @@ def c8_far(t: Inputs):
     return image.register_coarse_to_fine(a, b, 12)
 
 
+@query(
+    "c8_register_periodic",
+    sql(
+        "SELECT * FROM (SELECT CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, count(*) AS overlap FROM b, range(-12, 13) s(dy), range(-12, 13) u(dx), stripes a WHERE a.y = b.y+dy AND a.x = b.x+dx GROUP BY ALL) ORDER BY overlap DESC, dy*dy+dx*dx, dy, dx LIMIT 1",
+        stripes="SELECT DISTINCT CAST((event_id//60)%40 AS INT) AS y, CAST(event_id%60 AS INT) AS x FROM events WHERE ((event_id//60)%40)%5 < 2 AND (event_id%60)%6 < 3 AND user_id%7<>0", b="SELECT y+8 AS y, x-7 AS x FROM stripes WHERE (y*5+x*3)%11<>0",
+    ),
+)
+def c8_periodic(t: Inputs):
+    """A mask that repeats every 5 and 6 pixels, moved by (-8, 7): many shifts overlap nearly as well as the right one."""
+    a = t.events.selectExpr("CAST((event_id div 60)%40 AS INT) AS y", "CAST(event_id%60 AS INT) AS x", "user_id").where("y%5 < 2 and x%6 < 3 and user_id%7<>0").select("y", "x").distinct()
+    b = a.where("(y*5+x*3)%11<>0").select((F.col("y") + 8).alias("y"), (F.col("x") - 7).alias("x"))
+    return image.register_coarse_to_fine(a, b, 12)
+
+
 TURNED = "SELECT CAST(event_id%180 AS INT) AS angle, CAST((event_id//180)%12 AS INT) AS y, CAST((event_id//180)//12 AS INT) AS x, CAST((user_id+event_id%180)%3=0 AS INT) AS mask FROM events"
 MODEL = "SELECT y, x, CAST((y*3+x)%2 AS INT) AS mask FROM (SELECT DISTINCT y, x FROM masks)"
 SCAN = "SELECT angle, avg(abs(a.mask-coalesce(m.mask,0))) AS difference, sum(a.mask) AS area FROM masks a LEFT JOIN model m USING (y, x) GROUP BY ALL"
