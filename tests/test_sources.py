@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxlight.operators import coeff, image, reflections, sampling, volume
+from voxlight.operators import coeff, image, order, reflections, sampling, volume
 from voxlight.sources import ingest
 
 
@@ -81,6 +81,19 @@ def test_far_registration_is_exact(spark, monkeypatch):
         assert found[0] == found[1]
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_running_sums_follow_the_whole_order(spark, parts):
+    """Also with nulls, ties broken by a second key, and an empty table."""
+    rows = [(k * 37 % 101 % 20 or None, k, k % 4) for k in range(101)]
+    df = spark.createDataFrame(rows, "a int, b int, v int").repartition(parts)
+    got = {r["b"]: r["before"] for r in order.running_sum(df, [F.col("a").desc_nulls_last(), F.col("b")], F.col("v"), "before").collect()}
+    total = 0
+    for _, b, v in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1])):
+        assert got[b] == total
+        total += v
+    assert order.running_sum(df.limit(0), [F.col("b")], F.lit(1), "before").count() == 0
+
+
 def test_local_mean_beside_holes(spark):
     """All pixels of the window count, whatever is missing beside them."""
     rng = np.random.default_rng(4)

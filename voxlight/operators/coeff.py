@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running_sum
+
 CLASSES = {"li": 1, "lo": 2, "cr": 3, "bu": 4}
 
 
@@ -35,8 +37,7 @@ def rank_columns(counts: DataFrame, target: str, fraction: float, mode: str = "a
     score = F.col(target).cast("double") if mode == "absolute" else F.when(F.col("li") != 0, F.col(target) / F.col("li")).otherwise(1.0)
     scored = counts.withColumn("score", score)
     per = scored.groupBy("score").agg(F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score"))
-    per = per.select("score", (F.sum("n").over(down) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    per = running_sum(per, [F.desc("score")], F.col("n"), "before").select("score", "before").crossJoin(F.broadcast(counts.agg(F.count("*").alias("total"))))
     tie = F.row_number().over(Window.partitionBy("score").orderBy("z", "x"))
     ranked = scored.withColumn("tie", tie).join(per, "score")
     return ranked.where(F.col("before") + F.col("tie") <= F.floor(F.col("total") * fraction)).drop("tie", "before", "total")

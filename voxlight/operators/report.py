@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running_sum
+
 #: What a scaling log says about its error model, and the lines around a peak list (fixed values).
 PARAMETERS = r"a = ([0-9.eE+-]+), b = ([0-9.eE+-]+)"
 PEAKS_BEGIN = "X        Y        Z   Height(sig)  SOF     Nearest atom"
@@ -40,7 +42,8 @@ def first_number(name: Column) -> Column:
 def numeric_order(df: DataFrame, name: str) -> DataFrame:
     """Distinct names with their place."""
     named = df.select(name).distinct().withColumn("number", first_number(F.col(name)))
-    return named.withColumn("place", F.row_number().over(Window.orderBy(F.col("number").asc_nulls_last(), name)))
+    placed = running_sum(named, [F.col("number").asc_nulls_last(), F.col(name)], F.lit(1), "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def peak_rows(lines: DataFrame) -> DataFrame:

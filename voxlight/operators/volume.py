@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running_sum
+
 
 def resize_nearest(voxels: DataFrame, volume: DataFrame, factor: float) -> DataFrame:
     """Nearest-neighbour resampling to int(n * factor) voxels an axis: each source voxel goes to the targets that read it."""
@@ -57,10 +59,11 @@ def last_number(name: Column) -> Column:
 
 
 def natural_order(files: DataFrame, name: str = "file_name", reverse: bool = False) -> DataFrame:
-    """Distinct files with their number and place, the last number first if reversed; names are few beside the rows in them."""
+    """Distinct files with their number and place, the last number first if reversed."""
     named = files.select(name).distinct().withColumn("number", last_number(F.col(name)))
-    keys = [F.col("number").desc(), F.col(name).desc()] if reverse else ["number", name]
-    return named.withColumn("place", F.row_number().over(Window.orderBy(*keys)) - 1)
+    keys = [F.col("number").desc(), F.col(name).desc()] if reverse else [F.col("number"), F.col(name)]
+    placed = running_sum(named, keys, F.lit(1), "place")
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 def gray_to_label(slices: DataFrame, values: dict[int, int]) -> DataFrame:
