@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxlight.operators import absorb, bricks, image, report, sampling, volume
 from voxlight.plans import coeff_queries
-from voxlight.plans.catalog import QUERIES
+from voxlight.plans.catalog import QUERIES, load
 from voxlight.plans.fixtures import Inputs
 
 SMALL = "/root/testdata/sf0.001"
@@ -44,7 +44,7 @@ def test_cuboid(spark, n, tolerance):
 
 
 def test_traced_cuboid_comes_near_the_closed_form(spark):
-    rows = QUERIES["r13_traced_cuboid"](spark, SMALL).collect()
+    rows = load()[0]["r13_traced_cuboid"](spark, SMALL).collect()
     assert len(rows) == 6 and all(0 < r["error"] < 8 for r in rows)
 
 
