@@ -4,6 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from voxlight.llm import jaccard
 
@@ -65,6 +66,24 @@ def test_large_groups_are_dealt_in_blocks(frame, monkeypatch, spread):
     assert result(frame(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("spread", [0, 2, 64])
+def test_groups_of_long_texts_are_dealt_by_shingles(frame, monkeypatch, spread):
+    """Texts of 86 shingles load a group as 9 short ones would; blocks get smaller, links stay."""
+    monkeypatch.setattr(jaccard, "LOAD", 10)
+    monkeypatch.setattr(jaccard, "GROUP", 24)
+    monkeypatch.setattr(jaccard, "SPREAD", spread)
+    rows = [*near_rows(), (500, "short text"), (501, "Short  TEXT")]
+    assert result(frame(rows)) == brute(rows)
+
+
+def test_filter_has_the_bits_of_the_ids(spark):
+    wanted, bits = spark.range(0, 3000, 7), 1 << 16
+    packed = jaccard.bitmap_of(wanted, "id", bits)
+    places = [r["p"] for r in wanted.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).collect()]
+    assert len(packed) == bits // 8
+    assert np.flatnonzero(jaccard.is_set(packed, np.arange(bits))).tolist() == sorted(set(places))
+
+
 def test_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]

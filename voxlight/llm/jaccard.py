@@ -38,11 +38,13 @@ from .features import Words
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 TREES, DEPTH, RECALL = 24, 7, 0.9999  # DEPTH is 7 at most
-#: Classes that are compared in one go at most; a larger group is dealt in blocks of half as many.
+#: A class is a load of 1 for every LOAD shingles or part of them, so that long texts count for many.
+LOAD = 16_384
+#: Loads that are compared in one go at most; a larger group is dealt in blocks of half as much.
 GROUP = 512
 #: Groups of up to so many times GROUP are dealt as blocks of their own, larger ones by their prefixes.
 SPREAD = 64
-#: Classes whose small groups go to one task together, about.
+#: Loads of classes whose small groups go to one task together, about.
 TOGETHER = 1500
 SLICE = 512
 #: Shingles that more members share than this are compared by matrix products.
@@ -162,18 +164,22 @@ def linked(sets: list[np.ndarray], threshold: Fraction) -> tuple[np.ndarray, np.
 
 
 def bitmap_of(ids: DataFrame, column: str, bits: int) -> np.ndarray:
-    """So many bits, set at the hash of each id; a row for every 32,768 reaches the driver."""
+    """So many bits, eight to a byte and the lowest first, set at the hash of each id; a row for every 32,768 reaches the driver."""
     place = F.pmod(F.xxhash64(column), F.lit(bits)) + 1  # bits are numbered from 1
     rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    out = np.zeros(bits, bool)
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows:
-        at = (r["bucket"] - 1) * 32768
-        out[at : at + 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")[:32768]
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)[:4096]
     return out
 
 
+def is_set(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (packed[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+
+
 def signatures(rows: DataFrame, width: int, root: int) -> DataFrame:
-    """(id, text_hash, d1, d2, roots, paths) of rows (id, text, text_hash); no roots for texts without words."""
+    """(id, text_hash, d1, d2, load, roots, paths) of rows (id, text, text_hash); no roots for texts without words."""
 
     def signed(batches):
         for batch in batches:
@@ -184,9 +190,10 @@ def signatures(rows: DataFrame, width: int, root: int) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(some, TREES, 0))]), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64)[some].ravel())) for x in s.signatures(TREES, root, DEPTH)]
                 digests = [pa.array([d[k] for d in s.digests], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *digests, *lists], names=["id", "text_hash", "d1", "d2", "roots", "paths"])
+                load = pa.array(np.maximum(1, -(-np.diff(s.starts) // LOAD)), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *digests, load, *lists], names=["id", "text_hash", "d1", "d2", "load", "roots", "paths"])
 
-    return rows.mapInArrow(signed, "id long, text_hash long, d1 long, d2 long, roots array<long>, paths array<long>")
+    return rows.mapInArrow(signed, "id long, text_hash long, d1 long, d2 long, load long, roots array<long>, paths array<long>")
 
 
 def shingle_sets(rows: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
@@ -195,15 +202,15 @@ def shingle_sets(rows: DataFrame, candidates: DataFrame, width: int) -> DataFram
     bits = min(FILTER_BITS, 1 << max(15, (BITS_EACH * count).bit_length()))
     placed = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).cast("long").alias("place"))
     if BITS_EACH * count > 2 * FILTER_BITS:
-        placed, wanted = placed.join(candidates.select("id"), "id", "left_semi"), np.ones(bits, bool)
+        placed, wanted = placed.join(candidates.select("id"), "id", "left_semi"), None
     else:
         wanted = bitmap_of(candidates, "id", bits)
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def listed(batches):
-        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column("place").to_numpy()]))
+            if shared.value is not None:
+                batch = batch.filter(pa.array(is_set(shared.value, batch.column("place").to_numpy())))
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 s = Shingles.of(part.column("text"), width)
@@ -257,7 +264,7 @@ def compare(threshold: Fraction, depth: int, root: int):
 
 
 def parts_of(groups: DataFrame, members: DataFrame, before: DataFrame | None, together: int) -> DataFrame:
-    """(task, tree, part, block, cross, home, seen, wide): which classes of groups (home, component) are compared with each other.
+    """(task, tree, part, block, cross, home, seen, wide): which classes of groups (home, component, load) are compared with each other.
 
     `seen` is the group that a class was in at the depth before, `wide` whether that one was dealt by prefixes.
     Groups that are as they were are left out.
@@ -267,7 +274,7 @@ def parts_of(groups: DataFrame, members: DataFrame, before: DataFrame | None, to
         rows = rows.withColumns({"seen": F.col("home"), "wide": F.lit(False)})
     else:
         rows = rows.join(before, "home", "left").withColumns({"seen": F.coalesce("seen", "home"), "wide": F.coalesce("wide", F.lit(False))})
-    sizes = rows.groupBy("component").agg(F.count("*").alias("size"), (F.min("seen") != F.max("seen")).alias("new"))
+    sizes = rows.groupBy("component").agg(F.sum("load").alias("size"), (F.min("seen") != F.max("seen")).alias("new"))
     huge = F.col("size") > GROUP * SPREAD
     rows = rows.join(sizes.where(huge | F.col("new")), "component")
     no = F.lit(-1)
@@ -303,39 +310,39 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     signed = materialize(signatures(rows, width, root), "signatures")
     usable: Column = F.col("id").isNotNull() & (F.size("roots") > 0)
-    classes = signed.where(usable).groupBy("d1", "d2").agg(F.min("id").alias("name"), F.count("*").alias("copies"), F.first("roots").alias("roots"), F.first("paths").alias("paths"))
+    classes = signed.where(usable).groupBy("d1", "d2").agg(F.min("id").alias("name"), F.count("*").alias("copies"), F.first("load").alias("load"), F.first("roots").alias("roots"), F.first("paths").alias("paths"))
     # Ids may repeat with other texts, so classes get numbers of their own.
     classes = materialize(classes.withColumn("home", F.monotonically_increasing_id()), "classes")
 
-    entries = classes.select("home", F.posexplode(F.arrays_zip("roots", "paths")).alias("tree", "at")).select("tree", "at.roots", "at.paths", "home")
+    entries = classes.select("home", "load", F.posexplode(F.arrays_zip("roots", "paths")).alias("tree", "at")).select("tree", "at.roots", "at.paths", "home", "load")
     entries = entries.withColumnsRenamed({"roots": "root", "paths": "path"})
     crowded = entries.groupBy("tree", "root").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     tries = entries.join(crowded, ["tree", "root"]).repartitionByRange("tree", "root", "path", "home").sortWithinPartitions("tree", "root", "path", "home")
     tries = materialize(tries, "tries")
 
-    candidates = materialize(tries.select("home").distinct().join(classes, "home").select("home", F.col("name").alias("id"), "d1", "d2", "copies", "roots", "paths"), "candidates")
+    candidates = materialize(tries.select("home").distinct().join(classes, "home").select("home", F.col("name").alias("id"), "d1", "d2", "copies", "load", "roots", "paths"), "candidates")
     sets = shingle_sets(rows, candidates, width)
     sets = candidates.join(sets, ["d1", "d2"]).dropDuplicates(["home"]).select("home", "copies", "roots", "paths", "shingles")
     sets = materialize(sets, "shingles")
-    together = max(partitions(spark), candidates.count() // TOGETHER)
+    together = max(partitions(spark), (candidates.agg(F.sum("load")).first()[0] or 0) // TOGETHER)
 
     # The groups of every depth at once: a class has a node for each depth.
     digits, levels = digit_bits(root, DEPTH), range(DEPTH, root - 1, -1)
     prefixes = F.array(*(F.struct(F.lit(k).alias("depth"), F.shiftright("path", digits * (DEPTH - k)).alias("prefix")) for k in levels))
-    nodes = tries.select("tree", "root", "home", F.inline(prefixes))
-    shared = nodes.groupBy("tree", "root", "depth", "prefix").agg(F.count("*").alias("n"), F.min("home").alias("least")).where("n > 1")
+    nodes = tries.select("tree", "root", "home", "load", F.inline(prefixes))
+    shared = nodes.groupBy("tree", "root", "depth", "prefix").agg(F.sum("load").alias("n"), F.min("home").alias("least"), F.max("home").alias("most")).where("least < most")
     members = nodes.join(shared, ["tree", "root", "depth", "prefix"]).select("depth", "tree", F.xxhash64("root", "prefix").alias("node"), "n", "least", "home")
     members = materialize(members, "nodes")
     at_depth = lambda c: F.shiftleft(c, 3) + F.col("depth")
     tied = components(members.select(at_depth("home").alias("a"), at_depth("least").alias("b")))
     groups = tied.select(F.col("node").bitwiseAND(7).alias("depth"), F.shiftright("node", 3).alias("home"), F.shiftright("component", 3).alias("component"))
-    groups = materialize(groups, "groups")
+    groups = materialize(groups.join(candidates.select("home", "load"), "home"), "groups")
     discard(tied, tries)
 
     found, before = [], None
     pairs, missed = 0, [0.0] * len(levels)
     for depth in levels:
-        mine = groups.where(F.col("depth") == depth).select("home", "component")
+        mine = groups.where(F.col("depth") == depth).select("home", "component", "load")
         work = parts_of(mine, members.where(F.col("depth") == depth), before, together).join(sets, "home")
         links = materialize(work.groupBy("task").applyInPandas(compare(threshold, depth, root), LINKS), "links")
         found.append(links)
@@ -343,7 +350,7 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         pairs, missed = pairs + (sums["pairs"] or 0), [m + (sums[f"m{k}"] or 0.0) for k, m in enumerate(missed)]
         if estimated_recall(pairs, missed[depth - root], least, depth) >= RECALL:
             break
-        sizes = mine.groupBy("component").agg((F.count("*") > GROUP * SPREAD).alias("wide"))
+        sizes = mine.groupBy("component").agg((F.sum("load") > GROUP * SPREAD).alias("wide"))
         before = mine.join(sizes, "component").select("home", F.col("component").alias("seen"), "wide")
     discard(groups, members, candidates, sets)
 
