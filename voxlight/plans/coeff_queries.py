@@ -149,7 +149,22 @@ def c7_li(t: Inputs):
     return image.threshold_iterative(image.minmax_u8(pixels(t)), "li").withColumn("threshold", R6("threshold"))
 
 
-@query("c7_threshold_minimum")
+#: Of a smoothed histogram h: its slopes that are not 0, and the bins before which it rises and after which it falls.
+SLOPES = "SELECT *, list_filter(list_transform(range(1, 256), lambda i: {'bin': i - 1, 's': sign(h[i+1] - h[i])}), lambda e: e.s <> 0) AS slopes FROM "
+PEAKS = "list_transform(list_filter(range(1, len(slopes) + 1), lambda k: slopes[k].s < 0 AND (k = 1 OR slopes[k-1].s > 0)), lambda k: slopes[k].bin) AS peaks"
+
+
+@query(
+    "c7_threshold_minimum",
+    sql(
+        """SELECT image_id, CASE WHEN len(peaks) = 2 THEN CAST(peaks[1] + list_position(h[peaks[1]+1:peaks[2]+1], list_min(h[peaks[1]+1:peaks[2]+1])) - 1 AS DOUBLE) END AS threshold
+            FROM rounds JOIN (SELECT image_id, max(r) AS r FROM rounds GROUP BY image_id) USING (image_id, r)""",
+        pixels=PIXELS, u8=U8, bins="SELECT image_id, u8, count(*)::DOUBLE AS n FROM u8 GROUP BY ALL",
+        start="SELECT image_id, list(coalesce(n, 0e0) ORDER BY u8) AS h FROM (SELECT DISTINCT image_id FROM bins) CROSS JOIN range(256) s(u8) LEFT JOIN bins USING (image_id, u8) GROUP BY image_id",
+        rounds=f"""SELECT image_id, 0 AS r, h, {PEAKS} FROM ({SLOPES} start) UNION ALL
+            SELECT image_id, r, h, {PEAKS} FROM ({SLOPES} (SELECT image_id, r + 1 AS r, list_transform(range(1, 257), lambda i: h[greatest(i-1, 1)]*(1e0/3) + h[i]*(1e0/3) + h[least(i+1, 256)]*(1e0/3)) AS h FROM rounds WHERE len(peaks) > 2 AND r < 9999))""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def c7_minimum(t: Inputs):
     return image.threshold_iterative(image.minmax_u8(pixels(t)), "minimum")
 
