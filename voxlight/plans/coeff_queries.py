@@ -285,7 +285,9 @@ for _f in (1.0, 0.75, 0.5, 0.25):
 def c13(t: Inputs):
     rows = seen(t).cache()
     columns = {"li": rows.where("lo=0 and cr=0 and bu=0"), "cr": rows.where("cr > 0")}
-    return coeff.coef_sequence(columns, PIXEL, given={"lo": 0.01, "bu": 0.005}).withColumn("mu", R6("mu"))
+    found = coeff.coef_sequence(columns, PIXEL, given={"lo": 0.01, "bu": 0.005})
+    rows.unpersist()
+    return found.withColumn("mu", R6("mu"))
 
 
 def _all_classes(fraction: float) -> tuple[dict[str, str], list[str]]:
@@ -315,7 +317,9 @@ def c13_all(t: Inputs):
     """All four classes, none given."""
     rows = seen(t).cache()
     columns = {"li": rows.where("lo=0 and cr=0 and bu=0 and li>0"), **{c: rows.where(f"{c} > 0") for c in ("lo", "cr", "bu")}}
-    return coeff.coef_sequence(columns, PIXEL).withColumn("mu", R6("mu"))
+    found = coeff.coef_sequence(columns, PIXEL)
+    rows.unpersist()
+    return found.withColumn("mu", R6("mu"))
 
 
 @query("c14_coef_stats", sql("SELECT event_type AS label, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS std, round(skewness_pop, 4) AS skew, round(avg(value)+2*stddev_pop(value), 6) AS plus2, round(avg(value)*0.8e0, 6) AS low_limit FROM (SELECT event_type, value, avg(pow(value-m, 3)) OVER (PARTITION BY event_type)/pow(s, 3) AS skewness_pop FROM events JOIN (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY ALL) USING (event_type)) GROUP BY event_type, skewness_pop"))
