@@ -57,8 +57,12 @@ class Vectors:
         return np.bincount(self.row, minlength=self.n)
 
     def dot(self, others: np.ndarray) -> np.ndarray:
-        """Rows by others."""
-        return np.stack([np.bincount(self.row, weights=self.value * o[self.feature], minlength=self.n) for o in others], axis=1) if len(others) else np.zeros((self.n, 0))
+        """Rows by others: each row meets all of them at once."""
+        columns, ends = np.ascontiguousarray(np.asarray(others, float).T), np.searchsorted(self.row, np.arange(self.n + 1))
+        out = np.zeros((self.n, len(others)))
+        for r, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            out[r] = self.value[a:b] @ columns[self.feature[a:b]]
+        return out
 
     def total(self, rows: np.ndarray) -> np.ndarray:
         """The sum of the rows that are marked."""
@@ -70,19 +74,24 @@ class Vectors:
         return Vectors(int(rows.sum()), (np.cumsum(rows) - 1)[self.row[used]], self.feature[used], self.value[used])
 
 
-def term_counts(texts: pa.Array) -> Vectors:
-    """Of letters only: digits, signs and decorations say nothing of a language, and would gather texts of several."""
-    words = Words(pc.replace_substring_regex(texts, r"[^\pL\pM]+", " "))
+def letters_of(texts: pa.Array) -> pa.Array:
+    """A space for all between: digits, signs and decorations say nothing of a language, and would gather texts of several."""
+    return pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\pL\pM]+", " ")
+
+
+def term_counts(letters: pa.Array) -> Vectors:
+    """Of what letters_of gives."""
+    words = Words(letters)
     starts, features = ngrams(words.vocabulary, SIZES, DIMS)
     row, word, times = words.distinct()
     found = []
-    for at in range(0, len(texts), BLOCK):
+    for at in range(0, len(letters), BLOCK):
         part = slice(*np.searchsorted(row, (at, at + BLOCK)))
         which, index = spread(starts, word[part])
         flat = np.bincount((row[part][which] - at) * DIMS + features[index], weights=times[part][which], minlength=1)
         key = np.flatnonzero(flat)
         found.append((key // DIMS + at, key % DIMS, flat[key]))
-    return Vectors(len(texts), *(np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*found, strict=True) if found else [()] * 3, strict=True)))
+    return Vectors(len(letters), *(np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*found, strict=True) if found else [()] * 3, strict=True)))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -95,14 +104,15 @@ def tfidf(counts: Vectors, idf: np.ndarray) -> Vectors:
     return Vectors(counts.n, counts.row, counts.feature, value / np.maximum(norm, 1e-12)[counts.row])
 
 
-def has_letters(texts: pa.Array) -> np.ndarray:
-    return pc.match_substring_regex(pc.fill_null(texts, ""), r"\pL").to_numpy(zero_copy_only=False)
+def has_letters(letters: pa.Array) -> np.ndarray:
+    """Marks alone are no letters."""
+    return pc.match_substring_regex(letters, r"\pL").to_numpy(zero_copy_only=False)
 
 
-def hardly_letters(texts: pa.Array) -> np.ndarray:
+def hardly_letters(texts: pa.Array, letters: pa.Array) -> np.ndarray:
     texts = pc.fill_null(texts, "")
-    length_without = lambda pattern: pc.utf8_length(pc.replace_substring_regex(texts, pattern, "")).to_numpy(zero_copy_only=False)
-    return length_without(r"[^\pL\pM]+") < LEAST_LETTERS * length_without(r"\s+")
+    length_without = lambda x, blanks: (pc.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64) - sum(pc.count_substring(x, b).to_numpy(zero_copy_only=False) for b in blanks))
+    return length_without(letters, " ") < LEAST_LETTERS * length_without(texts, " \t\n\f\r")
 
 
 @dataclass
@@ -117,14 +127,15 @@ class Model:
         """(languages, best cosines, rejected)."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        letters = has_letters(texts)
-        vectors = tfidf(term_counts(texts), self.idf)
+        plain = letters_of(texts)
+        letters = has_letters(plain)
+        vectors = tfidf(term_counts(plain), self.idf)
         cosines = vectors.dot(self.centroids)
         best = cosines.argmax(axis=1)
         score = np.where(letters, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0.0)
         base, slope, most = self.lines[self.owner[best]].T
         least = base + slope * np.minimum(log_size(vectors), most)
-        return [self.languages[self.owner[b]] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score, ~letters | (score < least) | hardly_letters(texts)
+        return [self.languages[self.owner[b]] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score, ~letters | (score < least) | hardly_letters(texts, plain)
 
 
 def log_size(vectors: Vectors) -> np.ndarray:
@@ -167,7 +178,7 @@ def fit(labelled: DataFrame) -> Model:
     def frequencies(batches):
         total, rows = np.zeros(DIMS), 0
         for batch in slices(batches):
-            total += np.bincount(term_counts(batch.column("text")).feature, minlength=DIMS)
+            total += np.bincount(term_counts(letters_of(batch.column("text"))).feature, minlength=DIMS)
             rows += batch.num_rows
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["rows", "df"])
@@ -183,7 +194,7 @@ def fit(labelled: DataFrame) -> Model:
 
     def vectors(batches):
         for batch in slices(batches):
-            rows = tfidf(term_counts(batch.column("text")), idf)
+            rows = tfidf(term_counts(letters_of(batch.column("text"))), idf)
             ends = np.searchsorted(rows.row, np.arange(rows.n + 1))
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, t)) for x, t in ((rows.feature, pa.int32()), (rows.value, pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), *lists], names=["lang", "key", "feature", "value"])
