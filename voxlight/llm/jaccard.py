@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions
+from .common import discard, give_back, lean, materialize, partitions
 from .components import components, forest
 from .features import Words
 
@@ -193,7 +193,7 @@ def signatures(rows: DataFrame, width: int, root: int) -> DataFrame:
                 load = pa.array(np.maximum(1, -(-np.diff(s.starts) // LOAD)), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *digests, load, *lists], names=["id", "text_hash", "d1", "d2", "load", "roots", "paths"])
 
-    return rows.mapInArrow(signed, "id long, text_hash long, d1 long, d2 long, load long, roots array<long>, paths array<long>")
+    return rows.mapInArrow(lean(signed), "id long, text_hash long, d1 long, d2 long, load long, roots array<long>, paths array<long>")
 
 
 def shingle_sets(rows: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
@@ -217,7 +217,7 @@ def shingle_sets(rows: DataFrame, candidates: DataFrame, width: int) -> DataFram
                 sets = [np.unique(s.hashes[a:b]).tobytes() for a, b in zip(s.starts[:-1], s.starts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(pa.array([d[k] for d in s.digests], pa.int64()) for k in (0, 1)), pa.array(sets, pa.binary())], names=["d1", "d2", "shingles"])
 
-    return placed.where("id is not null").mapInArrow(listed, "d1 long, d2 long, shingles binary")
+    return placed.where("id is not null").mapInArrow(lean(listed), "d1 long, d2 long, shingles binary")
 
 
 LINKS = "home long, links long, root long, pairs long, missed array<double>"
@@ -260,7 +260,12 @@ def compare(threshold: Fraction, depth: int, root: int):
             out.append(pd.DataFrame({"home": home[some], "links": links[some].astype(np.int64), "root": top[some], "pairs": np.bincount(i, minlength=n)[some], "missed": list(missed[some])}))
         return pd.concat(out)
 
-    return compared
+    def lean_compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = compared(pdf)
+        give_back()
+        return out
+
+    return lean_compared
 
 
 def parts_of(groups: DataFrame, members: DataFrame, before: DataFrame | None, together: int) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .features import Words, ngrams, spread
 
 SIZES = (1, 2, 3)
@@ -183,7 +184,7 @@ def fit(labelled: DataFrame) -> Model:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["rows", "df"])
 
-    parts = labelled.select("text").mapInArrow(frequencies, "rows long, df array<double>")
+    parts = labelled.select("text").mapInArrow(lean(frequencies), "rows long, df array<double>")
     summed = parts.select("rows", F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("df"), F.sum("rows").alias("rows")).toPandas()  # DIMS rows
     if not len(summed):
         return Model([], np.zeros(DIMS), np.zeros((0, DIMS)), np.zeros(0, int), np.zeros((0, 3)))
@@ -215,10 +216,10 @@ def fit(labelled: DataFrame) -> Model:
     every = labelled.sparkSession.createDataFrame([(lang, max(1, -(-rows // share))) for lang, rows in counts.items()], "lang string, every long")
     # Equal ids (or none) still get different hashes by their texts.
     drawn = labelled.join(F.broadcast(every), "lang").where(F.pmod(F.xxhash64("id", "text"), "every") == 0)
-    sample = drawn.select("text", "lang", F.xxhash64("id", "text").alias("key")).mapInArrow(vectors, "lang string, key long, feature array<int>, value array<float>")
+    sample = drawn.select("text", "lang", F.xxhash64("id", "text").alias("key")).mapInArrow(lean(vectors), "lang string, key long, feature array<int>, value array<float>")
     # Vectors in sparse form: about FIT_ROWS may meet in one task, and more languages take more tasks.
     tasks = -(-share * len(counts) // FIT_ROWS)
-    found = (sample.repartition(tasks, "lang") if tasks > 1 else sample.repartition(1)).mapInArrow(clustered, "lang string, vector binary, line array<double>").toPandas()
+    found = (sample.repartition(tasks, "lang") if tasks > 1 else sample.repartition(1)).mapInArrow(lean(clustered), "lang string, vector binary, line array<double>").toPandas()
     languages = sorted(set(found["lang"]))
     centroids = np.stack([np.frombuffer(v, dtype=np.float32) for v in found["vector"]])
     owner = np.array([languages.index(x) for x in found["lang"]])
@@ -253,7 +254,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["id", "lang_pred", "score", "rejected"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predicted, "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(predicted), "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -264,4 +265,4 @@ def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in slices(batches):
             yield batch.filter(pa.array(~shared.value.predict(batch.column(text_col))[2]))
 
-    return df.mapInArrow(kept, df.schema)
+    return df.mapInArrow(lean(kept), df.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import lean, materialize, partitions
 
 WIDTH = 1024
 END_ID = 0
@@ -71,7 +71,7 @@ def tokenize(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    return rows.mapInArrow(pieces, "id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(lean(pieces), "id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def patterns(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
@@ -136,7 +136,7 @@ def pack(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(p["offset"][at])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(placed), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 from .features import Words, ngrams, spread
 
 SIZES = (3, 4, 5)
@@ -80,7 +80,7 @@ def ratios(labelled: DataFrame) -> np.ndarray:
             at = np.flatnonzero(sums.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(at // 4096, pa.int32()), pa.array(at % 4096, pa.int32()), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["page", "item", "n0", "n1"])
 
-    parts = labelled.mapInArrow(partial, "page int, item int, n0 double, n1 double")
+    parts = labelled.mapInArrow(lean(partial), "page int, item int, n0 double, n1 double")
     sums = parts.groupBy("page", "item").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # DIMS rows at most
     n = np.ones((2, DIMS))
     at = sums["page"].to_numpy(int) * 4096 + sums["item"].to_numpy(int)
@@ -123,8 +123,8 @@ def fit(labelled: DataFrame, rounds: int = 300, l2: float = 1e-4, stand_for: tup
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, DIMS)), pa.array(np.append(w[used], bias))], names=["feature", "weight"])
 
     # A bounded sample in sparse form, so one task may hold it.
-    sparse = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(sampled, "label int, feature array<int>, value array<float>")
-    found = sparse.repartition(1).mapInArrow(fitted, "feature long, weight double").toPandas()
+    sparse = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(lean(sampled), "label int, feature array<int>, value array<float>")
+    found = sparse.repartition(1).mapInArrow(lean(fitted), "feature long, weight double").toPandas()
     w = np.zeros(DIMS + 1)
     w[found["feature"]] = found["weight"]
     return Model(w[:DIMS] * r, float(w[DIMS] + np.log(stand_for[1] / stand_for[0])) if len(found) else -30.0)
@@ -161,7 +161,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(shared.value.score(batch.column("text")))], names=["id", "score"])
 
-    out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scored, "id long, score double")
+    out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(scored), "id long, score double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -173,7 +173,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
         for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.score(batch.column(text_col)) < threshold))
 
-    return df.mapInArrow(kept, df.schema)
+    return df.mapInArrow(lean(kept), df.schema)
 
 
 def held_out(id_col: str) -> Column:
