@@ -26,7 +26,7 @@ def both(spark, folder, name):
     return canonical(df.columns, [tuple(r) for r in df.collect()]), canonical(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["m2_slice_quota"])
+@pytest.mark.parametrize("name", ["m2_slice", "m2_slice_quota"])
 def test_quota_of_more_slices_than_samples(spark, longer, name):
     found, want = both(spark, longer, name)
     assert found == want
