@@ -124,8 +124,7 @@ def g9(t: Inputs):
 
 def traced(t: Inputs, ids):
     """Exact factors of some reflections; no other ray is followed."""
-    paths = absorb.trace(t.legs.join(ids, "refl_id", "left_semi"), t.samples, t.volume, t.voxels)
-    return absorb.absorption_factor(absorb.transmission(paths, t.coefficients))
+    return absorb.factors(t.legs.join(ids, "refl_id", "left_semi"), t.samples, t.volume, t.voxels, t.coefficients)
 
 
 PRODUCT = "SELECT refl_id, exp(sum(ln(value))) AS factor FROM (SELECT refl_id, leg, sum(weight*value) AS value FROM corners JOIN means USING (i_theta, i_phi) GROUP BY ALL) GROUP BY ALL"
