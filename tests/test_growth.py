@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from test_queries import canonical
-from voxlight.operators import sampling
+from voxlight.operators import image, sampling
 from voxlight.plans.catalog import load
 from voxlight.plans.fixtures import Inputs
 
@@ -35,3 +35,12 @@ def test_quota_of_more_slices_than_samples(spark, longer, name):
 def test_spread_takes_the_fullest_slices(spark, longer):
     quota = sampling.slice_quota(Inputs(spark, longer).voxels, 100).collect()
     assert len(quota) == 261 and sum(r["quota"] for r in quota) == 100 and {r["quota"] for r in quota} == {0, 1}
+
+
+def test_a_pixel_is_not_sent_once_for_each_shift(spark):
+    """Masks over several tiles, and no row for each pixel and shift."""
+    a = spark.range(40_000).selectExpr("cast(id div 100 - 150 as int) y", "cast(id % 100 as int) x").where("(y*7+x*5)%11<>0")
+    b = a.where("(y*5+x*3)%7<>0").selectExpr("y+2 y", "x-1 x")
+    found = image.register_shift(a, b, 3)
+    assert "[-3,-2,-1,0,1,2,3]" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(-2, 1, b.count())]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +71,8 @@ def fill_gaps(mask: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 BINS = 256
+#: Pixels on a side of a tile in which masks are laid on each other, at least.
+TILE = 256
 #: Shifts of bins that registration tries at once, at most.
 MOST_TRIED = 1024
 
@@ -176,9 +179,29 @@ def local_mean(img: DataFrame, k: int, by: str = "image_id") -> DataFrame:
 
 def register_shift(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
     """The shift (dy, dx) up to `reach` that lays most set pixels of b on those of a, the smallest of equals. (y, x) tables."""
-    spots = b.select(F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("dy"), "y", "x").select("dy", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("dx"), "y", "x")
-    moved = spots.select("dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    hits = moved.join(a.select("y", "x"), ["y", "x"]).groupBy("dy", "dx").agg(F.count("*").alias("overlap"))
+    edge = max(TILE, 2 * reach)
+
+    def counted(here: pa.Table, moved: pa.Table) -> pa.Table:
+        """A tile of a against the pixels of b within reach of it, shift by shift."""
+        found = []
+        if here.num_rows and moved.num_rows:
+            low = [here[c][0].as_py() * edge for c in ("ty", "tx")]
+            fixed, near = np.zeros((edge, edge), np.int64), np.zeros((edge + 2 * reach,) * 2, np.int64)
+            for mask, rows, by in ((fixed, here, 0), (near, moved, reach)):
+                mask[rows["y"].to_numpy() - low[0] + by, rows["x"].to_numpy() - low[1] + by] = rows["n"].to_numpy()
+            for dy in range(-reach, reach + 1):
+                for dx in range(-reach, reach + 1):
+                    found.append((dy, dx, int((fixed * near[reach - dy : reach - dy + edge, reach - dx : reach - dx + edge]).sum())))
+        dy, dx, overlap = zip(*(f for f in found if f[2]), strict=True) if any(f[2] for f in found) else ((), (), ())
+        return pa.table([pa.array(dy, pa.int32()), pa.array(dx, pa.int32()), pa.array(overlap, pa.int64())], names=["dy", "dx", "overlap"])
+
+    # A pixel of b goes to the tiles in its reach, mostly one, and not once for each shift.
+    pixels = lambda df: df.groupBy(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).agg(F.count("*").alias("n"))
+    tile = lambda c: F.floor(c / edge)
+    near = lambda c: F.explode(F.array_distinct(F.array(tile(F.col(c) - reach), tile(F.col(c) + reach))))
+    here = pixels(a).select(tile(F.col("y")).alias("ty"), tile(F.col("x")).alias("tx"), "y", "x", "n")
+    moved = pixels(b).withColumn("ty", near("y")).withColumn("tx", near("x"))
+    hits = here.groupBy("ty", "tx").cogroup(moved.groupBy("ty", "tx")).applyInArrow(counted, "dy int, dx int, overlap long").groupBy("dy", "dx").agg(F.sum("overlap").alias("overlap"))
     return hits.orderBy(F.desc("overlap"), F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"), "dy", "dx").limit(1)
 
 
