@@ -8,7 +8,7 @@ from voxlight.plans.catalog import load
 from voxlight.plans.fixtures import Inputs
 
 SMALL = "/root/testdata/sf0.001"
-TRACED = ["a11_method_difference", "a5_transmission", "a10_boundary_lengths", "a2_label_steps_full", "a3_path_length_totals", "a7_binned_quantiles", "a7_per_voxel_distribution", "a2_label_steps", "a3_path_lengths", "a12_proportional_totals", "a6_absorption_factor", "a10_boundaries", "a12_proportional_lengths", "a4_path_segments", "a9_straight_through"]
+TRACED = ["a11_method_difference", "a5_transmission", "a10_boundary_lengths", "a2_label_steps_full", "a3_path_length_totals", "a7_binned_quantiles", "a7_per_voxel_distribution", "a2_label_steps", "a3_path_lengths", "a12_proportional_totals", "a6_absorption_factor", "a10_boundaries", "a12_proportional_lengths", "a4_path_segments", "a9_straight_through", "a6_sample_ratio", "r13_traced_cuboid"]
 
 
 @pytest.fixture(scope="module")
