@@ -26,6 +26,23 @@ def test_long_list_keeps_its_order(spark, tmp_path):
     assert got.count() == 5000 and got.where("refl_id <> intensity_sum or refl_id <> miller_index.h or s1 is not null").count() == 0
 
 
+@pytest.mark.parametrize("parts", [False, True])
+def test_many_tasks_read_a_list(spark, tmp_path, parts):
+    """One file cut into blocks, or files in order; places are those of the list."""
+    rows = spark.range(5000, numPartitions=7).selectExpr("id * 3 AS n", "cast(id AS string) AS `intensity.sum.value`", "concat('(', id, ', 0, 1)') AS miller_index")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        ingest.write_json_list(rows, str(tmp_path / "list"), "n", parts=parts)
+        got = ingest.read_reflections(spark, str(tmp_path / "list"), by_line=True)
+        assert got.select(F.spark_partition_id()).distinct().count() > 3
+        assert got.count() == 5000 and got.where("refl_id <> intensity_sum or refl_id <> miller_index.h or s1 is not null").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "list").glob("part-*"))))) == 5000
+
+
 def test_rerun_of_a_bucket_keeps_the_others(spark, tmp_path):
     path = str(tmp_path / "out")
     rows = spark.range(1000).select(F.col("id").alias("refl_id"), F.lit(1).alias("v"))

@@ -24,24 +24,39 @@ def typed_reflections(rows: DataFrame, key: str = "refl_id") -> DataFrame:
     return rows.select(key, F.col("`intensity.sum.value`").cast("double").alias("intensity_sum"), F.struct(hkl[0].alias("h"), hkl[1].alias("k"), hkl[2].alias("l")).alias("miller_index"), tuple_to_array(F.col("s1")).alias("s1"), tuple_to_array(F.col("`xyzobs.mm.value`")).alias("xyzobs_mm"))
 
 
-def read_reflections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A file with a JSON list of text fields, with the place in the list as refl_id; or JSON lines that hold refl_id, which many tasks read.
+def read_reflections(spark: SparkSession, path: str, lines: bool = False, by_line: bool = False) -> DataFrame:
+    """A JSON list of text fields, with the place in the list as refl_id; or JSON lines that hold refl_id, which many tasks read.
 
     The items of a list are parsed one after the other, so it may be longer than one
-    string; it is one file and one task reads it.
+    string; it is one file and one task reads it. With by_line each item has a line of its own, as
+    write_json_list leaves them, and many tasks read the list, be it one file or parts in the order of their names.
     """
     if lines:
         return typed_reflections(spark.read.schema(f"refl_id long, {REFLECTION_TEXT}").json(path))
+    if by_line:
+        item = F.from_json(F.regexp_replace(F.trim("value"), r"^[\[,]\s*|\s*[,\]]$", ""), REFLECTION_TEXT)
+        return typed_reflections(placed_lines(spark, path).select("refl_id", item.alias("item")).select("refl_id", "item.*"))
     rows = spark.read.schema(REFLECTION_TEXT).json(path, multiLine=True)
     return typed_reflections(rows.select(F.monotonically_increasing_id().alias("refl_id"), "*"))
 
 
-def write_json_list(rows: DataFrame, path: str, order: str) -> None:
-    """rows as one file with a JSON list, in the order of a column, which is left out. Sorting spreads over tasks; one writes."""
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(refl_id, value): lines that hold an item with their place, by file name, block of the file and line. Only counts of blocks go through one task."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # Numbers rise along the lines of a block, one after the other.
+    rows = text.where(F.col("value").contains("{")).withColumn("line", F.monotonically_increasing_id())
+    blocks = rows.groupBy("file", "block").agg(F.min("line").alias("first"), F.count("*").alias("n"))
+    before = blocks.select("file", "block", "first", (F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), ["file", "block"]).select((F.col("line") - F.col("first") + F.col("before")).alias("refl_id"), "value")
+
+
+def write_json_list(rows: DataFrame, path: str, order: str, parts: bool = False) -> None:
+    """rows as one file with a JSON list, in the order of a column, which is left out, an item a line. Sorting spreads over tasks; one writes. With parts the list is cut into files, which joined in the order of their names are the list, and many tasks write."""
     ends = rows.agg(F.min(order).alias("first"), F.max(order).alias("last"))
     item = F.to_json(F.struct(*(f"`{c}`" for c in rows.columns if c != order)))
     line = F.concat(F.when(F.col(order) == F.col("first"), "[").otherwise(","), item, F.when(F.col(order) == F.col("last"), "]").otherwise(""))
-    rows.crossJoin(F.broadcast(ends)).repartitionByRange(order).sortWithinPartitions(order).select(line.alias("value")).coalesce(1).write.text(path)
+    placed = rows.crossJoin(F.broadcast(ends)).repartitionByRange(order).sortWithinPartitions(order).select(line.alias("value"))
+    (placed if parts else placed.coalesce(1)).write.text(path)
 
 
 def exported(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
