@@ -53,3 +53,38 @@ def test_steps_are_rows_where_regions_do_not_fit(inputs, monkeypatch):
     monkeypatch.setattr(regions, "MOST_BRICKS", 0)
     assert absorb.regional(*given, "counts") is None
     assert [rows(absorb.bounds(*given).fillna(-1)), rows(absorb.segments(*given)), rows(absorb.trace(*given))] == want
+
+
+def odd_legs(spark):
+    """Reflections that share one leg, both or none, with one leg or three, and zeros of either sign; every third runs as the first."""
+    ways = [(0.3, 1.0, 0.2), (-0.4, 0.1, 0.9), (0.0, -1.0, 0.0), (-0.0, -1.0, -0.0), (0.97, 0.05, -0.02), (-0.2, -0.3, 0.8)]
+    legs = [(k, leg, *ways[0 if k % 3 == 0 else (k * leg + k // 7) % len(ways)]) for k in range(90) for leg in ((1, 2), (2,), (1, 2, 3))[0 if k % 3 == 0 else k % 3]]
+    return spark.createDataFrame(legs, "refl_id long, leg int, v0 double, v1 double, v2 double")
+
+
+@pytest.mark.parametrize("span,tile_legs,tile,tile_rays", [(1 << 16, 4096, 1 << 20, 50_000), (3, 4, 6, 5), (5, 1, 1, 1)])
+def test_reflections_that_run_alike_take_the_same(inputs, spark, monkeypatch, span, tile_legs, tile, tile_rays):
+    """As many rows and the same factors as from each ray of each reflection, whatever a group and its tiles hold."""
+    t = inputs
+    for name, n in (("BLOCK", 2), ("GROUP_RAYS", 20), ("LEAST_RAYS", 10), ("SPAN", span), ("TILE_LEGS", tile_legs), ("TILE", tile), ("TILE_RAYS", tile_rays)):
+        monkeypatch.setattr(regions, name, n)
+    given = odd_legs(spark), t.samples, t.volume, t.voxels, t.coefficients
+    want, found = ({r["refl_id"]: (r["factor"], r["n_samples"]) for r in absorb.factors(*given, mode=mode).collect()} for mode in ("join", "regions"))
+    assert len(want) == 90 and found.keys() == want.keys()
+    assert all(found[k][1] == want[k][1] and abs(found[k][0] - want[k][0]) < 1e-12 for k in want)
+
+
+def test_smaller_blocks_where_large_ones_need_too_many_bricks(inputs, monkeypatch):
+    """Legs that lead across the rod, not along it: one block of all samples needs every brick, a small block few."""
+    t = inputs
+    legs = t.legs.where("refl_id < 30").selectExpr("refl_id", "leg", "0e0 v0", "v1", "v2")
+    voxels = t.voxels.union(t.voxels.selectExpr("z + 100", "y", "x", "label"))
+    volume = t.volume.selectExpr("nz + 100 AS nz", "ny", "nx", "sz", "sy", "sx")
+    samples = t.samples.union(t.samples.selectExpr("sample_id + 8", "z + 100", "y", "x"))
+    given = legs, samples, volume, voxels
+    want = {r["refl_id"]: r["factor"] for r in absorb.factors(*given, t.coefficients, mode="join").collect()}
+    for name, n in (("BLOCK", 2), ("GROUP_RAYS", 20), ("MOST_BRICKS", 3)):
+        monkeypatch.setattr(regions, name, n)
+    assert regions.block_sizes(60, "passed")[0] > 2 and absorb.regional(*given, "passed", coefficients=t.coefficients) is not None
+    found = {r["refl_id"]: r["factor"] for r in absorb.factors(*given, t.coefficients).collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
