@@ -204,3 +204,22 @@ def test_minimum_threshold_against_loops(spark):
         counts.setdefault(r["image_id"], [0] * 256)[int(r["u8"])] += r["count"]
     got = {r["image_id"]: r["threshold"] for r in QUERIES["c7_threshold_minimum"](spark, SMALL).collect()}
     assert got == {k: valley_by_loops(c) for k, c in counts.items()}
+
+
+def test_a_batch_is_handled_in_parts(inputs, spark, monkeypatch):
+    """Brick mode lays out about AT_ONCE segments at a time, however many rows a batch has; legs are broadcast where samples are too many."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(10))})
+    cut = [p.column("k").to_pylist() for p in bricks.parts(batch, np.array([3, 3, 3, 9, 0, 0, 1, 1, 1, 1]), 6)]
+    assert sum(cut, []) == list(range(10)) and len(cut) > 3 and [p.num_rows for p in bricks.parts(batch, np.ones(10, int), 100)] == [10]
+    t, some = inputs, inputs.legs.where("refl_id < 40")
+    monkeypatch.setattr(bricks, "EDGE", 5)
+    want = lengths(absorb.trace(some, t.samples, t.volume, t.voxels, mode="bricks"))
+    monkeypatch.setattr(bricks, "AT_ONCE", 40)
+    monkeypatch.setattr(bricks, "BLOCK", 3)
+    assert lengths(absorb.trace(some, t.samples, t.volume, t.voxels, mode="bricks")) == want
+    few = some.where("refl_id < 3")
+    monkeypatch.setattr(absorb, "BROADCAST_SAMPLES", few.count())
+    given = few, t.samples.union(t.samples.selectExpr("sample_id + 100", "z", "y", "x")), t.volume, t.voxels
+    assert lengths(absorb.trace(*given, mode="bricks")) == lengths(absorb.trace(*given, mode="join"))
